@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import neardup, quality, secrets, toxicity
+from . import ann, decontam, mixing, neardup, pii, quality, secrets, toxicity
 from ._common import read
 
 
@@ -21,6 +21,30 @@ def op1_quality(spark: SparkSession, d: str) -> DataFrame:
     return quality.score_quality(docs, model).select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", "predicted", "n_passages")
 
 
+def op3_pii(spark: SparkSession, d: str) -> DataFrame:
+    found = pii.sanitise(read(spark, d, "documents").select("doc_id", "text"))
+    return found.select("doc_id", *(pii.count_kind(i).alias(f"n_{k}") for i, k in enumerate(pii.KINDS)), F.sha2(pii.as_text(F.col("pii_base")), 256).alias("base_sha256"), pii.as_text(F.col("pii_spans")).alias("spans"))
+
+
+#: shares of tokens by quality and toxicity of the labels
+TARGETS = {"q1t0": 0.8, "q0t0": 0.15, "q1t1": 0.04, "q0t1": 0.01}
+
+
+def op4_mixing(spark: SparkSession, d: str) -> DataFrame:
+    domain = F.concat(F.lit("q"), F.col("quality").cast("string"), F.lit("t"), F.col("toxic").cast("string"))
+    mixed = mixing.mix(read(spark, d, "documents").select("doc_id", "text"), read(spark, d, "labels"), domain, TARGETS)
+    return mixed.select("doc_id", F.col("mix_tokens").alias("n_tokens"), F.col("mix_p").alias("posteriors"), "rate", "copies")
+
+
+def op5_ann(spark: SparkSession, d: str) -> DataFrame:
+    return ann.search(read(spark, d, "embeddings"), F.col("id") % 20 == 0)
+
+
+def op6_decontamination(spark: SparkSession, d: str) -> DataFrame:
+    found = decontam.contamination(read(spark, d, "documents"), read(spark, d, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def op7_toxicity(spark: SparkSession, d: str) -> DataFrame:
     docs = read(spark, d, "documents")
     return toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, read(spark, d, "labels")))
@@ -35,7 +59,7 @@ def op10_secrets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op7_toxicity, op8_near_duplicates, op10_secrets)}
+    return {f.__name__: f for f in (op1_quality, op3_pii, op4_mixing, op5_ann, op6_decontamination, op7_toxicity, op8_near_duplicates, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
