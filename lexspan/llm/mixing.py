@@ -25,7 +25,7 @@ from ._common import drop_stored, stored
 # fixed values: what is not a letter; junk marks that are measured
 NOT_LETTER = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 SHRINK = 5.0  # documents' worth of the overall share in each domain's share
-LEAST_CHI = 16.0
+LEAST_CHI, MOST_SHARE = 16.0, 0.15  # common features say little each, and say it together
 MARKS = ("!!", " | ", "$$$", "&&&", "###", "%%%", "***")
 
 
@@ -56,7 +56,7 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domain: Column, id_col: str,
     n = rows.select("mix_domain", F.explode("f").alias("f")).where("f <> ''").groupBy("f").agg(*(F.sum((F.col("mix_domain") == d).cast("long")).alias(f"n{i}") for i, d in enumerate(names)))
     total = sum((F.col(f"n{i}") for i in range(len(names))), F.lit(0))
     chi = sum(((F.col(f"n{i}") - total * sizes[d] / n_all) ** 2 / (total * sizes[d] / n_all) for i, d in enumerate(names)), F.lit(0.0))
-    best = n.where(total >= 4).withColumn("chi", chi).where(F.col("chi") >= LEAST_CHI).orderBy(F.desc("chi"), "f").limit(n_features).collect()
+    best = n.where((total >= 4) & (total <= MOST_SHARE * n_all)).withColumn("chi", chi).where(F.col("chi") >= LEAST_CHI).orderBy(F.desc("chi"), "f").limit(n_features).collect()
     start, odds = [math.log(sizes[d] / n_all) for d in names], {}
     for r in best:
         overall = (sum(r[f"n{i}"] for i in range(len(names))) + 0.5) / (n_all + 1)
@@ -74,9 +74,8 @@ def posteriors(docs: DataFrame, text_col: str, model: tuple[list[str], list[floa
     out = out.withColumn("mix_tokens", F.size(F.filter("mix_w", lambda x: x != "")).cast("long"))
     if not odds:
         return out.withColumn("mix_p", F.array(*(F.lit(math.exp(s)) for s in start)) if names else F.array(F.lit(1.0))).drop("mix_w")
-    known = F.array(*(F.lit(f) for f in odds))
     table = F.create_map(*(x for f, v in odds.items() for x in (F.lit(f), F.array(*map(F.lit, v)))))
-    out = out.withColumn("mix_f", F.array_intersect(known, features(F.col(text_col), F.col("mix_w"))))
+    out = out.withColumn("mix_f", F.array_sort(F.array_distinct(F.filter(features(F.col(text_col), F.col("mix_w")), lambda x: x.isin(*odds)))))
     add = lambda acc, f: F.zip_with(acc, F.element_at(table, f), lambda a, b: a + b)
     out = out.withColumn("mix_l", F.aggregate("mix_f", F.array(*map(F.lit, start)), add))
     e = F.transform("mix_l", lambda x: F.exp(x - F.array_max("mix_l")))
@@ -104,17 +103,16 @@ def fit_rates(table: DataFrame, targets: list[float], most_steps: int = 40, near
     return rate
 
 
-def mix(docs: DataFrame, labels: DataFrame, domain: Column, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", max_train: int = 6000, n_features: int = 300) -> DataFrame:
-    """docs with mix_tokens, mix_p (posteriors, by sorted domain name), rate and copies added."""
+def mix(docs: DataFrame, labels: DataFrame, domain: Column, targets: dict[str, float], keep: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", max_train: int = 6000, n_features: int = 300) -> DataFrame:
+    """The kept columns of docs (all of them by default) with mix_tokens, mix_p (posteriors, by sorted domain name), rate and copies added."""
     model = fit_domains(docs, labels, domain, id_col, text_col, max_train, n_features)
     names = model[0] or [""]
     wanted = [targets.get(x, 0.0) for x in names]
     wanted = [x / sum(wanted) for x in wanted] if sum(wanted) > 0 else [1 / len(names)] * len(names)
-    full = posteriors(docs, text_col, model)
-    flat = stored(full.select("mix_tokens", *(F.col("mix_p")[i].alias(f"mix_p{i}") for i in range(len(names)))), "posteriors")
-    rate = fit_rates(flat, wanted)
-    drop_stored(flat)
-    out = full.select("*", *(F.col("mix_p")[i].alias(f"mix_p{i}") for i in range(len(names)))).withColumn("rate", rate)
+    held = docs.columns if keep is None else keep
+    full = stored(posteriors(docs.select(*dict.fromkeys([*held, id_col, text_col])), text_col, model).select(*dict.fromkeys([*held, id_col]), "mix_tokens", "mix_p"), "posteriors")
+    flat = full.select("*", *(F.col("mix_p")[i].alias(f"mix_p{i}") for i in range(len(names))))
+    out = flat.withColumn("rate", fit_rates(flat, wanted))
     chance = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 20)) / float(1 << 20)
     out = out.withColumn("copies", (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("long")).cast("long"))
-    return out.drop(*(f"mix_p{i}" for i in range(len(names))))
+    return out.select(*held, "mix_tokens", "mix_p", "rate", "copies")

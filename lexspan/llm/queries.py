@@ -32,7 +32,7 @@ TARGETS = {"q1t0": 0.8, "q0t0": 0.15, "q1t1": 0.04, "q0t1": 0.01}
 
 def op4_mixing(spark: SparkSession, d: str) -> DataFrame:
     domain = F.concat(F.lit("q"), F.col("quality").cast("string"), F.lit("t"), F.col("toxic").cast("string"))
-    mixed = mixing.mix(read(spark, d, "documents").select("doc_id", "text"), read(spark, d, "labels"), domain, TARGETS)
+    mixed = mixing.mix(read(spark, d, "documents").select("doc_id", "text"), read(spark, d, "labels"), domain, TARGETS, keep=["doc_id"])
     return mixed.select("doc_id", F.col("mix_tokens").alias("n_tokens"), F.col("mix_p").alias("posteriors"), "rate", "copies")
 
 
