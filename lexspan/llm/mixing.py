@@ -33,22 +33,21 @@ def words(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), NOT_LETTER)
 
 
-def features(text: Column, w: Column) -> Column:
-    """The distinct words of a text and the bands its surface measures fall in."""
+def bands(text: Column, w: Column) -> Column:
+    """The bands that a text's surface measures fall in."""
     n = F.size(w)
     t = F.coalesce(text, F.lit(""))
     band = lambda name, share: F.concat(F.lit(f"\u0001{name}"), F.least(F.lit(4), F.ceil(share * 20)).cast("string"))
     marks = [band(m, (F.length(t) - F.length(F.replace(t, F.lit(m), F.lit("")))) / (len(m) * n)) for m in MARKS]
-    distinct = F.array_distinct(w)
-    spread = F.concat(F.lit("\u0001spread"), F.floor(F.log2(n.cast("double") + 1)).cast("string"), F.lit("/"), F.floor(8 * F.size(distinct) / n).cast("string"))
-    return F.concat(distinct, F.array(spread, *marks))
+    spread = F.concat(F.lit("\u0001spread"), F.floor(F.log2(n.cast("double") + 1)).cast("string"), F.lit("/"), F.floor(8 * F.size(F.array_distinct(w)) / n).cast("string"))
+    return F.array(spread, *marks)
 
 
 def fit_domains(docs: DataFrame, labels: DataFrame, domain: Column, id_col: str, text_col: str, max_train: int, n_features: int) -> tuple[list[str], list[float], dict[str, list[float]]]:
     """Domains, the logarithm of each one's prior times its chances of no feature, and for each feature its log odds by domain."""
     lab = labels.select(F.col(id_col).alias("mix_id"), domain.cast("string").alias("mix_domain")).dropna().orderBy(F.xxhash64("mix_id"), "mix_id", "mix_domain").limit(max_train)
     rows = docs.select(F.col(id_col).alias("mix_id"), F.col(text_col).alias("t")).join(F.broadcast(lab), "mix_id").select("mix_domain", "t", words(F.col("t")).alias("w"))
-    rows = stored(rows.select("mix_domain", features(F.col("t"), F.col("w")).alias("f")), "labelled")
+    rows = stored(rows.select("mix_domain", F.concat(F.array_distinct("w"), bands(F.col("t"), F.col("w"))).alias("f")), "labelled")
     sizes = {r[0]: r[1] for r in rows.groupBy("mix_domain").count().collect()}
     if not sizes:
         return [], [], {}
@@ -75,7 +74,9 @@ def posteriors(docs: DataFrame, text_col: str, model: tuple[list[str], list[floa
     if not odds:
         return out.withColumn("mix_p", F.array(*(F.lit(math.exp(s)) for s in start)) if names else F.array(F.lit(1.0))).drop("mix_w")
     table = F.create_map(*(x for f, v in odds.items() for x in (F.lit(f), F.array(*map(F.lit, v)))))
-    out = out.withColumn("mix_f", F.array_sort(F.array_distinct(F.filter(features(F.col(text_col), F.col("mix_w")), lambda x: x.isin(*odds)))))
+    # array_intersect, not filter(): it is compiled with the rest of the row
+    known = [F.array(*(F.lit(f) for f in odds if (f[0] == "\u0001") == own), F.lit("\u0001")) for own in (False, True)]
+    out = out.withColumn("mix_f", F.concat(F.array_intersect(known[0], F.col("mix_w")), F.array_intersect(known[1], bands(F.col(text_col), F.col("mix_w")))))
     add = lambda acc, f: F.zip_with(acc, F.element_at(table, f), lambda a, b: a + b)
     out = out.withColumn("mix_l", F.aggregate("mix_f", F.array(*map(F.lit, start)), add))
     e = F.transform("mix_l", lambda x: F.exp(x - F.array_max("mix_l")))
