@@ -22,11 +22,11 @@ from pyspark.sql import functions as F
 
 from ._common import drop_stored, stored
 
-# fixed values: what is not a letter; junk marks that are measured
+# fixed values: what is not a letter; junk marks that are counted
 NOT_LETTER = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 SHRINK = 5.0  # documents' worth of the overall share in each domain's share
 LEAST_CHI, MOST_SHARE = 16.0, 0.15  # common features say little each, and say it together
-MARKS = ("!!", " | ", "$$$", "&&&", "###", "%%%", "***")
+MARK = r"[!|$&#%*]"
 
 
 def words(text: Column) -> Column:
@@ -36,11 +36,9 @@ def words(text: Column) -> Column:
 def bands(text: Column, w: Column) -> Column:
     """The bands that a text's surface measures fall in."""
     n = F.size(w)
-    t = F.coalesce(text, F.lit(""))
-    band = lambda name, share: F.concat(F.lit(f"\u0001{name}"), F.least(F.lit(4), F.ceil(share * 20)).cast("string"))
-    marks = [band(m, (F.length(t) - F.length(F.replace(t, F.lit(m), F.lit("")))) / (len(m) * n)) for m in MARKS]
+    mark = F.concat(F.lit("\u0001mark"), F.least(F.lit(8), F.ceil(F.regexp_count(F.coalesce(text, F.lit("")), F.lit(MARK)) / n * 8)).cast("string"))
     spread = F.concat(F.lit("\u0001spread"), F.floor(F.log2(n.cast("double") + 1)).cast("string"), F.lit("/"), F.floor(8 * F.size(F.array_distinct(w)) / n).cast("string"))
-    return F.array(spread, *marks)
+    return F.array(spread, mark)
 
 
 def fit_domains(docs: DataFrame, labels: DataFrame, domain: Column, id_col: str, text_col: str, max_train: int, n_features: int) -> tuple[list[str], list[float], dict[str, list[float]]]:
@@ -78,7 +76,7 @@ def posteriors(docs: DataFrame, text_col: str, model: tuple[list[str], list[floa
     known = [F.array(*(F.lit(f) for f in odds if (f[0] == "\u0001") == own), F.lit("\u0001")) for own in (False, True)]
     out = out.withColumn("mix_f", F.concat(F.array_intersect(known[0], F.col("mix_w")), F.array_intersect(known[1], bands(F.col(text_col), F.col("mix_w")))))
     add = lambda acc, f: F.zip_with(acc, F.element_at(table, f), lambda a, b: a + b)
-    out = out.withColumn("mix_l", F.aggregate("mix_f", F.array(*map(F.lit, start)), add))
+    out = out.withColumn("mix_l", F.when(F.size("mix_f") >= 0, F.aggregate("mix_f", F.array(*map(F.lit, start)), add)))  # named twice, so that Spark doesn't move mix_f into the interpreted aggregate
     e = F.transform("mix_l", lambda x: F.exp(x - F.array_max("mix_l")))
     return out.withColumn("mix_e", e).withColumn("mix_p", F.transform("mix_e", lambda x: x / F.aggregate("mix_e", F.lit(0.0), lambda a, b: a + b))).drop("mix_w", "mix_f", "mix_l", "mix_e")
 
