@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, mixing, neardup, pii, quality, secrets, toxicity
+from . import ann, decontam, mixing, neardup, pii, quality, repeats, secrets, toxicity
 from ._common import read
 
 
@@ -54,12 +54,16 @@ def op8_near_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, d, "documents"), k=3, percent=85)
 
 
+def op9_repeats(spark: SparkSession, d: str) -> DataFrame:
+    return repeats.remove_repeats(read(spark, d, "documents"), with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op10_secrets(spark: SparkSession, d: str) -> DataFrame:
     return secrets.scan_secrets(read(spark, d, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op3_pii, op4_mixing, op5_ann, op6_decontamination, op7_toxicity, op8_near_duplicates, op10_secrets)}
+    return {f.__name__: f for f in (op1_quality, op3_pii, op4_mixing, op5_ann, op6_decontamination, op7_toxicity, op8_near_duplicates, op9_repeats, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
