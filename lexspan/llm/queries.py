@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, mixing, neardup, pii, quality, repeats, secrets, toxicity
+from . import ann, decontam, lm, mixing, neardup, pii, quality, repeats, secrets, toxicity
 from ._common import read
 
 
@@ -21,6 +21,10 @@ def op1_quality(spark: SparkSession, d: str) -> DataFrame:
     return quality.score_quality(docs, model).select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", "predicted", "n_passages")
 
 
+def op2_lm_scores(spark: SparkSession, d: str) -> DataFrame:
+    return lm.score_texts(read(spark, d, "documents"), remainder("doc_id", 7) == 2)
+
+
 def op3_pii(spark: SparkSession, d: str) -> DataFrame:
     found = pii.sanitise(read(spark, d, "documents").select("doc_id", "text"))
     return found.select("doc_id", *(pii.count_kind(i).alias(f"n_{k}") for i, k in enumerate(pii.KINDS)), F.sha2(pii.as_text(F.col("pii_base")), 256).alias("base_sha256"), pii.as_text(F.col("pii_spans")).alias("spans"))
@@ -63,7 +67,7 @@ def op10_secrets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op3_pii, op4_mixing, op5_ann, op6_decontamination, op7_toxicity, op8_near_duplicates, op9_repeats, op10_secrets)}
+    return {f.__name__: f for f in (op1_quality, op2_lm_scores, op3_pii, op4_mixing, op5_ann, op6_decontamination, op7_toxicity, op8_near_duplicates, op9_repeats, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
