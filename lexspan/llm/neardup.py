@@ -5,8 +5,8 @@ are one shingle; no words, no shingle and no link). Two documents are linked whe
 
 Equal sets are one node from the start. Signature slots are filled level by level: at level j each element gives its j-th rank
 to one slot of its own permutation, and a document stops as soon as no slot is free. Bands of equal slots propose pairs in the
-shape of stars, twice with other centres; what is then still apart within a bucket is compared pair by pair, so no link is lost
-to a cap. Sets are recomputed from the text for the documents of proposed pairs only.
+shape of stars, twice with other centres. Documents still apart in a bucket are compared with each
+other in blocks, on their full sets, so no link is lost to a cap; what comes out of a block is at most one link a document. Sets are recomputed from the text for the documents that share a bucket.
 
 Null text counts as empty. Rows with a null id get a null component. Ties: the smallest id stands for its group. Repeated rows
 give repeated results. Other columns are not read."""
@@ -141,6 +141,72 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return now
 
 
+def unlike_cells(rows: DataFrame) -> DataFrame:
+    """The rows of those buckets that hold more than one component."""
+    rows = rows.select(*(c for c in rows.columns if c not in ("r0", "r1")))
+    mixed = rows.groupBy("band", "cell").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("band", "cell")
+    return rows.join(mixed, ["band", "cell"], "left_semi")
+
+
+def compare_families(rows: DataFrame, percent: int, block: int = 512) -> DataFrame:
+    """Links (a, b) between components, among documents of one family that share a band. rows: id, root, bands, family, s.
+
+    A family is cut into blocks, and every two blocks meet in one group of at most about 2 * block documents, whose full sets are
+    compared as rows of bits. Only links that join two components inside the group come out: fewer than it has documents."""
+    sizes = rows.groupBy("family").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    r = rows.join(sizes, "family").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    r = r.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    r = r.select("family", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "id", "root", "bands", "s")
+    key = ["family", "p", "q"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for b in batches:
+            keys = np.stack([b.column(k).to_numpy() for k in key], 1)
+            cuts = np.concatenate(([0], np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, [len(keys)])) if len(keys) else np.zeros(1, int)
+            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                now = tuple(keys[i].tolist())
+                if now != last and held:
+                    yield _links(held, percent)
+                    held = []
+                last = now
+                held.append(b.slice(i, j - i))
+        if held:
+            yield _links(held, percent)
+
+    return r.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long")
+
+
+def _links(parts: list[pa.RecordBatch], percent: int) -> pa.RecordBatch:
+    t = pa.Table.from_batches(parts).combine_chunks()
+    ids, comp, own = (t[c].to_numpy().copy() for c in ("id", "root", "own"))
+    n = t["s"].combine_chunks().value_lengths().to_numpy().astype(np.int64)
+    g = t["s"].combine_chunks().flatten().to_numpy()
+    bands = t["bands"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+    _, col, c = np.unique(g, return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(ids)), n)
+    kept = c[col] > 1
+    row, col = row[kept], (np.cumsum(c > 1) - 1)[col[kept]]
+    bits = np.zeros((len(ids), (int(col.max()) >> 6) + 1 if len(col) else 1), U)
+    np.bitwise_or.at(bits, (row, col >> 6), U(1) << (col & 63).astype(U))
+    crossed = len(set(own.tolist())) > 1  # two blocks: within a block another group compares
+    out: list[tuple[int, int]] = []
+    for i in range(len(ids) - 1):
+        j = np.arange(i + 1, len(ids))
+        may = (comp[j] != comp[i]) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))
+        j = j[may & (own[j] != own[i])] if crossed else j[may]
+        j = j[(bands[j] == bands[i]).any(1)] if len(j) else j
+        if not len(j):
+            continue
+        common = np.bitwise_count(bits[j] & bits[i]).sum(1, dtype=np.int64)
+        for x in j[100 * common >= percent * (n[j] + n[i] - common)].tolist():
+            if comp[x] != comp[i]:
+                out.append((min(ids[i], ids[x]), max(ids[i], ids[x])))
+                comp[comp == comp[x]] = comp[i]
+    return pa.record_batch([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, bands: int = 25, rows: int = 5) -> DataFrame:
     """One row per row of docs: id, n_shingles, component_id (smallest id reachable), kept (is it that one)."""
     spark = docs.sparkSession
@@ -151,29 +217,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared_cells = cells.groupBy("band", "cell").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
     busy = stored(cells.join(shared_cells, ["band", "cell"]), "buckets")
 
-    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = stored(pairs.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b").distinct(), "pairs")
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        s = stored(sets_of(docs, id_col, text_col, ids, k).dropDuplicates(["id"]), "sets")
-        one = pairs.join(s.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(s.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    sets = stored(sets_of(docs, id_col, text_col, busy.select("id").distinct(), k).dropDuplicates(["id"]), "sets")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b").distinct()
+        one = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
         common = F.size(F.array_intersect("sa", "sb"))
-        out = stored(one.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b"), name)
-        drop_stored(pairs, s)
-        return out
+        return stored(one.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b"), "links")
 
     sizes = node.select(F.col("id").alias("o"), F.col("n").alias("no"))
     stars = busy.select("id", "n", F.col("lo").alias("o")).union(busy.select("id", "n", F.col("hi").alias("o"))).where("id <> o").distinct()
-    links = confirmed(stars.join(sizes, "o").select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b"), F.col("n").alias("na"), F.col("no").alias("nb")), "links")
+    links = confirmed(stars.join(sizes, "o").select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b"), F.col("n").alias("na"), F.col("no").alias("nb")))
     held = node.select("id")
     roots = components(held, links)
-    apart = busy.join(roots, "id")
-    open_cells = apart.groupBy("band", "cell").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("band", "cell")
-    left = apart.join(open_cells, ["band", "cell"]).select("band", "cell", "id", "n", "root", "lo", "hi")
-    right = left.select("band", "cell", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
-    rest = left.join(right, ["band", "cell"]).where("id < id2 and root <> root2 and id <> lo and id2 <> hi and id <> hi and id2 <> lo").select(F.col("id").alias("a"), F.col("id2").alias("b"), F.col("n").alias("na"), F.col("n2").alias("nb"))
-    more = confirmed(rest, "links")
+    apart = stored(unlike_cells(busy.join(roots, "id")), "apart")
+    own = apart.groupBy("id").agg(F.min("root").alias("root")).join(node.select("id", "bands"), "id")
+    low = apart.groupBy("band", "cell").agg(F.min("id").alias("low"))
+    family = components(own, apart.join(low, ["band", "cell"]).where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")))
+    more = stored(compare_families(own.join(family.withColumnRenamed("root", "family"), "id").join(sets, "id"), percent), "links")
+    drop_stored(sets, apart, busy, family)
     if not more.isEmpty():
-        drop_stored(roots)
         roots = components(held, links.union(more))
     by_set = node.select("n", "f1", "f2", "id").join(roots, "id").select("n", "f1", "f2", "root")
     return (
