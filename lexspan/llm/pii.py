@@ -2,7 +2,8 @@
 
 Base spans come from patterns: e-mail addresses, IP addresses, card and phone numbers (the protected entities). Then co-occurrence in
 the corpus tells what other terms reveal an entity. Around each mention of an entity stands a context of `reach` words on each side. For a term t and an entity e,
-with counts of distinct contexts (so copies of a text count once), P(e | t) = n(e, t) / n(t), and the pointwise mutual information is
+with counts of distinct contexts (so copies of a text count once), P(e | t) = n(e, t) / n(t), where n(t) is the larger of the number
+of distinct texts with t and of its contexts with any entity, and the pointwise mutual information is
 log2(P(e | t) / P(e)). A term is disclosing if at least `support` distinct contexts of e hold it, P(e | t) >= `posterior` over all the
 term's occurrences in the corpus, and the information is at least `bits`. Disclosing terms inside those contexts become spans of
 kind `term`; they are removed, or generalised to their shape where they hold digits. Terms shorter than 4 characters never disclose.
@@ -91,8 +92,10 @@ def contexts(found: DataFrame, text_col: str, reach: int) -> DataFrame:
 
 def disclosing(docs: DataFrame, found: DataFrame, text_col: str, reach: int, support: int, posterior: float, bits: float) -> DataFrame:
     """(term): the terms that reveal an entity. Counts of candidates run over every document of the corpus."""
-    pair = contexts(found, text_col, reach).groupBy("entity", "term").agg(F.count("*").alias("n")).where(F.col("n") >= support)
-    pair = stored(pair, "pairs")
+    every = stored(contexts(found, text_col, reach).groupBy("entity", "term").agg(F.count("*").alias("n")), "pairs")
+    total = every.groupBy("term").agg(F.sum("n").alias("n_near"))
+    # common words stand near many entities: most fall here, before the corpus is asked
+    pair = stored(every.where(F.col("n") >= support).join(total, "term").where(F.col("n") >= posterior * F.col("n_near")), "candidates")
     if pair.isEmpty():
         return pair.select("term")
     cand = pair.select("term").distinct()
@@ -101,7 +104,7 @@ def disclosing(docs: DataFrame, found: DataFrame, text_col: str, reach: int, sup
     n_term = all_terms.join(F.broadcast(cand) if small else cand, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_term"))
     n_all = docs.select(F.xxhash64(text_col)).distinct().count()
     n_entity = pair.groupBy("entity").agg(F.max("n").alias("n_entity"))
-    p = F.least(F.lit(1.0), F.col("n") / F.col("n_term"))
+    p = F.col("n") / F.greatest("n_term", "n_near")
     return pair.join(n_term, "term").join(n_entity, "entity").where((p >= posterior) & (F.log2(p * n_all / F.col("n_entity")) >= bits)).select("term").distinct()
 
 
