@@ -6,8 +6,8 @@ if a window that covers it also starts in a document with a smaller id (judged o
 1. Anchors: the smallest of the hashes of the k-word phrases inside a window. Equal windows have equal anchors; about a fifth of all places are anchors.
 2. Anchors seen in two documents or more mark the places worth a look: runs of windows around such an anchor, as sequences of word numbers.
 3. Windows of these runs that recur in another document are confirmed by grouped counts, with the smallest id that has them.
-4. The runs are dealt to shards by anchor. Each shard compiles its confirmed windows into an Aho-Corasick automaton over word numbers
-   and streams its runs through it; shards with many runs are cut into parts that share the automaton's words.
+4. The runs are dealt to shards by anchor. Each shard joins successive confirmed windows to passages, compiles these into an Aho-Corasick
+   automaton over word numbers and streams its distinct runs through it; shards with many runs are cut into parts.
 5. Places found are gathered by document, and the text is rebuilt without them.
 
 Counts are partial before they are shuffled, and a phrase that a third of all documents share is spread over parts, so no group is
@@ -27,8 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import drop_stored, stored, workers
-from ._text import U, grams, hashes, pieces, row_bounds, words
+from ._text import U, grams, hashes, pieces, row_bounds, text_bytes, words
 
+MOST_SHARDS = 1_000_000  # whose sizes are broadcast (12 MB); beyond that they are joined by a shuffle
 GAP = 2**31 - 1  # between runs; never a word number
 
 
@@ -128,36 +129,53 @@ def locate(size: int):
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, offs = _sequences(left["seq"])
-        g, at, _ = window_hashes(ids, offs, size)
+        g, at, own = window_hashes(ids, offs, size)
         known, lowest = right["win"].to_numpy(), right["lo"].to_numpy()
         order = np.argsort(known)
         known, lowest = known[order], lowest[order]
         out = {"id": np.zeros(0, np.int64), "pos": np.zeros(0, np.int32), "n": np.zeros(0, np.int32)}
-        if len(g) and len(known):
-            g, one = np.unique(g, return_index=True)
-            place = np.minimum(np.searchsorted(known, g), len(known) - 1)
-            hit = known[place] == g
-            automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-            for start, value in zip(at[one[hit]].tolist(), place[hit].tolist(), strict=True):
-                automaton.add_word(tuple(ids[start : start + size].tolist()), value)
-            if len(automaton):
-                automaton.make_automaton()
-                n = np.diff(offs)
-                text = np.full(len(ids) + len(n), GAP, np.int64)
-                inside = np.arange(len(ids)) + np.repeat(np.arange(len(n)), n)
-                text[inside] = ids
-                found = np.array(list(automaton.iter(tuple(text.tolist()))), np.int64).reshape(-1, 2)
-                begin = offs[:-1] + np.arange(len(n))
-                own = np.searchsorted(begin, found[:, 0], "right") - 1
-                doc = left["id"].to_numpy()[own]
-                keep = lowest[found[:, 1]] < doc
-                own, pos = own[keep], (found[:, 0] - size + 1 - begin[own])[keep] + left["pos"].to_numpy()[own[keep]]
-                if len(own):
-                    new = np.ones(len(own), bool)
-                    new[1:] = (own[1:] != own[:-1]) | (pos[1:] != pos[:-1] + 1)
-                    first = np.flatnonzero(new)
-                    last = np.append(first[1:], len(own)) - 1
-                    out = {"id": doc[keep][first], "pos": pos[first].astype(np.int32), "n": (pos[last] - pos[first] + size).astype(np.int32)}
+        if not len(g) or not len(known):
+            return pa.table(out)
+        # equal runs are streamed once
+        sums = np.bincount(own, (g & 0xFFFFFF).astype(float) * (1 + (at - offs[own]) % 61), len(offs) - 1)
+        firsts = np.searchsorted(own, np.arange(len(offs) - 1))
+        _, one, same = np.unique(np.stack([g[firsts], g[np.append(firsts[1:], len(g)) - 1], sums.astype(np.int64), np.diff(offs)], 1), axis=0, return_index=True, return_inverse=True)
+        same = same.ravel()
+        pick = np.zeros(len(offs) - 1, bool)
+        pick[one] = True
+        # confirmed passages: successive confirmed windows with one smallest id
+        place = np.minimum(np.searchsorted(known, g), len(known) - 1)
+        hit = (known[place] == g) & pick[own]
+        w, low = np.flatnonzero(hit), lowest[place[hit]]
+        if not len(w):
+            return pa.table(out)
+        new = np.ones(len(w), bool)
+        new[1:] = (w[1:] != w[:-1] + 1) | (own[w[1:]] != own[w[:-1]]) | (low[1:] != low[:-1])
+        first = np.flatnonzero(new)
+        begin, length = at[w[first]], np.diff(np.append(first, len(w))) + size - 1
+        _, once = np.unique(np.stack([g[w[first]], g[w[first] + length - size], length], 1), axis=0, return_index=True)
+        low = low[first][once]
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        for i, (start, n) in enumerate(zip(begin[once].tolist(), length[once].tolist(), strict=True)):
+            automaton.add_word(tuple(ids[start : start + n].tolist()), i)
+        automaton.make_automaton()
+        sizes = np.diff(offs)[one]
+        text = np.full(int(sizes.sum()) + len(one), GAP, np.int64)
+        head = np.cumsum(sizes + 1) - sizes - 1
+        text[np.arange(int(sizes.sum())) + np.repeat(np.arange(len(one)), sizes)] = ids[np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes - offs[:-1][one], sizes)]
+        found = np.array(list(automaton.iter(tuple(text.tolist()))), np.int64).reshape(-1, 2)
+        run_of = np.searchsorted(head, found[:, 0], "right") - 1
+        n_words = length[once][found[:, 1]]
+        start = found[:, 0] - n_words + 1 - head[run_of]
+        # back from the streamed runs to all that equal them
+        bounds = np.searchsorted(run_of, np.arange(len(one) + 1))
+        count = (bounds[1:] - bounds[:-1])[same]
+        each = np.repeat(np.arange(len(same)), count)
+        f = np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(bounds[:-1][same], count)
+        doc = left["id"].to_numpy()[each]
+        keep = low[found[f, 1]] < doc
+        each, f = each[keep], f[keep]
+        out = {"id": doc[keep], "pos": (start[f] + left["pos"].to_numpy()[each]).astype(np.int32), "n": n_words[f].astype(np.int32)}
         return pa.table(out)
 
     return run
@@ -176,6 +194,7 @@ def repeated_places(docs: DataFrame, size: int = 13, k: int = 5, per_shard: int
     again = find_windows(runs, size).groupBy("shard", "win").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("shard", "win", "lo")
     again = stored(again, "windows")
     parts = runs.groupBy("shard").agg(F.ceil(F.count("*") / (2 * per_shard)).cast("int").alias("parts"))  # a row a shard
+    parts = F.broadcast(parts) if shards <= MOST_SHARDS else parts
     left = runs.join(parts, "shard").select("shard", F.pmod(F.xxhash64("id", "pos"), F.col("parts")).cast("int").alias("part"), "id", "pos", "seq")
     right = again.join(parts, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "win", "lo")
     key = ["shard", "part"]
@@ -186,14 +205,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per row of docs: id, n_words, n_removed, kept_text (the words left, joined by one space; null unless with_text) and kept_sha256 of it."""
     workers(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    gone = repeated_places(base, size, k).groupBy("id").agg(F.collect_list(F.struct("pos", "n")).alias("gone"))
+    gone = repeated_places(base, size, k).distinct().groupBy("id").agg(F.collect_list(F.struct("pos", "n")).alias("gone"))
     gone = stored(gone, "places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list] = [[], [], [], []]
-            for text, spans in zip(b.column("text"), b.column("gone"), strict=True):
-                w = (text.as_py() or "").encode().split()
+            data, offs = text_bytes(b.column("text"))
+            raw, offs = data.tobytes(), offs.tolist()
+            for i, spans in enumerate(b.column("gone")):
+                w = raw[offs[i] : offs[i + 1]].split()
                 n = len(w)
                 if spans.is_valid:
                     stay = bytearray(b"\1") * n
