@@ -6,8 +6,8 @@ if a window that covers it also starts in a document with a smaller id (judged o
 1. Anchors: the smallest of the hashes of the k-word phrases inside a window. Equal windows have equal anchors; about a fifth of all places are anchors.
 2. Anchors seen in two documents or more mark the places worth a look: runs of windows around such an anchor, as sequences of word numbers.
 3. Windows of these runs that recur in another document are confirmed by grouped counts, with the smallest id that has them.
-4. The runs are dealt to shards by anchor. Each shard joins successive confirmed windows to passages, compiles these into an Aho-Corasick
-   automaton over word numbers and streams its distinct runs through it; shards with many runs are cut into parts.
+4. The runs are dealt to shards by anchor. Each shard compiles its confirmed windows into an Aho-Corasick automaton (over
+   numbers of overlapping phrases, two to a window) and streams its distinct runs through it; shards with many runs are cut into parts.
 5. Places found are gathered by document, and the text is rebuilt without them.
 
 Counts are partial before they are shuffled, and a phrase that a third of all documents share is spread over parts, so no group is
@@ -143,39 +143,49 @@ def locate(size: int):
         same = same.ravel()
         pick = np.zeros(len(offs) - 1, bool)
         pick[one] = True
-        # confirmed passages: successive confirmed windows with one smallest id
+        # The automaton works on numbers of overlapping phrases of half a window: a window is two of them, `step` words apart.
+        step, half = size // 2, size - size // 2
         place = np.minimum(np.searchsorted(known, g), len(known) - 1)
-        hit = (known[place] == g) & pick[own]
-        w, low = np.flatnonzero(hit), lowest[place[hit]]
-        if not len(w):
+        hit = np.flatnonzero((known[place] == g) & pick[own])
+        if not len(hit):
             return pa.table(out)
-        new = np.ones(len(w), bool)
-        new[1:] = (w[1:] != w[:-1] + 1) | (own[w[1:]] != own[w[:-1]]) | (low[1:] != low[:-1])
-        first = np.flatnonzero(new)
-        begin, length = at[w[first]], np.diff(np.append(first, len(w))) + size - 1
-        _, once = np.unique(np.stack([g[w[first]], g[w[first] + length - size], length], 1), axis=0, return_index=True)
-        low = low[first][once]
+        phrase = (grams(ids.astype(U), half) >> U(33)).astype(np.int64)
+        _, once = np.unique(g[hit], return_index=True)
+        hit = hit[once]
         automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        for i, (start, n) in enumerate(zip(begin[once].tolist(), length[once].tolist(), strict=True)):
-            automaton.add_word(tuple(ids[start : start + n].tolist()), i)
+        for word, value in zip(np.stack([phrase[at[hit]], phrase[at[hit] + step]], 1).tolist(), place[hit].tolist(), strict=True):
+            automaton.add_word(tuple(word), value)
         automaton.make_automaton()
-        sizes = np.diff(offs)[one]
-        text = np.full(int(sizes.sum()) + len(one), GAP, np.int64)
-        head = np.cumsum(sizes + 1) - sizes - 1
-        text[np.arange(int(sizes.sum())) + np.repeat(np.arange(len(one)), sizes)] = ids[np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes - offs[:-1][one], sizes)]
+        # each distinct run as `step` streams of every step-th phrase, a gap behind each
+        n_phrases = np.diff(offs)[one] - half + 1
+        run_of = np.repeat(np.arange(len(one)), n_phrases)
+        inside = np.arange(len(run_of)) - np.repeat(np.cumsum(n_phrases) - n_phrases, n_phrases)
+        order = np.lexsort((inside, inside % step, run_of))
+        run_of, inside = run_of[order], inside[order]
+        new = np.ones(len(run_of), bool)
+        new[1:] = (run_of[1:] != run_of[:-1]) | (inside[1:] != inside[:-1] + step)
+        slot = np.arange(len(run_of)) + np.cumsum(new) - 1
+        text = np.full(int(slot[-1]) + 2, GAP, np.int64)
+        text[slot] = phrase[offs[:-1][one][run_of] + inside]
         found = np.array(list(automaton.iter(tuple(text.tolist()))), np.int64).reshape(-1, 2)
-        run_of = np.searchsorted(head, found[:, 0], "right") - 1
-        n_words = length[once][found[:, 1]]
-        start = found[:, 0] - n_words + 1 - head[run_of]
+        source = np.searchsorted(slot, found[:, 0])
+        run_of, start, low = run_of[source], inside[source] - step, lowest[found[:, 1]]
+        order = np.lexsort((start, run_of))
+        run_of, start, low = run_of[order], start[order], low[order]
         # back from the streamed runs to all that equal them
         bounds = np.searchsorted(run_of, np.arange(len(one) + 1))
         count = (bounds[1:] - bounds[:-1])[same]
         each = np.repeat(np.arange(len(same)), count)
         f = np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(bounds[:-1][same], count)
         doc = left["id"].to_numpy()[each]
-        keep = low[found[f, 1]] < doc
-        each, f = each[keep], f[keep]
-        out = {"id": doc[keep], "pos": (start[f] + left["pos"].to_numpy()[each]).astype(np.int32), "n": n_words[f].astype(np.int32)}
+        keep = low[f] < doc
+        each, doc, pos = each[keep], doc[keep], (start[f] + left["pos"].to_numpy()[each])[keep]
+        if len(each):
+            new = np.ones(len(each), bool)
+            new[1:] = (each[1:] != each[:-1]) | (pos[1:] != pos[:-1] + 1)
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(each)) - 1
+            out = {"id": doc[first], "pos": pos[first].astype(np.int32), "n": (pos[last] - pos[first] + size).astype(np.int32)}
         return pa.table(out)
 
     return run
@@ -205,7 +215,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per row of docs: id, n_words, n_removed, kept_text (the words left, joined by one space; null unless with_text) and kept_sha256 of it."""
     workers(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    gone = repeated_places(base, size, k).distinct().groupBy("id").agg(F.collect_list(F.struct("pos", "n")).alias("gone"))
+    gone = repeated_places(base, size, k).groupBy("id").agg(F.collect_list(F.struct("pos", "n")).alias("gone"))
     gone = stored(gone, "places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
