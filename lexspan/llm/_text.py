@@ -24,7 +24,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 
-@lru_cache(4)
+@lru_cache(2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         return tuple(np.cumprod(np.concatenate((np.ones(1, U), np.full(n, b, U))), dtype=U) for b in (U(BASE), U(pow(BASE, -1, 2**64))))
@@ -86,8 +86,7 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     """64-bit hashes of the byte ranges (polynomial by prefix sums, then mixed)."""
     if not len(starts):
         return np.zeros(0, U)
-    n = 1 << max(20, int(len(data)).bit_length())
-    p, inverse = _powers(n)
+    p, inverse = _powers(1 << max(20, (len(data) - 1).bit_length()))
     total = np.empty(len(data) + 1, U)
     total[0] = 0
     np.cumsum(BYTE[data] * p[: len(data)], dtype=U, out=total[1:])
