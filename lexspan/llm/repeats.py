@@ -7,7 +7,7 @@ if a window that covers it also starts in a document with a smaller id (judged o
 2. Anchors seen in two documents or more mark the places worth a look: runs of windows around such an anchor, as sequences of word numbers.
 3. Windows of these runs that recur in another document are confirmed by grouped counts, with the smallest id that has them.
 4. The runs are dealt to shards by anchor. Each shard compiles its confirmed windows into an Aho-Corasick automaton (over
-   numbers of overlapping phrases, two to a window) and streams its distinct runs through it; shards with many runs are cut into parts.
+   symbols of overlapping phrases, two to a window) and streams its distinct runs through it; shards with many runs are cut into parts.
 5. Places found are gathered by document, and the text is rebuilt without them.
 
 Counts are partial before they are shuffled, and a phrase that a third of all documents share is spread over parts, so no group is
@@ -30,7 +30,7 @@ from ._common import drop_stored, stored, workers
 from ._text import U, grams, hashes, pieces, row_bounds, text_bytes, words
 
 MOST_SHARDS = 1_000_000  # whose sizes are broadcast (12 MB); beyond that they are joined by a shuffle
-GAP = 2**31 - 1  # between runs; never a word number
+TOP = 2**31 - 2  # the largest word number
 
 
 def _spans(data: np.ndarray, offs: np.ndarray, size: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -106,7 +106,7 @@ def find_runs(docs: DataFrame, size: int, k: int) -> DataFrame:
             first, last = _runs(at, rows, anchor)
             starts, _, word_rows = words(data, offs)
             head = row_bounds(word_rows, b.num_rows)
-            ids = np.minimum(h >> U(33), U(GAP - 1)).astype(np.int32).tobytes()
+            ids = np.minimum(h >> U(33), U(TOP)).astype(np.int32).tobytes()
             seq = [ids[4 * i : 4 * (j + size)] for i, j in zip(at[first].tolist(), at[last].tolist(), strict=True)]
             yield pa.record_batch([pa.array(anchor[first].view(np.int64)), b.column("id").take(pa.array(rows[first])), pa.array((at[first] - head[rows[first]]).astype(np.int32)), pa.array(seq, pa.binary())], names=["anchor", "id", "pos", "seq"])
 
@@ -143,20 +143,22 @@ def locate(size: int):
         same = same.ravel()
         pick = np.zeros(len(offs) - 1, bool)
         pick[one] = True
-        # The automaton works on numbers of overlapping phrases of half a window: a window is two of them, `step` words apart.
+        # The automaton works on symbols of overlapping phrases of half a window: a window is two of them, `step` words apart, of two
+        # symbols each. Small alphabets keep its nodes narrow; a match counts if the window at its place is a confirmed one.
         step, half = size // 2, size - size // 2
         place = np.minimum(np.searchsorted(known, g), len(known) - 1)
-        hit = np.flatnonzero((known[place] == g) & pick[own])
+        confirmed = known[place] == g
+        hit = np.flatnonzero(confirmed & pick[own])
         if not len(hit):
             return pa.table(out)
-        phrase = (grams(ids.astype(U), half) >> U(33)).astype(np.int64)
-        _, once = np.unique(g[hit], return_index=True)
-        hit = hit[once]
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        for word, value in zip(np.stack([phrase[at[hit]], phrase[at[hit] + step]], 1).tolist(), place[hit].tolist(), strict=True):
-            automaton.add_word(tuple(word), value)
+        phrase = grams(ids.astype(U), half) >> U(40)
+        symbols = np.stack([0x100 + (phrase & U(127)), 0x180 + ((phrase >> U(7)) & U(127))], 1).astype(np.uint32)
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        keys = np.unique(np.concatenate([symbols[at[hit]], symbols[at[hit] + step]], 1), axis=0).tobytes().decode("utf-32-le")
+        for i in range(0, len(keys), 4):
+            automaton.add_word(keys[i : i + 4])
         automaton.make_automaton()
-        # each distinct run as `step` streams of every step-th phrase, a gap behind each
+        # each distinct run as `step` streams of every step-th phrase, with a gap between
         n_phrases = np.diff(offs)[one] - half + 1
         run_of = np.repeat(np.arange(len(one)), n_phrases)
         inside = np.arange(len(run_of)) - np.repeat(np.cumsum(n_phrases) - n_phrases, n_phrases)
@@ -164,12 +166,16 @@ def locate(size: int):
         run_of, inside = run_of[order], inside[order]
         new = np.ones(len(run_of), bool)
         new[1:] = (run_of[1:] != run_of[:-1]) | (inside[1:] != inside[:-1] + step)
-        slot = np.arange(len(run_of)) + np.cumsum(new) - 1
-        text = np.full(int(slot[-1]) + 2, GAP, np.int64)
-        text[slot] = phrase[offs[:-1][one][run_of] + inside]
-        found = np.array(list(automaton.iter(tuple(text.tolist()))), np.int64).reshape(-1, 2)
-        source = np.searchsorted(slot, found[:, 0])
-        run_of, start, low = run_of[source], inside[source] - step, lowest[found[:, 1]]
+        slot = 2 * np.arange(len(run_of)) + np.cumsum(new)
+        text = np.full(int(slot[-1]) + 2, 0x20, np.uint32)
+        pair = symbols[offs[:-1][one][run_of] + inside]
+        text[slot], text[slot + 1] = pair[:, 0], pair[:, 1]
+        ends = np.fromiter((e for e, _ in automaton.iter(text.tobytes().decode("utf-32-le"))), np.int64)
+        source = np.searchsorted(slot, ends - 1)
+        run_of, start = run_of[source], inside[source] - step
+        window = firsts[one[run_of]] + start
+        true = confirmed[window]
+        run_of, start, low = run_of[true], start[true], lowest[place[window[true]]]
         order = np.lexsort((start, run_of))
         run_of, start, low = run_of[order], start[order], low[order]
         # back from the streamed runs to all that equal them
