@@ -27,7 +27,10 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
 SPAN = "array<struct<kind:int,start:int,end:int>>"
-NONE = F.array().cast(SPAN)
+
+
+def none() -> Column:
+    return F.array().cast(SPAN)
 
 
 def luhn(digits: Column) -> Column:
@@ -57,7 +60,7 @@ def spans_of(text: Column, kind: int) -> Column:
     """Places of the accepted matches in code points: the gaps between matches give their starts."""
     pattern = (EMAIL, IP, CARD, PHONE)[kind]
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), 0), F.split(text, pattern, -1)
-    zero = F.struct(F.lit(0).alias("at"), NONE.alias("out"))
+    zero = F.struct(F.lit(0).alias("at"), none().alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
@@ -67,7 +70,7 @@ def spans_of(text: Column, kind: int) -> Column:
 
     both = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), m.alias("m")))
     hint = (F.contains(text, F.lit("@")), text.rlike(r"[0-9]\.[0-9]"), text.rlike(r"[0-9][\x20-]?[0-9][\x20-]?[0-9]"), text.rlike(r"\+[0-9]"))[kind]
-    return F.when(hint, F.aggregate(both, zero, step)["out"]).otherwise(NONE)
+    return F.when(hint, F.aggregate(both, zero, step)["out"]).otherwise(none())
 
 
 def with_spans(docs: DataFrame, text_col: str) -> DataFrame:
@@ -117,7 +120,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", re
     bad = stored(disclosing(docs, found, text_col, reach, support, posterior, bits), "terms")
     out = with_spans(docs, text_col)
     if bad.isEmpty():
-        out = out.withColumn("pii_term", NONE)
+        out = out.withColumn("pii_term", none())
     else:
         hit = found.select(F.xxhash64(text_col).alias("pii_key"), text_col, F.explode("pii_base").alias("s"))
         hit = hit.select("pii_key", text_col, F.greatest(F.lit(0), F.col("s.start") - 16 * reach).alias("a"), (F.col("s.end") + 16 * reach).alias("b")).distinct()
@@ -129,7 +132,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", re
         each = hit.select("pii_key", F.explode(F.aggregate(F.zip_with(F.slice(gaps, F.lit(1), F.size(got)), got, lambda g, m: F.struct(g.alias("g"), m.alias("m"))), zero, step)["out"]).alias("x"))
         each = each.select("pii_key", "x.*").join(F.broadcast(bad) if fits_broadcast(bad, most_terms) else bad, "term", "left_semi")
         spans = each.groupBy("pii_key").agg(F.array_sort(F.collect_set(F.struct(F.lit(4).alias("kind"), "start", "end"))).alias("pii_term"))
-        out = out.withColumn("pii_key", F.when(F.size("pii_base") > 0, F.xxhash64(text_col))).join(spans, "pii_key", "left").drop("pii_key").withColumn("pii_term", F.coalesce("pii_term", NONE))
+        out = out.withColumn("pii_key", F.when(F.size("pii_base") > 0, F.xxhash64(text_col))).join(spans, "pii_key", "left").drop("pii_key").withColumn("pii_term", F.coalesce("pii_term", none()))
     inside = F.filter("pii_term", lambda x: ~F.exists("pii_base", lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"])))
     out = out.withColumn("pii_spans", F.concat("pii_base", inside)).drop("pii_term")
     return out.withColumn("pii_text", F.when(F.size("pii_spans") > 0, replaced(F.col(text_col), F.col("pii_spans"))).otherwise(F.col(text_col)))
