@@ -21,10 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import drop_stored, stored, workers
+from ._common import drop_stored, fits_broadcast, stored, workers
 from ._text import LOWER, U, grams, hashes, mix, pieces, row_bounds, words
 
 FULL = U(2**64 - 1)
+MOST_IDS = 1_000_000  # ids that are broadcast (8 MB); more are joined by a shuffle
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -119,13 +120,14 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str, ids: DataFrame, k: int)
             g, at = shingle_sets(data, offs, k)
             yield pa.record_batch([b.column(0), _list(g, at)], names=["id", "s"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).join(ids, "id", "left_semi").mapInArrow(run, "id long, s array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).join(F.broadcast(ids) if fits_broadcast(ids, MOST_IDS) else ids, "id", "left_semi").mapInArrow(run, "id long, s array<long>")
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, root): the smallest id reachable over edges (a, b). Union-find in rounds: each root hooks on to the smallest neighbouring root, then paths are halved."""
     both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    now = stored(nodes.select("id", F.col("id").alias("root")), "roots")
+    least = both.groupBy("a").agg(F.min("b").alias("m"))
+    now = stored(nodes.join(least, nodes.id == least.a, "left").select("id", F.least("id", F.coalesce("m", "id")).alias("root")), "roots")
     while True:
         over = both.join(now.select(F.col("id").alias("b"), F.col("root").alias("rb")), "b").groupBy("a").agg(F.min("rb").alias("rb"))
         hook = now.join(over, now.id == over.a, "left").select("id", "root", F.least("root", F.coalesce("rb", "root")).alias("to"))
@@ -217,7 +219,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared_cells = cells.groupBy("band", "cell").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
     busy = stored(cells.join(shared_cells, ["band", "cell"]), "buckets")
 
-    sets = stored(sets_of(docs, id_col, text_col, busy.select("id").distinct(), k).dropDuplicates(["id"]), "sets")
+    sets = stored(sets_of(docs, id_col, text_col, busy.select("id").distinct(), k), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         pairs = pairs.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b").distinct()
