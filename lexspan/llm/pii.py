@@ -132,6 +132,9 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", re
         each = hit.select("pii_key", F.explode(F.aggregate(F.zip_with(F.slice(gaps, F.lit(1), F.size(got)), got, lambda g, m: F.struct(g.alias("g"), m.alias("m"))), zero, step)["out"]).alias("x"))
         each = each.select("pii_key", "x.*").join(F.broadcast(bad) if fits_broadcast(bad, most_terms) else bad, "term", "left_semi")
         spans = each.groupBy("pii_key").agg(F.array_sort(F.collect_set(F.struct(F.lit(4).alias("kind"), "start", "end"))).alias("pii_term"))
+        spans = stored(spans, "spans")
+        if fits_broadcast(spans.select(F.explode("pii_term")), most_terms):  # few: the texts stay where they are
+            spans = F.broadcast(spans)
         out = out.withColumn("pii_key", F.when(F.size("pii_base") > 0, F.xxhash64(text_col))).join(spans, "pii_key", "left").drop("pii_key").withColumn("pii_term", F.coalesce("pii_term", none()))
     inside = F.filter("pii_term", lambda x: ~F.exists("pii_base", lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"])))
     out = out.withColumn("pii_spans", F.concat("pii_base", inside)).drop("pii_term")
