@@ -48,8 +48,8 @@ def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document with its rate and how many copies of it the mixture takes; documents that it takes no copy of go."""
-    return mixing.mix(docs, read(spark, sf_dir, "labels"), F.col("quality").cast("string"), TARGETS).drop("mix_p").withColumnRenamed("mix_tokens", "n_tokens").where("copies > 0")
+    """Each document with its rate and how many copies of it the mixture takes (0 where it takes none; no row goes)."""
+    return mixing.mix(docs, read(spark, sf_dir, "labels"), F.col("quality").cast("string"), TARGETS).drop("mix_p").withColumnRenamed("mix_tokens", "n_tokens")
 
 
 STAGES = [("toxicity", toxic), ("near_duplicates", near_duplicates), ("decontamination", decontaminate), ("pii", sanitise), ("mixing", mix)]
