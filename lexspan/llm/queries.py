@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, decontam, lm, mixing, neardup, pii, quality, repeats, secrets, toxicity
-from ._common import read
+from ._common import LETTERS, read
 
 
 def remainder(id_col: str, n: int) -> Column:
@@ -70,5 +70,40 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_quality, op2_lm_scores, op3_pii, op4_mixing, op5_ann, op6_decontamination, op7_toxicity, op8_near_duplicates, op9_repeats, op10_secrets)}
 
 
+UPPER, LOWER = LETTERS
+#: words and ten-word windows; a shorter item is one window, so documents are cut at every length that items have
+DECONTAMINATION_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark WHERE text IS NOT NULL),
+sized AS (SELECT item_id, ws, least(len(ws), 10) AS n FROM b WHERE len(ws) > 0),
+windows AS (SELECT DISTINCT item_id, n, array_to_string(ws[i:i + n - 1], ' ') AS gram FROM sized, unnest(range(1, len(ws) - n + 2)) AS u(i)),
+grams AS (SELECT doc_id, i, n, array_to_string(ws[i:i + n - 1], ' ') AS gram FROM d, (SELECT DISTINCT n FROM windows), unnest(range(1, len(ws) - n + 2)) AS u(i)),
+hits AS (SELECT doc_id, i, n, item_id FROM grams JOIN windows USING (n, gram)),
+covered AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM hits, unnest(range(i, i + n)) AS u(j) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS listed FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM hits) GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)"""
+#: shared shingles are counted between distinct sets; labels then spread along the links
+NEAR_DUPLICATES_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sets AS (SELECT doc_id, list_sort(list_distinct([array_to_string(ws[i:i + 2], ' ') FOR i IN range(1, greatest(len(ws) - 2, 1) + 1)])) AS s FROM d WHERE len(ws) > 0),
+classes AS (SELECT s, len(s) AS n, min(doc_id) AS c FROM sets GROUP BY s),
+shingles AS (SELECT c, n, x FROM classes, unnest(s) AS u(x)),
+links AS (SELECT a.c AS p, b.c AS q FROM shingles a JOIN shingles b ON a.x = b.x AND a.c <> b.c AND 100 * a.n >= 85 * b.n AND 100 * b.n >= 85 * a.n GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reached(c, label) AS (SELECT c, c FROM classes UNION SELECT q, label FROM reached JOIN links ON p = c WHERE label < q),
+labels_of AS (SELECT c, min(label) AS label FROM reached GROUP BY c)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(label, doc_id) AS component_id, coalesce(label, doc_id) = doc_id AS kept
+FROM documents LEFT JOIN sets USING (doc_id) LEFT JOIN classes USING (s) LEFT JOIN labels_of USING (c)"""
+#: a word goes if one of the thirteen windows that cover it starts in a document with a smaller id, too
+REPEATS_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+words AS (SELECT doc_id, i, ws[i] AS word, CASE WHEN i + 12 <= len(ws) THEN array_to_string(ws[i:i + 12], ' ') END AS gram FROM d, unnest(range(1, len(ws) + 1)) AS u(i)),
+first AS (SELECT gram, min(doc_id) AS first_id FROM words WHERE gram IS NOT NULL GROUP BY gram),
+marked AS (SELECT doc_id, i, word, max(coalesce(first_id < doc_id, false)::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS 12 PRECEDING) AS gone FROM words LEFT JOIN first USING (gram)),
+kept AS (SELECT doc_id, sum(gone)::BIGINT AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE gone = 0) AS rest FROM marked GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(rest, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the operators whose result is fixed by the texts alone; the others learn, or search approximately."""
+    return {"op6_decontamination": DECONTAMINATION_SQL, "op8_near_duplicates": NEAR_DUPLICATES_SQL, "op9_repeats": REPEATS_SQL}
