@@ -16,7 +16,7 @@ from .functions import text as T
 from .operators import chat, layout, train
 from .operators.codec import Codec
 from .registry import CL100K, O200K, R50K, encodings_table, model_encoding_column
-from .sources.ranks import rank_file_path, ranks_table, scan_ranks
+from .sources.ranks import parse_blob, rank_file_path, ranks_table, scan_ranks, write_blob
 
 LETTERS = r"[A-Za-z]+|[^A-Za-z]"
 SEED = "the one that is an other and the for in inn ention eration here there on are was with ing nd Customer Supplier deposits requests furiously carefully " * 3
@@ -206,6 +206,48 @@ def chunk_owner(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "orders").select("o_orderkey", layout.owner(F.col("o_orderkey"), 512, 40).cast("long").alias("chunk"))
 
 
+def encode_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """Raw merges of two ranges that overlap, each on its own."""
+    c = small_codec(spark)
+    data = F.col("p_name").cast("binary")
+    n = F.octet_length(data)
+    r = F.array(F.struct(F.lit(0).alias("start"), F.least(n, F.lit(9)).alias("end")), F.struct(F.least(n, F.lit(5)).alias("start"), n.alias("end")))
+    e = c.encode_ranges(data, r)
+    return read(spark, d, "part").select("p_partkey", e.alias("e")).select("p_partkey", joined(F.col("e")[0]).alias("head"), joined(F.col("e")[1]).alias("tail"))
+
+
+def count_raw_bytes(spark: SparkSession, d: str) -> DataFrame:
+    c = small_codec(spark)
+    return read(spark, d, "supplier").select("s_suppkey", c.count_bytes(F.col("s_name").cast("binary")).cast("long").alias("n"))
+
+
+def decode_tokens_bytes(spark: SparkSession, d: str) -> DataFrame:
+    c = small_codec(spark)
+    t = F.transform(c.decode_tokens_bytes(c.encode_ordinary(F.col("p_name"))), F.hex)
+    return read(spark, d, "part").select("p_partkey", F.array_join(t, " ").alias("tokens"))
+
+
+def token_layout(spark: SparkSession, d: str) -> DataFrame:
+    """Byte starts of all tokens of part names that are encoded as byte ranges of one text after the other."""
+    c = small_codec(spark)
+    t = read(spark, d, "part").select(F.col("p_partkey").alias("range_id"), (F.col("p_partkey") * 64).cast("int").alias("start"), F.posexplode(c.encode_bytes(F.col("p_name").cast("binary"))).alias("pos", "id"))
+    lengths = c.vocabulary().select("id", F.octet_length("token").alias("n"))
+    out = layout.token_layout(t, F.broadcast(lengths), 64, 1_000_000_000)
+    return out.select(F.col("range_id").alias("p_partkey"), *(F.col(x).cast("long").alias(x) for x in ("pos", "token_start", "source_chunk")), "owned")
+
+
+def train_chunk_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Merges learned from pieces that are counted already."""
+    counts = train.piece_counts(read(spark, d, "part"), "p_name", LETTERS).toArrow().to_pylist()
+    merges = train.train_from_counts([(x["piece"].encode(), x["n"]) for x in counts], 300, 1)
+    return ranks_table(spark, train.ranks_from_merges(merges)).select(F.hex("token").alias("token"), F.col("rank").cast("long").alias("rank"))
+
+
+def blob_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """The small vocabulary, written as a binary rank blob and parsed again."""
+    return ranks_table(spark, parse_blob(write_blob(small()._mergeable_ranks))).select(F.hex("token").alias("token"), F.col("rank").cast("long").alias("rank"))
+
+
 def encode_stitched(spark: SparkSession, d: str) -> DataFrame:
     c = small_codec(spark)
     s = layout.encode_stitched(c, read(spark, d, "part").select("p_partkey", "p_name"), "p_name", 16, 8)
@@ -216,6 +258,7 @@ QUERIES = (
     tokens_by_lang, encode_ordinary, encode_part_names, count_tokens, within_limit, encode_raw_bytes, special_split, special_policy, single_token_lookup, decode_roundtrip, decode_offsets, encode_generator,
     decode_generator, piece_frequency, pieces_letter_space, piece_ranges, byte_measures, class_boundaries, utf8_bytes, model_to_encoding, encodings, vocab_scan, token_byte_values, merge_pairs,
     train_pair_counts, train_merges, chat_render, chat_count, chunk_layout, filter_by_flags, chunk_owner, encode_stitched,
+    encode_ranges, count_raw_bytes, decode_tokens_bytes, token_layout, train_chunk_counts, blob_roundtrip,
 )
 
 
@@ -247,12 +290,47 @@ SELECT k, string_agg(rnk::VARCHAR, ' ' ORDER BY i, j) AS ids FROM (SELECT k, i,
 WHITE = r"\t\n\x0b\f\r \x{85}\p{Z}"
 
 
-def _pieces_sql(pattern: str, wide: str) -> str:
+def _pieces_list(pattern: str, wide: str) -> str:
     """Split in an engine without look-ahead: a mark is put before the last of several white-space characters that others follow."""
     mark = ""
     last = WHITE if pattern == "r50k" else WHITE.replace(r"\n", "").replace(r"\r", "")
     q = wide.replace("'", "''")
-    return f"""SELECT doc_id, len(p)::BIGINT AS n, md5(array_to_string(p, '|')) AS digest FROM (SELECT doc_id, regexp_extract_all(regexp_replace(text, '([{WHITE}])([{last}])([^{WHITE}])', '\\1{mark}\\2\\3', 'g'), '{q}') AS p FROM documents)"""
+    return f"""regexp_extract_all(regexp_replace(text, '([{WHITE}])([{last}])([^{WHITE}])', '\\1{mark}\\2\\3', 'g'), '{q}')"""
+
+
+def _pieces_sql(pattern: str, wide: str) -> str:
+    return f"SELECT doc_id, len(p)::BIGINT AS n, md5(array_to_string(p, '|')) AS digest FROM (SELECT doc_id, {_pieces_list(pattern, wide)} AS p FROM documents)"
+
+
+def _train_sql(pieces: str, steps: int, least: int) -> str:
+    """Learning from a list of (piece): an id is a character (20000 + id), so that a merge is a replacement in a string."""
+    return f"""WITH RECURSIVE counted AS (SELECT hex(encode(piece)) AS h, count(*) AS n FROM ({pieces}) WHERE strlen(piece) > 1 GROUP BY piece),
+state(i, w, n, p) AS (
+  SELECT 0, array_to_string([chr(20000 + ('0x' || h[2 * j - 1:2 * j])::INT) FOR j IN range(1, len(h) // 2 + 1)], ''), n, '' FROM counted
+  UNION ALL
+  SELECT i + 1, replace(w, b.pair, chr(20256 + i)), n, b.pair FROM state, (
+    SELECT w[j:j + 1] AS pair, sum(n) AS c FROM state, unnest(range(1, length(w))) AS u(j) GROUP BY pair ORDER BY c DESC, pair LIMIT 1) b
+  WHERE i < {steps} AND length(w) > 1 AND c >= {least}),
+merges AS (SELECT DISTINCT i - 1 AS i, p FROM state WHERE i > 0),
+spelled(i, s, k) AS (SELECT i, p, i - 1 FROM merges UNION ALL SELECT x.i, replace(s, chr(20256 + k), m.p), k - 1 FROM spelled x JOIN merges m ON m.i = k),
+tokens AS (SELECT array_to_string([printf('%02X', unicode(s[j]) - 20000) FOR j IN range(1, length(s) + 1)], '') AS token, 256 + i AS rank FROM spelled WHERE k < 0
+  UNION ALL SELECT printf('%02X', r), r FROM range(256) AS t(r))
+SELECT token, max(rank)::BIGINT AS rank FROM tokens GROUP BY token"""
+
+
+def _count_sql(pieces: str) -> str:
+    """Token counts by language with the vocabulary that the rank file holds."""
+    return f"""WITH RECURSIVE vocab AS (SELECT hex(from_base64(column0)) AS tok, column1::BIGINT AS rnk FROM read_csv('{rank_file_path("r50k_base")}', delim=' ', header=false, quote='', escape='', columns={{'column0': 'VARCHAR', 'column1': 'BIGINT'}})),
+pos AS (SELECT lang, unnest({pieces}) AS piece FROM documents),
+seen AS (SELECT lang, hex(encode(piece)) AS h, count(*) AS n FROM pos GROUP BY ALL),
+bpe(h, parts) AS (
+  SELECT h, CASE WHEN h IN (SELECT tok FROM vocab) THEN [h] ELSE [h[2 * j - 1:2 * j] FOR j IN range(1, len(h) // 2 + 1)] END FROM (SELECT DISTINCT h FROM seen)
+  UNION ALL
+  SELECT h, parts[1:b - 1] || [parts[b] || parts[b + 1]] || parts[b + 2:] FROM (
+    SELECT h, parts, arg_min(j, rnk * 1000000 + j) AS b FROM bpe, unnest(range(1, len(parts))) AS u(j) JOIN vocab ON tok = parts[j] || parts[j + 1] GROUP BY h, parts)),
+done AS (SELECT h, min(len(parts)) AS k FROM bpe GROUP BY h),
+docs AS (SELECT lang, count(*) AS n_docs FROM documents GROUP BY lang)
+SELECT docs.lang, n_docs, coalesce(n_tokens, 0)::BIGINT AS n_tokens FROM docs LEFT JOIN (SELECT lang, sum(n * k) AS n_tokens FROM seen JOIN done USING (h) GROUP BY lang) x ON x.lang IS NOT DISTINCT FROM docs.lang"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -265,7 +343,19 @@ def oracle_sql() -> dict[str, str]:
     words = "SELECT unnest(string_split(text, ' ')) AS word FROM documents"
     count = "SELECT k, sum(len(parts))::BIGINT AS n FROM pos JOIN done USING (piece) GROUP BY k"
     segs = "(SELECT conv_id, turn * 3 + 1 AS o, '[[role:' || CASE WHEN coalesce(role, '') = '' THEN 'user' ELSE role END || ']]' || chr(10) AS s FROM conversations UNION ALL SELECT conv_id, turn * 3 + 2, text FROM conversations WHERE coalesce(text, '') <> '' UNION ALL SELECT conv_id, turn * 3 + 3, chr(10) || '[[/message]]' || chr(10) FROM conversations UNION ALL SELECT DISTINCT conv_id, 1000000000, '[[role:assistant]]' || chr(10) FROM conversations)"
+    range_sql = lambda col, text: "SELECT k AS p_partkey, ids AS " + col + " FROM (" + _ids_sql("part", "p_partkey", text, framed=False).replace("AS p_partkey", "AS k") + ")"
+    ranks = rank_file_path("r50k_base")
     return {
+        "tokens_by_lang": _count_sql(_pieces_list("r50k", r50k)),
+        "vocab_scan": f"SELECT octet_length(tok)::BIGINT AS n_bytes, count(*) AS n, max(rnk) AS top FROM (SELECT from_base64(a) AS tok, b AS rnk FROM read_csv('{ranks}', delim=' ', header=false, quote='', escape='', columns={{'a': 'VARCHAR', 'b': 'BIGINT'}})) GROUP BY 1",
+        "encodings": "SELECT * FROM (VALUES ('o200k_base', 200019, 199999, 'o200k_base', 2), ('o200k_harmony', 200019, 199999, 'o200k_base', 2), ('cl100k_base', 100277, 100257, 'cl100k_base', 5), ('p50k_base', 50281, 50256, 'p50k_base', 1), ('p50k_edit', 50281, 50256, 'p50k_base', 1), ('r50k_base', 50257, 50256, 'r50k_base', 1), ('gpt2', 50257, 50256, 'r50k_base', 1)) AS t(name, n_vocab, eot_token, rank_file, n_specials)",
+        "encode_ranges": f"SELECT a.p_partkey, head, tail FROM ({range_sql('head', 'p_name[:9]')}) a JOIN ({range_sql('tail', 'p_name[6:]')}) b ON a.p_partkey = b.p_partkey",
+        "count_raw_bytes": _merge_sql("supplier", "s_suppkey", "s_name", framed=False) + f"SELECT s.k AS s_suppkey, coalesce(c.n, 0)::BIGINT AS n FROM src s LEFT JOIN ({count}) c USING (k)",
+        "decode_tokens_bytes": _merge_sql("part", "p_partkey", "p_name") + "SELECT k AS p_partkey, string_agg(upper(parts[j]), ' ' ORDER BY i, j) AS tokens FROM pos JOIN done USING (piece), unnest(range(1, len(parts) + 1)) AS u(j) GROUP BY k",
+        "token_layout": _merge_sql("part", "p_partkey", "p_name", framed=False) + "SELECT p_partkey, pos, token_start, p_partkey AS source_chunk, token_start // 64 = p_partkey AS owned FROM (SELECT k AS p_partkey, (j - 1)::BIGINT AS pos, (k * 64 + strlen(array_to_string(parts[:j - 1], '')) // 2)::BIGINT AS token_start FROM pos JOIN done USING (piece), unnest(range(1, len(parts) + 1)) AS u(j))",
+        "train_chunk_counts": _train_sql(f"SELECT unnest(regexp_extract_all(p_name, '{LETTERS}', 0, 's')) AS piece FROM part", 44, 1),
+        "train_merges": _train_sql(f"SELECT unnest({_pieces_list('o200k', o200k)}) AS piece FROM documents", 256, 2),
+        "blob_roundtrip": f"SELECT * FROM (VALUES {vocab}) AS t(token, rank)",
         "encode_ordinary": _ids_sql("nation", "n_nationkey", "n_name"),
         "encode_part_names": _ids_sql("part", "p_partkey", "p_name"),
         "encode_raw_bytes": _ids_sql("supplier", "s_suppkey", "s_name", framed=False),
