@@ -26,6 +26,7 @@ from ._text import LOWER, U, grams, hashes, mix, pieces, row_bounds, words
 
 FULL = U(2**64 - 1)
 MOST_IDS = 1_000_000  # ids that are broadcast (8 MB); more are joined by a shuffle
+MOST_SHINGLES = 2_000_000  # of the documents of one block, together (16 MB)
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -151,11 +152,11 @@ def unlike_cells(rows: DataFrame) -> DataFrame:
 
 
 def compare_families(rows: DataFrame, percent: int, block: int = 512) -> DataFrame:
-    """Links (a, b) between components, among documents of one family that share a band. rows: id, root, bands, family, s.
+    """Links (a, b) between components, among documents of one family that share a band. rows: id, n, root, bands, family, s.
 
-    A family is cut into blocks, and every two blocks meet in one group of at most about 2 * block documents, whose full sets are
-    compared as rows of bits. Only links that join two components inside the group come out: fewer than it has documents."""
-    sizes = rows.groupBy("family").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    A family is cut into blocks of about `block` documents, fewer if their sets are large, and every two blocks meet in one group,
+    whose full sets are compared as rows of bits. Only links that join two components inside the group come out: fewer than it has documents."""
+    sizes = rows.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n") / MOST_SHINGLES)).cast("int").alias("blocks"))
     r = rows.join(sizes, "family").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     r = r.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     r = r.select("family", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "id", "root", "bands", "s")
@@ -233,7 +234,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     held = node.select("id")
     roots = components(held, links)
     apart = stored(unlike_cells(busy.join(roots, "id")), "apart")
-    own = apart.groupBy("id").agg(F.min("root").alias("root")).join(node.select("id", "bands"), "id")
+    own = apart.groupBy("id").agg(F.min("root").alias("root")).join(node.select("id", "n", "bands"), "id")
     low = apart.groupBy("band", "cell").agg(F.min("id").alias("low"))
     family = components(own, apart.join(low, ["band", "cell"]).where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")))
     more = stored(compare_families(own.join(family.withColumnRenamed("root", "family"), "id").join(sets, "id"), percent), "links")
