@@ -52,7 +52,7 @@ def plan_windows(docs: DataFrame, items: DataFrame, text_col: str = "text", item
     small = fits_broadcast(win, broadcast_windows)
     terms = win.select(F.explode("terms").alias("term")).distinct()
     n = term_counts(docs, text_col, terms, small)
-    each = win.select("item", "terms", F.posexplode("terms").alias("at", "term")).join(n, "term")
+    each = win.select("item", "terms", F.posexplode("terms").alias("at", "term")).join(F.broadcast(n) if small else n, "term")  # small: at most `size` terms a window
     order = F.transform(F.array_sort(F.collect_list(F.struct("n", "at"))), lambda x: x["at"])
     return stored(each.groupBy("item", "terms").agg(order.alias("order")), "plan"), small
 
