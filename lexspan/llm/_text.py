@@ -4,7 +4,9 @@ Text is handled as UTF-8 bytes. The separators are ASCII, so words found in byte
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from contextlib import suppress
 from functools import lru_cache
 
 import numpy as np
@@ -54,6 +56,13 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offs - offs[0]
 
 
+def release() -> None:
+    """Free memory goes back to the system: Spark keeps idle Python workers for a while, beside a JVM that may need it."""
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = 3 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Row slices of about `most` bytes of text each (one row may have more), with their bytes and offsets."""
     for b in batches:
@@ -63,6 +72,7 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = 3 << 20) ->
             j = max(i + 1, int(np.searchsorted(offs, offs[i] + most, "right")) - 1)
             yield b.slice(i, j - i), data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
             i = j
+    release()
 
 
 def words(data: np.ndarray, offs: np.ndarray, inside: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
