@@ -2,8 +2,8 @@
 
 Base spans come from patterns: e-mail addresses, IP addresses, card and phone numbers (the protected entities). Then co-occurrence in
 the corpus tells what other terms reveal an entity. Around each mention of an entity stands a context of `reach` words on each side. For a term t and an entity e,
-with counts of distinct contexts (so copies of a text count once), P(e | t) = n(e, t) / n(t), where n(t) is the larger of the number
-of distinct texts with t and of its contexts with any entity, and the pointwise mutual information is
+with counts of distinct texts (so copies of a text count once, and a text counts once however many entities stand in it),
+P(e | t) = n(e, t) / n(t), where n(e, t) texts hold t in a context of e and n(t) texts hold t, and the pointwise mutual information is
 log2(P(e | t) / P(e)). A term is disclosing if at least `support` distinct contexts of e hold it, P(e | t) >= `posterior` over all the
 term's occurrences in the corpus, and the information is at least `bits`. Disclosing terms inside those contexts become spans of
 kind `term`; they are removed, or generalised to their shape where they hold digits. Terms shorter than 4 characters never disclose.
@@ -83,22 +83,29 @@ def tokens(s: Column) -> Column:
     return F.filter(F.split(F.lower(s), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 3)
 
 
+def mentions(found: DataFrame, text_col: str) -> DataFrame:
+    """(entity, copy, t, s): each base span with its entity, its text and the text's key."""
+    x = found.select(F.col(text_col).alias("t"), F.xxhash64(text_col).alias("copy"), F.explode("pii_base").alias("s"))
+    return x.select(F.xxhash64("s.kind", F.substring(F.col("t"), F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))).alias("entity"), "copy", "t", "s")
+
+
 def contexts(found: DataFrame, text_col: str, reach: int) -> DataFrame:
-    """(entity, ctx, term): the distinct terms of the distinct contexts of each entity. A context is `reach` words on both sides."""
-    x = found.select(F.col(text_col).alias("t"), F.explode("pii_base").alias("s"))
+    """(entity, copy, ctx, term): the distinct terms of the contexts of each entity, by text. A context is `reach` words on both sides."""
     before = F.substring(F.col("t"), F.greatest(F.lit(1), F.col("s.start") + 1 - 16 * reach), F.least(F.col("s.start"), F.lit(16 * reach)))
     after = F.substring(F.col("t"), F.col("s.end") + 1, F.lit(16 * reach))
     near = F.concat(F.slice(F.reverse(tokens(before)), 1, reach), F.slice(tokens(after), 1, reach))
-    x = x.select(F.xxhash64("s.kind", F.substring(F.col("t"), F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))).alias("entity"), near.alias("near"))
-    return x.select("entity", F.xxhash64(F.array_sort(F.array_distinct("near"))).alias("ctx"), F.explode(F.array_distinct("near")).alias("term")).distinct()
+    x = mentions(found, text_col).select("entity", "copy", F.array_distinct(near).alias("near"))
+    return x.select("entity", "copy", F.xxhash64(F.array_sort("near")).alias("ctx"), F.explode("near").alias("term")).distinct()
 
 
 def disclosing(docs: DataFrame, found: DataFrame, text_col: str, reach: int, support: int, posterior: float, bits: float) -> DataFrame:
     """(term): the terms that reveal an entity. Counts of candidates run over every document of the corpus."""
-    every = stored(contexts(found, text_col, reach).groupBy("entity", "term").agg(F.count("*").alias("n")), "pairs")
-    total = every.groupBy("term").agg(F.sum("n").alias("n_near"))
-    # common words stand near many entities: most fall here, before the corpus is asked
-    pair = stored(every.where(F.col("n") >= support).join(total, "term").where(F.col("n") >= posterior * F.col("n_near")), "candidates")
+    every = stored(contexts(found, text_col, reach), "contexts")
+    total = every.groupBy("term").agg(F.count_distinct("copy").alias("n_near"))
+    count = every.groupBy("entity", "term").agg(F.count_distinct("ctx").alias("n_ctx"), F.count_distinct("copy").alias("n"))
+    # common words stand near many entities: most fall here, before the corpus is asked. n_near is at most the number of texts with
+    # the term, so no pair is lost that could reach the posterior
+    pair = stored(count.where(F.col("n_ctx") >= support).join(total, "term").where(F.col("n") >= posterior * F.col("n_near")), "candidates")
     if pair.isEmpty():
         return pair.select("term")
     cand = pair.select("term").distinct()
@@ -106,7 +113,7 @@ def disclosing(docs: DataFrame, found: DataFrame, text_col: str, reach: int, sup
     all_terms = docs.select(F.explode(F.array_distinct(tokens(F.coalesce(F.col(text_col), F.lit(""))))).alias("term"), F.xxhash64(text_col).alias("copy"))
     n_term = all_terms.join(F.broadcast(cand) if small else cand, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_term"))
     n_all = docs.select(F.xxhash64(text_col)).distinct().count()
-    n_entity = pair.groupBy("entity").agg(F.max("n").alias("n_entity"))
+    n_entity = mentions(found, text_col).groupBy("entity").agg(F.count_distinct("copy").alias("n_entity"))
     p = F.col("n") / F.greatest("n_term", "n_near")
     return pair.join(n_term, "term").join(n_entity, "entity").where((p >= posterior) & (F.log2(p * n_all / F.col("n_entity")) >= bits)).select("term").distinct()
 

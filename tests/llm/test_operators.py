@@ -212,6 +212,13 @@ def test_disclosing_terms(spark):
     assert all("zorblax" in r["pii_text"] for r in pii.sanitise(spark.createDataFrame(copies + rows[12:], "doc_id long, text string"), bits=4.0).where("doc_id < 50").collect())
 
 
+def test_disclosing_term_beside_two_entities(spark):
+    longer = lambda n: " ".join(f"term{R.randrange(60)}" for _ in range(n))
+    rows = [(i, f"{longer(9)} zorblax mail jo@x.org or +1 (555) 123-4567 {longer(9)}") for i in range(12)] + [(100 + i, longer(30)) for i in range(400)]
+    got = pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string"), bits=4.0).where("doc_id < 12").collect()
+    assert len(got) == 12 and all("zorblax" not in r["pii_text"] and "[EMAIL]" in r["pii_text"] and "[PHONE]" in r["pii_text"] for r in got)
+
+
 def test_secrets(spark, none):
     head = base64.urlsafe_b64encode(json.dumps({"alg": "HS256", "typ": "JWT"}).encode()).decode().rstrip("=")
     bad = base64.urlsafe_b64encode(b'{"typ": "x", "other": 1}').decode().rstrip("=")
