@@ -5,8 +5,8 @@ the corpus tells what other terms reveal an entity. Around each mention of an en
 with counts of distinct texts (so copies of a text count once, and a text counts once however many entities stand in it),
 P(e | t) = n(e, t) / n(t), where n(e, t) texts hold t in a context of e and n(t) texts hold t, and the pointwise mutual information is
 log2(P(e | t) / P(e)). A term is disclosing if at least `support` distinct contexts of e hold it, P(e | t) >= `posterior` over all the
-term's occurrences in the corpus, and the information is at least `bits`. Disclosing terms inside those contexts become spans of
-kind `term`; they are removed, or generalised to their shape where they hold digits. Terms shorter than 4 characters never disclose.
+term's occurrences in the corpus, and the information is at least `bits`. Disclosing terms become spans of kind `term` wherever they
+occur, in texts without an entity too; they are removed, or generalised to their shape where they hold digits. Terms shorter than 4 characters never disclose.
 
 DataFrame functions only. Null texts are empty. Null ids keep their row. Repeated rows give repeated results, and count once as
 contexts. Overlapping spans: text is replaced once for their union, in the name of the first. Other columns are left as they are; the names
@@ -80,7 +80,23 @@ def with_spans(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def tokens(s: Column) -> Column:
-    return F.filter(F.split(F.lower(s), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 3)
+    """Words are lower-cased one by one, as in places(): lower-casing a whole text can move their bounds."""
+    return F.filter(F.transform(F.split(s, r"[^\p{L}\p{N}]+"), lambda w: F.lower(w)), lambda w: F.length(w) > 3)
+
+
+def places(text: Column, terms: Column) -> Column:
+    """Spans (kind 4) of every occurrence of terms in text."""
+    word = r"[\p{L}\p{N}]+"
+    got, gaps = F.regexp_extract_all(text, F.lit(word), 0), F.split(text, word, -1)
+    zero = F.struct(F.lit(0).alias("at"), none().alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + F.length(x["gap"])
+        end = start + F.length(x["m"])
+        one = F.array(F.struct(F.lit(4).alias("kind"), start.alias("start"), end.alias("end")))
+        return F.struct(end.alias("at"), F.when(F.array_contains(terms, F.lower(x["m"])), F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+
+    return F.aggregate(F.zip_with(F.slice(gaps, F.lit(1), F.size(got)), got, lambda g, m: F.struct(g.alias("gap"), m.alias("m"))), zero, step)["out"]
 
 
 def mentions(found: DataFrame, text_col: str) -> DataFrame:
@@ -121,7 +137,7 @@ def disclosing(docs: DataFrame, found: DataFrame, text_col: str, reach: int, sup
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 8, support: int = 5, posterior: float = 0.8, bits: float = 6.0, most_terms: int = 100_000) -> DataFrame:
     """docs with pii_base, pii_spans (base and term spans, by kind, then start) and pii_text (the sanitised text) added.
 
-    The disclosing terms, which few documents hold, are looked up in the contexts of the documents with entities only."""
+    The disclosing terms are looked up in the words of every text; places are made in the texts that hold one."""
     base = with_spans(docs.select(id_col, text_col), text_col)
     found = stored(base.where(F.size("pii_base") > 0).select(text_col, "pii_base"), "entities")
     bad = stored(disclosing(docs, found, text_col, reach, support, posterior, bits), "terms")
@@ -129,20 +145,14 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", re
     if bad.isEmpty():
         out = out.withColumn("pii_term", none())
     else:
-        hit = found.select(F.xxhash64(text_col).alias("pii_key"), text_col, F.explode("pii_base").alias("s"))
-        hit = hit.select("pii_key", text_col, F.greatest(F.lit(0), F.col("s.start") - 16 * reach).alias("a"), (F.col("s.end") + 16 * reach).alias("b")).distinct()
-        piece = F.substring(F.col(text_col), F.col("a") + 1, F.col("b") - F.col("a"))
-        rx = r"[\p{L}\p{N}]+"
-        got, gaps = F.regexp_extract_all(piece, F.lit(rx), 0), F.split(piece, rx, -1)
-        zero = F.struct(F.col("a").alias("at"), F.array().cast("array<struct<term:string,start:int,end:int>>").alias("out"))
-        step = lambda acc, x: F.struct((acc["at"] + F.length(x["g"]) + F.length(x["m"])).alias("at"), F.concat(acc["out"], F.array(F.struct(F.lower(x["m"]).alias("term"), (acc["at"] + F.length(x["g"])).alias("start"), (acc["at"] + F.length(x["g"]) + F.length(x["m"])).alias("end")))).alias("out"))
-        each = hit.select("pii_key", F.explode(F.aggregate(F.zip_with(F.slice(gaps, F.lit(1), F.size(got)), got, lambda g, m: F.struct(g.alias("g"), m.alias("m"))), zero, step)["out"]).alias("x"))
-        each = each.select("pii_key", "x.*").join(F.broadcast(bad) if fits_broadcast(bad, most_terms) else bad, "term", "left_semi")
-        spans = each.groupBy("pii_key").agg(F.array_sort(F.collect_set(F.struct(F.lit(4).alias("kind"), "start", "end"))).alias("pii_term"))
-        spans = stored(spans, "spans")
-        if fits_broadcast(spans.select(F.explode("pii_term")), most_terms):  # few: the texts stay where they are
-            spans = F.broadcast(spans)
-        out = out.withColumn("pii_key", F.when(F.size("pii_base") > 0, F.xxhash64(text_col))).join(spans, "pii_key", "left").drop("pii_key").withColumn("pii_term", F.coalesce("pii_term", none()))
+        text = F.coalesce(F.col(text_col), F.lit(""))
+        each = docs.select(F.xxhash64(text_col).alias("pii_key"), F.explode(F.array_distinct(tokens(text))).alias("term"))
+        each = stored(each.join(F.broadcast(bad) if fits_broadcast(bad, most_terms) else bad, "term", "left_semi").distinct(), "hits")
+        held = each.groupBy("pii_key").agg(F.collect_list("term").alias("pii_held"))
+        if fits_broadcast(each, most_terms):  # few: the texts stay where they are
+            held = F.broadcast(held)
+        out = out.withColumn("pii_key", F.xxhash64(text_col)).join(held, "pii_key", "left").drop("pii_key")
+        out = out.withColumn("pii_term", F.when(F.col("pii_held").isNotNull(), places(text, F.col("pii_held"))).otherwise(none())).drop("pii_held")
     inside = F.filter("pii_term", lambda x: ~F.exists("pii_base", lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"])))
     out = out.withColumn("pii_spans", F.concat("pii_base", inside)).drop("pii_term")
     return out.withColumn("pii_text", F.when(F.size("pii_spans") > 0, replaced(F.col(text_col), F.col("pii_spans"))).otherwise(F.col(text_col)))

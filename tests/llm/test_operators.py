@@ -219,6 +219,18 @@ def test_disclosing_term_beside_two_entities(spark):
     assert len(got) == 12 and all("zorblax" not in r["pii_text"] and "[EMAIL]" in r["pii_text"] and "[PHONE]" in r["pii_text"] for r in got)
 
 
+def test_disclosing_terms_everywhere(spark):
+    longer = lambda n: " ".join(f"term{R.randrange(60)}" for _ in range(n))
+    rows = [(i, f"{longer(9)} zorblax mail jo@x.org {longer(60)} Zorblax {longer(3)}") for i in range(12)] + [(100 + i, longer(30)) for i in range(400)]
+    rows += [(50, f"é {longer(40)} ZORBLAX, zorblaxes"), (51, None), (52, "")]
+    got = {r["doc_id"]: r for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string"), bits=4.0).collect()}
+    for i, t in rows:
+        at = [(4, m.start(), m.end()) for m in re.finditer(r"\b(zorblax|mail)\b", t or "", re.I)]  # each stands beside the address only
+        assert [tuple(x) for x in got[i]["pii_spans"] if x["kind"] == 4] == at
+        assert len(at) == (3 if i < 12 else i == 50) and not re.search(r"\bzorblax\b", got[i]["pii_text"] or "", re.I)
+    assert got[50]["pii_text"].endswith(" [REMOVED], zorblaxes") and got[51]["pii_text"] is None and len(got) == len(rows)
+
+
 def test_secrets(spark, none):
     head = base64.urlsafe_b64encode(json.dumps({"alg": "HS256", "typ": "JWT"}).encode()).decode().rstrip("=")
     bad = base64.urlsafe_b64encode(b'{"typ": "x", "other": 1}').decode().rstrip("=")
