@@ -329,6 +329,37 @@ def test_lm(docs, none, rows):
     assert lm.score_texts(none, held).count() == 0
 
 
+def test_lm_learns_from_all_documents(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(lm.SubwordLM, "train", lambda self, texts, *a, **k: seen.append((self, len(texts))))
+    # words of the second half stand in no document of a sample of 2: they get classes by what stands beside them
+    rows = [(i, " ".join(R.choice(("red", "blue", "green") if j % 2 else ("one", "two", "three")) for j in range(30))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    few = {r["doc_id"] for r in df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2).collect()}
+    df = df.withColumn("text", F.when(F.col("doc_id").isin(few), "nothing here").otherwise(F.col("text")))
+    lm.score_texts(df, F.lit(False), sample=2).count()
+    model, tok = seen[0][0], lm.tokenizer(open(lm.VOCAB, "rb").read())[0]
+    a, b = ([tok.encode(" " + w)[0] for w in ws] for ws in (("red", "blue", "green"), ("one", "two", "three")))
+    assert all(model.cls[i] < lm.CLASSES - 4 and model.slot[i] < lm.OWN for i in a + b)
+    assert not set(model.ctx[a]) & set(model.ctx[b])
+
+
+def test_lm_attention_goes_on_with_all_partitions(spark):
+    m = lm.SubwordLM(5000)
+    texts = [np.array([R.randrange(1000 * (i % 3), 1000 * (i % 3) + 1000) for _ in range(100)], np.uint16) for i in range(60)]
+    m.set_classes(texts)
+    lm.workers(spark)
+    df = spark.createDataFrame([(t.tobytes(),) for t in texts], "ids binary").repartition(3)
+    before = {k: x.copy() for k, x in m.p.items()}
+    lm.averaged(df, spark.sparkContext.broadcast(m), m)
+    used = np.unique(m.slot[np.concatenate(texts)])
+    assert (np.abs(m.p["E"] - before["E"]).max(1)[used] > 0).all() and all(np.isfinite(x).all() and x.shape == before[k].shape for k, x in m.p.items())
+    # neighbour counts by partition add up to those of one run
+    count = np.bincount(np.concatenate([np.append(t, 5000) for t in texts]), minlength=5001)
+    got = lm.neighbours(df, spark.sparkContext.broadcast(lm.ranks_of(count)), 5000)
+    assert got.sum() > 0 and got[: 5001 * 128].sum() >= 0.9 * (lm.ranks_of(count)[np.concatenate(texts)] < 128).sum()
+
+
 def test_lm_is_causal_and_sums_to_one():
     m = lm.SubwordLM(5000)
     t = [np.array([R.randrange(5000) for _ in range(50)], np.uint16) for _ in range(5)]
