@@ -107,9 +107,16 @@ def mentions(found: DataFrame, text_col: str) -> DataFrame:
 
 def contexts(found: DataFrame, text_col: str, reach: int) -> DataFrame:
     """(entity, copy, ctx, term): the distinct terms of the contexts of each entity, by text. A context is `reach` words on both sides."""
-    before = F.substring(F.col("t"), F.greatest(F.lit(1), F.col("s.start") + 1 - 16 * reach), F.least(F.col("s.start"), F.lit(16 * reach)))
-    after = F.substring(F.col("t"), F.col("s.end") + 1, F.lit(16 * reach))
-    near = F.concat(F.slice(F.reverse(tokens(before)), 1, reach), F.slice(tokens(after), 1, reach))
+    word, start, end = r"[\p{L}\p{N}]+", F.col("s.start"), F.col("s.end")
+    wide = 32 * reach
+    all_words = lambda x: F.regexp_extract_all(x, F.lit(word), 0)
+    # a near piece does if it holds more than `reach` words (the outermost may be cut), else all that stands on that side is read
+    before = all_words(F.substring(F.col("t"), F.greatest(F.lit(1), start + 1 - wide), F.least(start, F.lit(wide))))
+    before = F.when((F.size(before) > reach) | (start <= wide), before).otherwise(all_words(F.substring(F.col("t"), F.lit(1), start)))
+    after = all_words(F.substring(F.col("t"), end + 1, F.lit(wide)))
+    after = F.when((F.size(after) > reach) | (F.length("t") - end <= wide), after).otherwise(all_words(F.substring(F.col("t"), end + 1, F.length("t"))))
+    near = F.concat(F.slice(F.reverse(before), 1, reach), F.slice(after, 1, reach))
+    near = F.filter(F.transform(near, lambda w: F.lower(w)), lambda w: F.length(w) > 3)
     x = mentions(found, text_col).select("entity", "copy", F.array_distinct(near).alias("near"))
     return x.select("entity", "copy", F.xxhash64(F.array_sort("near")).alias("ctx"), F.explode("near").alias("term")).distinct()
 
@@ -134,7 +141,7 @@ def disclosing(docs: DataFrame, found: DataFrame, text_col: str, reach: int, sup
     return pair.join(n_term, "term").join(n_entity, "entity").where((p >= posterior) & (F.log2(p * n_all / F.col("n_entity")) >= bits)).select("term").distinct()
 
 
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 8, support: int = 5, posterior: float = 0.8, bits: float = 6.0, most_terms: int = 100_000) -> DataFrame:
+def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 8, support: int = 2, posterior: float = 0.8, bits: float = 6.0, most_terms: int = 100_000) -> DataFrame:
     """docs with pii_base, pii_spans (base and term spans, by kind, then start) and pii_text (the sanitised text) added.
 
     The disclosing terms are looked up in the words of every text; places are made in the texts that hold one."""

@@ -219,6 +219,14 @@ def test_disclosing_term_beside_two_entities(spark):
     assert len(got) == 12 and all("zorblax" not in r["pii_text"] and "[EMAIL]" in r["pii_text"] and "[PHONE]" in r["pii_text"] for r in got)
 
 
+def test_disclosing_term_in_few_texts(spark):
+    longer = lambda n: " ".join(f"term{R.randrange(60)}" for _ in range(n))
+    wide = "x" * 150  # the name stands within 8 words, beyond 128 characters
+    rows = [(i, f"{longer(9)} zorblax {wide} jo@x.org {longer(9)}") for i in range(3)] + [(100 + i, longer(30)) for i in range(400)]
+    got = pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id < 3").collect()
+    assert len(got) == 3 and all("zorblax" not in r["pii_text"] and "term" in r["pii_text"] for r in got)
+
+
 def test_disclosing_terms_everywhere(spark):
     longer = lambda n: " ".join(f"term{R.randrange(60)}" for _ in range(n))
     rows = [(i, f"{longer(9)} zorblax mail jo@x.org {longer(60)} Zorblax {longer(3)}") for i in range(12)] + [(100 + i, longer(30)) for i in range(400)]
