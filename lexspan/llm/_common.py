@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import uuid
 from pathlib import Path
@@ -11,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
+#: drops the shuffle files of a query at its end; set while a table is stored, as nothing else reads them
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 LETTERS = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -27,10 +28,12 @@ def workers(spark: SparkSession) -> None:
 
 
 def shared(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset and driver and executors are one machine."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file:///tmp/checkpoints/lexspan"
         sc.setCheckpointDir(base)
     return base.rstrip("/")
@@ -41,10 +44,12 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def free(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of plans that are no longer referenced."""
-    gc.collect()
-    spark._jvm.System.gc()
+def unused(name: str, columns: list[str]) -> str:
+    """name, with an underscore more as long as a column has it (in any case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -54,9 +59,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared(spark)}/lexspan/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
-    del df
-    free(spark)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before else spark.conf.unset(CLEANUP)
     out = spark.read.schema(schema).parquet(path)
     out.stored_at = path
     return out

@@ -4,15 +4,19 @@ Words are runs of characters other than ASCII white space, unchanged. A window i
 if a window that covers it also starts in a document with a smaller id (judged on the input).
 
 1. Anchors: the smallest of the hashes of the k-word phrases inside a window. Equal windows have equal anchors; about a fifth of all places are anchors.
-2. Anchors seen in two documents or more mark the places worth a look: runs of windows around such an anchor, as sequences of word numbers.
-3. Windows of these runs that recur in another document are confirmed by grouped counts, with the smallest id that has them.
-4. The runs are dealt to shards by anchor. Each shard compiles its confirmed windows into an Aho-Corasick automaton (over
-   symbols of overlapping phrases, two to a window) and streams its distinct runs through it; shards with many runs are cut into parts.
-5. Places found are gathered by document, and the text is rebuilt without them.
+2. Every document is read again; its runs of windows around anchors that two ids have (all others occur in one document only) are
+   kept with their words. Equal runs are one from here on, with the smallest and largest id that has them.
+3. Windows of these runs that two ids have are confirmed by grouped counts. What their first document holds of them is cut out as passages, in words.
+4. Runs and passages are dealt to shards by anchor. Each shard compiles an Aho-Corasick automaton of its passages and streams all its runs
+   through it; a shard with many runs is cut into parts. What the automaton matches is what is found: each match is a window of a
+   passage, word by word, with the passage's id. Words are numbered by comparing their bytes, and a window is two overlapping phrases of
+   such numbers, spelled in a small alphabet, as that keeps the automaton narrow.
+5. Matches go from the runs to the documents that have them, and the text is rebuilt without the words found in a smaller id.
 
 Counts are partial before they are shuffled, and a phrase that a third of all documents share is spread over parts, so no group is
-unbounded. Null texts have no words. Rows with a null id are left as they are. Rows that repeat an id don't remove each other's words
-(an id isn't smaller than itself). Only the named columns are read."""
+unbounded. Null and empty texts have no words. Texts are read whole, however long. Rows with a null id are left as they are. Rows are told
+apart by id and text: rows that repeat an id don't remove each other's words (an id isn't smaller than itself), repeated rows get
+equal results. Only the named columns are read. Empty tables give empty results."""
 
 from __future__ import annotations
 
@@ -30,7 +34,7 @@ from ._common import drop_stored, stored, workers
 from ._text import U, grams, hashes, pieces, row_bounds, text_bytes, words
 
 MOST_SHARDS = 1_000_000  # whose sizes are broadcast (12 MB); beyond that they are joined by a shuffle
-TOP = 2**31 - 2  # the largest word number
+BITS = 7  # of a symbol of the automata
 
 
 def _spans(data: np.ndarray, offs: np.ndarray, size: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -53,32 +57,53 @@ def _spans(data: np.ndarray, offs: np.ndarray, size: int, k: int) -> tuple[np.nd
     return h, at, rows[at], low[at]
 
 
-def _runs(at: np.ndarray, rows: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last of each run of successive windows with one anchor in one row."""
+def _runs(at: np.ndarray, rows: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last of each run of successive windows of one kind in one row."""
+    if not len(at):
+        return (np.zeros(0, np.int64),) * 2
     new = np.ones(len(at), bool)
-    new[1:] = (anchor[1:] != anchor[:-1]) | (rows[1:] != rows[:-1]) | (at[1:] != at[:-1] + 1)
+    new[1:] = (kind[1:] != kind[:-1]) | (rows[1:] != rows[:-1]) | (at[1:] != at[:-1] + 1)
     first = np.flatnonzero(new)
     return first, np.append(first[1:], len(at)) - 1
 
 
-def window_hashes(ids: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, start, sequence number) of the windows inside each sequence of word numbers."""
-    if len(ids) < size:
-        z = np.zeros(0, np.int64)
-        return np.zeros(0, np.int64), z, z
-    own = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
-    g = grams(ids.astype(U), size)
-    at = np.flatnonzero(own[: len(g)] == own[size - 1 :])
-    return g[at].view(np.int64), at, own[at]
+def _binary(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of a binary column without nulls."""
+    return text_bytes(col.combine_chunks().cast(pa.large_binary()).cast(pa.large_string()) if isinstance(col, pa.ChunkedArray) else col.cast(pa.large_string()))
 
 
-def _sequences(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    if isinstance(col, pa.ChunkedArray):
-        col = col.combine_chunks()
-    col = col.cast(pa.large_binary())
-    offs = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1] if len(col) else np.zeros(1, np.int64)
-    data = np.frombuffer(col.buffers()[2], np.uint8)[offs[0] : offs[-1]] if len(col) else np.zeros(0, np.uint8)
-    return data.copy().view(np.int32), (offs - offs[0]) // 4
+def window_hashes(data: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start word, row) of the windows inside each row, and the starts and ends of all words."""
+    starts, ends, rows = words(data, offs)
+    g = grams(hashes(data, starts, ends), size)
+    at = np.flatnonzero(rows[: len(g)] == rows[size - 1 :]) if len(g) else np.zeros(0, np.int64)
+    return g[at].view(np.int64), at, rows[at], starts, ends
+
+
+def word_numbers(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A number for each word, equal where the words are: found by hashes, checked on the bytes."""
+    _, first, number = np.unique(hashes(data, starts, ends), return_index=True, return_inverse=True)
+    number = number.ravel()
+    size, like = ends - starts, first[number]
+    same = bool((size == size[like]).all())
+    if same and len(size):
+        shift = np.repeat(starts[like] - starts, size)
+        at = np.arange(len(shift)) + np.repeat(starts - (np.cumsum(size) - size), size)
+        same = bool((data[at] == data[at + shift]).all())
+    if same:
+        return number
+    raw, seen = data.tobytes(), {}
+    return np.array([seen.setdefault(raw[i:j], len(seen)) for i, j in zip(starts.tolist(), ends.tolist(), strict=True)], np.int64)
+
+
+def phrase_numbers(number: np.ndarray, k: int) -> np.ndarray:
+    """A number for each k successive words, equal where all of them are."""
+    x, width = number.astype(np.int64), 1
+    while width < k and len(x) > 1:
+        step = min(width, k - width)
+        x = np.unique((x[: len(x) - step] << 32) | x[step:], return_inverse=True)[1].ravel()
+        width += step
+    return x if width == k else np.zeros(0, np.int64)
 
 
 def find_anchors(docs: DataFrame, size: int, k: int) -> DataFrame:
@@ -88,15 +113,15 @@ def find_anchors(docs: DataFrame, size: int, k: int) -> DataFrame:
             first, _ = _runs(at, rows, anchor)
             yield pa.record_batch([pa.array(anchor[first].view(np.int64)), b.column("id").take(pa.array(rows[first]))], names=["anchor", "id"])
 
-    return docs.mapInArrow(run, "anchor long, id long")
+    return docs.select("id", "text").mapInArrow(run, "anchor long, id long")
 
 
 def find_runs(docs: DataFrame, size: int, k: int) -> DataFrame:
-    """docs has id, text and anchors (array); gives (anchor, id, pos, seq): the runs of windows at those anchors."""
+    """docs has id, row, text and anchors (array); gives (anchor, id, row, pos, seq): the runs of windows at those anchors, with their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, data, offs in pieces(batches, "text", 2 << 20):
-            h, at, rows, anchor = _spans(data, offs, size, k)
+            _, at, rows, anchor = _spans(data, offs, size, k)
             wanted = b.column("anchors")
             wanted = wanted.cast(pa.large_list(pa.int64()))
             owner = np.repeat(np.arange(b.num_rows), np.array(wanted.value_lengths()))
@@ -104,125 +129,142 @@ def find_runs(docs: DataFrame, size: int, k: int) -> DataFrame:
             keep = np.isin(anchor + rows.astype(U) * odd, wanted.flatten().to_numpy().view(U) + owner.astype(U) * odd)
             at, rows, anchor = at[keep], rows[keep], anchor[keep]
             first, last = _runs(at, rows, anchor)
-            starts, _, word_rows = words(data, offs)
+            starts, ends, word_rows = words(data, offs)
             head = row_bounds(word_rows, b.num_rows)
-            ids = np.minimum(h >> U(33), U(TOP)).astype(np.int32).tobytes()
-            seq = [ids[4 * i : 4 * (j + size)] for i, j in zip(at[first].tolist(), at[last].tolist(), strict=True)]
-            yield pa.record_batch([pa.array(anchor[first].view(np.int64)), b.column("id").take(pa.array(rows[first])), pa.array((at[first] - head[rows[first]]).astype(np.int32)), pa.array(seq, pa.binary())], names=["anchor", "id", "pos", "seq"])
+            raw = data.tobytes()
+            seq = [b" ".join(raw[i:j].split()) for i, j in zip(starts[at[first]].tolist(), ends[at[last] + size - 1].tolist(), strict=True)]
+            own = pa.array(rows[first])
+            yield pa.record_batch([pa.array(anchor[first].view(np.int64)), b.column("id").take(own), b.column("row").take(own), pa.array((at[first] - head[rows[first]]).astype(np.int32)), pa.array(seq, pa.binary())], names=["anchor", "id", "row", "pos", "seq"])
 
-    return docs.select("id", "text", "anchors").mapInArrow(run, "anchor long, id long, pos int, seq binary")
+    return docs.select("id", "row", "text", "anchors").mapInArrow(run, "anchor long, id long, row binary, pos int, seq binary")
 
 
 def find_windows(runs: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, offs = _sequences(b.column("seq"))
-            g, _, own = window_hashes(ids, offs, size)
+            g, _, own, _, _ = window_hashes(*_binary(b.column("seq")), size)
             own = pa.array(own)
-            yield pa.record_batch([b.column("shard").take(own), pa.array(g), b.column("id").take(own)], names=["shard", "win", "id"])
+            yield pa.record_batch([b.column("shard").take(own), pa.array(g), b.column("lo").take(own), b.column("hi").take(own)], names=["shard", "win", "lo", "hi"])
+
+    return runs.select("shard", "seq", "lo", "hi").mapInArrow(run, "shard int, win long, lo long, hi long")
+
 
-    return runs.select("shard", "seq", "id").mapInArrow(run, "shard int, win long, id long")
+def cut_passages(size: int):
+    """For one part of a shard: its runs and the shard's confirmed windows, to (shard, lo, seq): words that `lo` is the first id to have."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[list] = [[], [], []]
+        if left.num_rows and right.num_rows:
+            data, offs = _binary(left["seq"])
+            g, at, own, starts, ends = window_hashes(data, offs, size)
+            known, lowest = right["win"].to_numpy(), right["lo"].to_numpy()
+            order = np.argsort(known)
+            known, lowest = known[order], lowest[order]
+            place = np.minimum(np.searchsorted(known, g), len(known) - 1)
+            first = (known[place] == g) & (lowest[place] == left["lo"].to_numpy()[own])
+            # of windows that the part has several times, one is enough
+            hit = np.flatnonzero(first)
+            hit = np.sort(hit[np.unique(place[hit], return_index=True)[1]])
+            a, z = _runs(at[hit], own[hit], own[hit])
+            a, z = hit[a], hit[z]
+            raw = data.tobytes()
+            out = [[left["shard"][0].as_py()] * len(a), left["lo"].to_numpy()[own[a]], [raw[i:j] for i, j in zip(starts[at[a]].tolist(), ends[at[z] + size - 1].tolist(), strict=True)]]
+        return pa.table([pa.array(x, t) for x, t in zip(out, (pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["shard", "lo", "seq"])
+
+    return run
 
 
 def locate(size: int):
-    """For one part of a shard: its runs and the shard's confirmed windows, to (id, pos, n): places whose words go."""
+    """For one part of a shard: its runs and the shard's passages, to (run, off, n, lo): `n` words from word `off` on of the run are
+    windows of passages of the id `lo`."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, offs = _sequences(left["seq"])
-        g, at, own = window_hashes(ids, offs, size)
-        known, lowest = right["win"].to_numpy(), right["lo"].to_numpy()
-        order = np.argsort(known)
-        known, lowest = known[order], lowest[order]
-        out = {"id": np.zeros(0, np.int64), "pos": np.zeros(0, np.int32), "n": np.zeros(0, np.int32)}
-        if not len(g) or not len(known):
-            return pa.table(out)
-        # equal runs are streamed once
-        sums = np.bincount(own, (g & 0xFFFFFF).astype(float) * (1 + (at - offs[own]) % 61), len(offs) - 1)
-        firsts = np.searchsorted(own, np.arange(len(offs) - 1))
-        _, one, same = np.unique(np.stack([g[firsts], g[np.append(firsts[1:], len(g)) - 1], sums.astype(np.int64), np.diff(offs)], 1), axis=0, return_index=True, return_inverse=True)
-        same = same.ravel()
-        pick = np.zeros(len(offs) - 1, bool)
-        pick[one] = True
-        # The automaton works on symbols of overlapping phrases of half a window: a window is two of them, `step` words apart, of two
-        # symbols each. Small alphabets keep its nodes narrow; a match counts if the window at its place is a confirmed one.
-        step, half = size // 2, size - size // 2
-        place = np.minimum(np.searchsorted(known, g), len(known) - 1)
-        confirmed = known[place] == g
-        hit = np.flatnonzero(confirmed & pick[own])
-        if not len(hit):
-            return pa.table(out)
-        phrase = grams(ids.astype(U), half) >> U(40)
-        symbols = np.stack([0x100 + (phrase & U(127)), 0x180 + ((phrase >> U(7)) & U(127))], 1).astype(np.uint32)
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-        keys = np.unique(np.concatenate([symbols[at[hit]], symbols[at[hit] + step]], 1), axis=0).tobytes().decode("utf-32-le")
-        for i in range(0, len(keys), 4):
-            automaton.add_word(keys[i : i + 4])
+        names, types = ["run", "off", "n", "lo"], [pa.binary(), pa.int32(), pa.int32(), pa.int64()]
+        nothing = pa.table([pa.array([], t) for t in types], names=names)
+        if not left.num_rows or not right.num_rows:
+            return nothing
+        data, offs = _binary(pa.chunked_array([*right["seq"].chunks, *left["seq"].chunks], pa.binary()))
+        starts, ends, rows = words(data, offs)
+        half, step = size - size // 2, size // 2
+        phrase = phrase_numbers(word_numbers(data, starts, ends), half)
+        n_passages = right.num_rows
+        head = row_bounds(rows, len(offs) - 1)
+        cut = int(head[n_passages])  # words before it are those of passages
+        # a phrase is spelled in symbols, in an alphabet of its own for each place, so that matches begin and end where phrases do
+        length = max(1, -(-int(phrase.max() + 1).bit_length() // BITS)) if len(phrase) else 1
+        symbols = np.stack([0x100 + (i << BITS) + ((phrase >> (BITS * i)) & ((1 << BITS) - 1)) for i in range(length)], 1).astype(np.uint32)
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        at = np.flatnonzero(rows[: max(0, cut - size + 1)] == rows[size - 1 : max(size - 1, cut)])  # where windows of passages begin
+        keys = np.concatenate([symbols[at], symbols[at + step]], 1).tobytes().decode("utf-32-le")
+        for i, own in enumerate(rows[at].tolist()):
+            automaton.add_word(keys[2 * length * i : 2 * length * (i + 1)], own)
+        if not len(automaton):
+            return nothing
         automaton.make_automaton()
-        # each distinct run as `step` streams of every step-th phrase, with a gap between
-        n_phrases = np.diff(offs)[one] - half + 1
-        run_of = np.repeat(np.arange(len(one)), n_phrases)
+        known = np.zeros(int(phrase.max()) + 1, bool)
+        known[phrase[at]] = known[phrase[at + step]] = True
+        # each run as `step` streams of every step-th phrase, with a gap between, and where a phrase is in no passage
+        n_phrases = np.maximum(0, np.diff(head)[n_passages:] - half + 1)
+        run_of = np.repeat(np.arange(left.num_rows), n_phrases)
         inside = np.arange(len(run_of)) - np.repeat(np.cumsum(n_phrases) - n_phrases, n_phrases)
+        useful = known[phrase[head[n_passages + run_of] + inside]]
+        run_of, inside = run_of[useful], inside[useful]
         order = np.lexsort((inside, inside % step, run_of))
         run_of, inside = run_of[order], inside[order]
+        if not len(run_of):
+            return nothing
         new = np.ones(len(run_of), bool)
         new[1:] = (run_of[1:] != run_of[:-1]) | (inside[1:] != inside[:-1] + step)
-        slot = 2 * np.arange(len(run_of)) + np.cumsum(new)
-        text = np.full(int(slot[-1]) + 2, 0x20, np.uint32)
-        pair = symbols[offs[:-1][one][run_of] + inside]
-        text[slot], text[slot + 1] = pair[:, 0], pair[:, 1]
-        ends = np.fromiter((e for e, _ in automaton.iter(text.tobytes().decode("utf-32-le"))), np.int64)
-        source = np.searchsorted(slot, ends - 1)
-        run_of, start = run_of[source], inside[source] - step
-        window = firsts[one[run_of]] + start
-        true = confirmed[window]
-        run_of, start, low = run_of[true], start[true], lowest[place[window[true]]]
+        slot = length * np.arange(len(run_of)) + np.cumsum(new)
+        text = np.full(int(slot[-1]) + length, 0x20, np.uint32)
+        of = symbols[head[n_passages + run_of] + inside]
+        for i in range(length):
+            text[slot + i] = of[:, i]
+        found = np.fromiter((x for pair in automaton.iter(text.tobytes().decode("utf-32-le")) for x in pair), np.int64).reshape(-1, 2)
+        source = np.searchsorted(slot, found[:, 0], "right") - 1  # the second phrase of the window
+        run_of, start, low = run_of[source], inside[source] - step, right["lo"].to_numpy()[found[:, 1]]
         order = np.lexsort((start, run_of))
         run_of, start, low = run_of[order], start[order], low[order]
-        # back from the streamed runs to all that equal them
-        bounds = np.searchsorted(run_of, np.arange(len(one) + 1))
-        count = (bounds[1:] - bounds[:-1])[same]
-        each = np.repeat(np.arange(len(same)), count)
-        f = np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(bounds[:-1][same], count)
-        doc = left["id"].to_numpy()[each]
-        keep = low[f] < doc
-        each, doc, pos = each[keep], doc[keep], (start[f] + left["pos"].to_numpy()[each])[keep]
-        if len(each):
-            new = np.ones(len(each), bool)
-            new[1:] = (each[1:] != each[:-1]) | (pos[1:] != pos[:-1] + 1)
-            first = np.flatnonzero(new)
-            last = np.append(first[1:], len(each)) - 1
-            out = {"id": doc[first], "pos": pos[first].astype(np.int32), "n": (pos[last] - pos[first] + size).astype(np.int32)}
-        return pa.table(out)
+        a, z = _runs(start, run_of, low)
+        return pa.table([left["run"].take(pa.array(run_of[a])), pa.array(start[a].astype(np.int32)), pa.array((start[z] - start[a] + size).astype(np.int32)), pa.array(low[a])], names=names)
 
     return run
 
 
 def repeated_places(docs: DataFrame, size: int = 13, k: int = 5, per_shard: int = 20_000) -> DataFrame:
-    """docs has id and text; gives (id, pos, n): word ranges that a document with a smaller id has too. Ranges of one id can overlap."""
-    seen = stored(find_anchors(docs.where("id is not null"), size, k), "anchors")
+    """docs has id, row (a key of its text) and text; gives (id, row, pos, n): word ranges that a document with a smaller id has too.
+    Ranges of one row can overlap."""
+    docs = docs.where("id is not null")
+    seen = stored(find_anchors(docs, size, k), "anchors")
     shared = seen.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("anchor")
     by_doc = stored(seen.join(shared, "anchor", "left_semi").groupBy("id").agg(F.collect_set("anchor").alias("anchors")), "anchored")
     drop_stored(seen)
-    runs = stored(find_runs(docs.join(by_doc, "id"), size, k), "runs")
+    every = stored(find_runs(docs.join(by_doc, "id"), size, k).withColumn("run", F.unhex(F.md5("seq"))), "places")
     drop_stored(by_doc)
+    runs = stored(every.groupBy("run").agg(F.min("anchor").alias("anchor"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.any_value("seq").alias("seq")), "runs")
     shards = max(1, -(-runs.count() // per_shard))
     runs = runs.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int"))
-    again = find_windows(runs, size).groupBy("shard", "win").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("shard", "win", "lo")
-    again = stored(again, "windows")
+    again = stored(find_windows(runs, size).groupBy("shard", "win").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("shard", "win", "lo"), "windows")
     parts = runs.groupBy("shard").agg(F.ceil(F.count("*") / (2 * per_shard)).cast("int").alias("parts"))  # a row a shard
     parts = F.broadcast(parts) if shards <= MOST_SHARDS else parts
-    left = runs.join(parts, "shard").select("shard", F.pmod(F.xxhash64("id", "pos"), F.col("parts")).cast("int").alias("part"), "id", "pos", "seq")
-    right = again.join(parts, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "win", "lo")
     key = ["shard", "part"]
-    return left.groupBy(key).cogroup(right.groupBy(key)).applyInArrow(locate(size), "id long, pos int, n int")
+    left = runs.join(parts, "shard").select("shard", F.pmod(F.xxhash64("run"), F.col("parts")).cast("int").alias("part"), "run", "lo", "seq")
+    to_parts = lambda x: x.join(parts, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    passages = stored(left.groupBy(key).cogroup(to_parts(again).groupBy(key)).applyInArrow(cut_passages(size), "shard int, lo long, seq binary"), "passages")
+    drop_stored(again)
+    found = stored(left.select("shard", "part", "run", "seq").groupBy(key).cogroup(to_parts(passages).groupBy(key)).applyInArrow(locate(size), "run binary, off int, n int, lo long"), "found")
+    drop_stored(passages)
+    out = every.select("id", "row", "pos", "run").join(found, "run").where("lo < id")
+    out = stored(out.select("id", "row", (F.col("pos") + F.col("off")).alias("pos"), "n").distinct(), "gone")
+    drop_stored(every, found)
+    return out
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 13, k: int = 5, with_text: bool = True) -> DataFrame:
     """One row per row of docs: id, n_words, n_removed, kept_text (the words left, joined by one space; null unless with_text) and kept_sha256 of it."""
     workers(docs.sparkSession)
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    gone = repeated_places(base, size, k).groupBy("id").agg(F.collect_list(F.struct("pos", "n")).alias("gone"))
-    gone = stored(gone, "places")
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("row"), F.col(text_col).alias("text"))
+    gone = repeated_places(base, size, k).groupBy("id", "row").agg(F.collect_list(F.struct("pos", "n")).alias("gone"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -243,5 +285,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     c.append(x)
             yield pa.record_batch([b.column("id"), *(pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True))], names=["id", "n_words", "n_removed", "kept_text", "kept_sha256"])
 
-    done = base.join(gone, "id", "left").select("id", "text", "gone").mapInArrow(run, "id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
+    done = base.join(gone, ["id", "row"], "left").select("id", "text", "gone").mapInArrow(run, "id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
     return done.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), "n_words", "n_removed", "kept_text", "kept_sha256")
