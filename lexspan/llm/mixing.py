@@ -7,10 +7,11 @@ aggregate over the stored posteriors: with M = sum_i tokens_i p_i p_i', r_i <- m
 in the metric of token counts whose step length 1 never overshoots. Rates stay expressions; the driver holds a few numbers per domain.
 
 DataFrame functions only. At most `max_train` labelled documents (smallest hashes of ids) train, and `n_features` features are kept (a
-bound, so the model is a literal); all documents get posteriors and rates. Null and empty texts have no tokens, posteriors by the
-classifier's prior, and no say in the totals. Null ids keep their row. Domains without labelled documents drop out, targets are
-scaled to the rest; without labels there is one domain and all rates are 1. Ties and repeated rows get equal rates. Columns that begin
-with mix_ are used inside. `copies` is floor(rate), plus one with the chance of the fraction, by the hash of the id."""
+bound, so the model is a literal; those that more than MOST_SHARE of the labelled documents have aren't features); all documents, long ones whole,
+get posteriors and rates. Null and empty texts have no tokens, posteriors by the classifier's prior, and no say in the totals. Null ids keep
+their row. Domains without labelled documents drop out, targets are scaled to the rest; without labels there is one domain and all rates
+are 1. Ties and repeated rows get equal rates. Added columns whose name the input has get an underscore more. Empty tables give empty results.
+`copies` is floor(rate), plus one with the chance of the fraction, by the hash of the id; taken() repeats the rows by it."""
 
 from __future__ import annotations
 
@@ -20,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import drop_stored, stored
+from ._common import drop_stored, stored, unused
 
 # fixed values: what is not a letter; junk marks that are counted
 NOT_LETTER = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
@@ -102,16 +103,36 @@ def fit_rates(table: DataFrame, targets: list[float], most_steps: int = 40, near
     return rate
 
 
+ADDED = ("mix_tokens", "mix_p", "rate", "copies")
+
+
 def mix(docs: DataFrame, labels: DataFrame, domain: Column, targets: dict[str, float], keep: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", max_train: int = 6000, n_features: int = 300) -> DataFrame:
-    """The kept columns of docs (all of them by default) with mix_tokens, mix_p (posteriors, by sorted domain name), rate and copies added."""
+    """The kept columns of docs (all of them by default) with mix_tokens, mix_p (posteriors, by sorted domain name), rate and copies added
+    (under the names that names_in() gives). domain: a column of labels."""
     model = fit_domains(docs, labels, domain, id_col, text_col, max_train, n_features)
     names = model[0] or [""]
     wanted = [targets.get(x, 0.0) for x in names]
     wanted = [x / sum(wanted) for x in wanted] if sum(wanted) > 0 else [1 / len(names)] * len(names)
     held = docs.columns if keep is None else keep
-    full = stored(posteriors(docs.select(*dict.fromkeys([*held, id_col, text_col])), text_col, model).select(*dict.fromkeys([*held, id_col]), "mix_tokens", "mix_p"), "posteriors")
+    own = {c: f"in{i}" for i, c in enumerate(dict.fromkeys([*held, id_col, text_col]))}  # names of the input can't clash with ours
+    base = docs.select(*(F.col(f"`{c}`").alias(x) for c, x in own.items()))
+    ids = own[id_col]
+    full = stored(posteriors(base, own[text_col], model).select(*dict.fromkeys([*(own[c] for c in held), ids]), "mix_tokens", "mix_p"), "posteriors")
     flat = full.select("*", *(F.col("mix_p")[i].alias(f"mix_p{i}") for i in range(len(names))))
     out = flat.withColumn("rate", fit_rates(flat, wanted))
-    chance = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 20)) / float(1 << 20)
+    chance = F.pmod(F.xxhash64(F.col(ids)), F.lit(1 << 20)) / float(1 << 20)
     out = out.withColumn("copies", (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("long")).cast("long"))
-    return out.select(*held, "mix_tokens", "mix_p", "rate", "copies")
+    return out.select(*(F.col(own[c]).alias(c) for c in held), *(F.col(c).alias(x) for c, x in zip(ADDED, names_in(held), strict=True)))
+
+
+def names_in(columns: list[str]) -> list[str]:
+    """The names of the columns that mix() adds to these."""
+    return [unused(c, columns) for c in ADDED]
+
+
+def taken(mixed: DataFrame, copies_col: str = "copies") -> DataFrame:
+    """Each row as often as its copies say, numbered from 1 in that column; rows without copies go. So the shares of tokens are the targets, but
+    for the rounding of rates by chance."""
+    n = F.col(f"`{copies_col}`")
+    rest = [F.col(f"`{c}`") for c in mixed.columns if c != copies_col]
+    return mixed.where(n > 0).select(*rest, F.explode(F.sequence(F.lit(1).cast("long"), n)).alias(copies_col)).select(*(F.col(f"`{c}`") for c in mixed.columns))

@@ -9,15 +9,16 @@ term's occurrences in the corpus, and the information is at least `bits`. Disclo
 occur, in texts without an entity too; they are removed, or generalised to their shape where they hold digits. Terms shorter than 4 characters never disclose.
 
 DataFrame functions only. Null texts are empty. Null ids keep their row. Repeated rows give repeated results, and count once as
-contexts. Overlapping spans: text is replaced once for their union, in the name of the first. Other columns are left as they are; the names
-beginning with pii_ are used inside and must be free. Empty tables give empty results."""
+contexts. Overlapping spans: text is replaced once for their union, in the name of the first. Equal texts get equal results, so ties don't matter.
+Texts are read whole, however long. Other columns are left as they are; added ones whose name the input has get an underscore more. Empty
+tables give empty results."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import drop_stored, fits_broadcast, stored
+from ._common import drop_stored, fits_broadcast, stored, unused
 
 # fixed values: kinds in the order of the contract, and their patterns. Runs that a match can begin in are entered at their first
 # character only (or where the last match ended), and are possessive: the same matches, in linear time.
@@ -142,13 +143,18 @@ def disclosing(docs: DataFrame, found: DataFrame, text_col: str, reach: int, sup
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 8, support: int = 2, posterior: float = 0.8, bits: float = 6.0, most_terms: int = 100_000) -> DataFrame:
-    """docs with pii_base, pii_spans (base and term spans, by kind, then start) and pii_text (the sanitised text) added.
+    """docs with pii_base, pii_spans (base and term spans, by kind, then start) and pii_text (the sanitised text) added (under the names
+    that names_in() gives).
 
     The disclosing terms are looked up in the words of every text; places are made in the texts that hold one."""
+    columns = docs.columns
+    docs = docs.toDF(*(f"in{i}" for i in range(len(columns))))  # names of the input can't clash with ours
+    id_col, text_col = (f"in{columns.index(c)}" for c in (id_col, text_col))
     base = with_spans(docs.select(id_col, text_col), text_col)
     found = stored(base.where(F.size("pii_base") > 0).select(text_col, "pii_base"), "entities")
     bad = stored(disclosing(docs, found, text_col, reach, support, posterior, bits), "terms")
     out = with_spans(docs, text_col)
+    drop_stored(found)
     if bad.isEmpty():
         out = out.withColumn("pii_term", none())
     else:
@@ -162,7 +168,16 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", re
         out = out.withColumn("pii_term", F.when(F.col("pii_held").isNotNull(), places(text, F.col("pii_held"))).otherwise(none())).drop("pii_held")
     inside = F.filter("pii_term", lambda x: ~F.exists("pii_base", lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"])))
     out = out.withColumn("pii_spans", F.concat("pii_base", inside)).drop("pii_term")
-    return out.withColumn("pii_text", F.when(F.size("pii_spans") > 0, replaced(F.col(text_col), F.col("pii_spans"))).otherwise(F.col(text_col)))
+    out = out.withColumn("pii_text", F.when(F.size("pii_spans") > 0, replaced(F.col(text_col), F.col("pii_spans"))).otherwise(F.col(text_col)))
+    return out.select(*(F.col(f"in{i}").alias(c) for i, c in enumerate(columns)), *(F.col(c).alias(x) for c, x in zip(ADDED, names_in(columns), strict=True)))
+
+
+ADDED = ("pii_base", "pii_spans", "pii_text")
+
+
+def names_in(columns: list[str]) -> list[str]:
+    """The names of the columns that sanitise() adds to these."""
+    return [unused(c, columns) for c in ADDED]
 
 
 def replaced(text: Column, spans: Column) -> Column:
@@ -189,7 +204,3 @@ def as_text(spans: Column) -> Column:
 
 def count_kind(kind: int) -> Column:
     return F.size(F.filter("pii_base", lambda x: x["kind"] == kind)).cast("long")
-
-
-def drop_temporary(*tables: DataFrame) -> None:
-    drop_stored(*tables)

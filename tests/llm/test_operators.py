@@ -147,6 +147,86 @@ def test_repeats(docs, none, rows):
     assert repeats.remove_repeats(none).count() == 0
 
 
+def plain_repeats(rows, size=13):
+    first = {}
+    for i, t in rows:
+        w = SPLIT.findall(t or "")
+        for j in range(len(w) - size + 1):
+            if i is not None:
+                first[tuple(w[j : j + size])] = min(i, first.get(tuple(w[j : j + size]), i))
+    out = []
+    for i, t in rows:
+        w = SPLIT.findall(t or "")
+        gone = [False] * len(w)
+        for j in range(len(w) - size + 1):
+            if i is not None and first[tuple(w[j : j + size])] < i:
+                gone[j : j + size] = [True] * size
+        out.append((str(i), len(w), sum(gone), " ".join(x for x, g in zip(w, gone, strict=True) if not g)))
+    return sorted(out)
+
+
+def found_repeats(spark, rows, **options):
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    return sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["kept_text"]) for r in repeats.remove_repeats(df, **options).collect())
+
+
+def test_repeats_where_ids_repeat(spark):
+    passage, unique = " ".join(f"p{i}" for i in range(30)), " ".join(f"u{i}" for i in range(30))
+    rows = [(0, passage), (1, passage), (1, unique), (1, unique + " " + passage), (1, passage), (None, passage), (2, unique + "  \n" + passage), (2, None), (2, "")]
+    assert found_repeats(spark, rows) == plain_repeats(rows)
+    assert found_repeats(spark, rows[:3]) == plain_repeats(rows[:3])
+    assert found_repeats(spark, [(0, unique), (1, "few words"), (2, None)]) == plain_repeats([(0, unique), (1, "few words"), (2, None)])
+
+
+def test_repeats_in_parts_of_shards(spark, monkeypatch):
+    """Templates that differ in one word, periodic texts and nested passages, in shards and parts of few runs."""
+    base = [f"t{i}" for i in range(40)]
+    rows = []
+    for i in range(90):
+        w = base[R.randrange(0, 10) : R.randrange(25, 40)]
+        if i % 3:
+            w[R.randrange(len(w))] = f"number{i}"
+        rows.append((R.randrange(60), " ".join([f"x{i}", *w, *(["again"] * (i % 30)), f"y{i}"])))
+    monkeypatch.setattr(repeats.repeated_places, "__defaults__", (13, 5, 5))
+    assert found_repeats(spark, rows) == plain_repeats(rows)
+
+
+def test_repeats_are_what_the_automata_match(monkeypatch):
+    import pyarrow as pa
+
+    seq = " ".join(f"w{i}" for i in range(20)).encode()
+    left = pa.table({"run": [b"a", b"b"], "seq": pa.array([b"x y " + seq, b"w3 w4"], pa.binary())})
+    right = pa.table({"lo": [7], "seq": pa.array([seq], pa.binary())})
+    assert repeats.locate(13)(left, right).to_pylist() == [{"run": b"a", "off": 2, "n": 20, "lo": 7}]
+
+    real = repeats.ahocorasick.Automaton
+
+    class Other:
+        """An automaton of a word that never occurs."""
+
+        def __new__(cls, kind):
+            it = real(kind)
+            it.add_word("none", 0)
+
+            class Held:
+                add_word = staticmethod(lambda key, value: None)
+                make_automaton, iter, __len__ = it.make_automaton, it.iter, lambda self: len(it)
+
+            return Held()
+
+    monkeypatch.setattr(repeats.ahocorasick, "Automaton", Other)
+    assert repeats.locate(13)(left, right).num_rows == 0
+
+
+def test_word_numbers_compare_bytes(monkeypatch):
+    data = np.frombuffer(b"ab cd ab ce", np.uint8)
+    starts, ends = np.array([0, 3, 6, 9]), np.array([2, 5, 8, 11])
+    assert len(set(repeats.word_numbers(data, starts, ends).tolist())) == 3
+    monkeypatch.setattr(repeats, "hashes", lambda d, s, e: np.zeros(len(s), np.uint64))  # all collide
+    n = repeats.word_numbers(data, starts, ends)
+    assert n[0] == n[2] and len(set(n.tolist())) == 3
+
+
 def test_decontamination(spark, docs, none, rows):
     items = [(1, rows[5][1].split(" w", 12)[0] + " " + words(5), "q"), (2, rows[14][1], "q"), (3, "two words", "q"), (4, None, None), (5, "", "q"), (10, "Été", "q"), (2, rows[14][1], "q")]
     bench = spark.createDataFrame(items, "item_id long, text string, id string")
@@ -200,6 +280,11 @@ def test_pii(spark, none):
         if not spans:
             assert r["pii_text"] == r["text"]
     assert pii.sanitise(none.select("doc_id", "text")).count() == 0
+    # clashing columns and repeated rows
+    clash = df.limit(5).union(df.limit(5)).withColumn("pii_base", F.lit(1)).withColumn("pii_key", F.lit("k")).withColumn("pii_text", F.lit("t"))
+    got = pii.sanitise(clash)
+    assert got.columns == [*clash.columns, "pii_base_", "pii_spans", "pii_text_"]
+    assert got.count() == 10 and all(r["pii_key"] == "k" and r["pii_text"] == "t" and bool(r["pii_spans"]) == (r["pii_text_"] != r["text"]) for r in got.collect())
 
 
 def test_disclosing_terms(spark):
@@ -285,18 +370,42 @@ def test_toxicity(spark, none):
     assert np.mean(many) > np.mean(few)
     assert toxicity.drop_toxic(df, model).count() == sum(not r["toxic"] for r in toxicity.score_toxicity(df, model).collect())
     assert toxicity.score_toxicity(df, toxicity.fit_toxicity(none, lab)).count() == 403
+    # labels that disagree with the texts: the cut lets few documents go that are labelled not toxic
+    noisy = spark.createDataFrame([(i, int(i % 4 == 0) if i % 10 else 1 - int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
+    other = toxicity.fit_toxicity(df, noisy, false_positives=0.1)
+    wrong = toxicity.score_toxicity(df, other).withColumnRenamed("toxic", "said").join(noisy, "doc_id").where("toxic = 0").agg(F.avg(F.col("said").cast("int"))).first()[0]
+    assert wrong <= 0.13
+    # repeated rows, clashing columns and long texts
+    odd = df.limit(50).union(df.limit(50)).withColumn("toxic", F.lit("x")).withColumn("p_toxic", F.lit(1)).withColumn("text", F.when(F.col("doc_id") == 1, F.repeat(F.lit("word idiot "), 40_000)).otherwise(F.col("text")))
+    r = toxicity.score_toxicity(odd, model).groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct("expected_severity").alias("m"), F.max("p_toxic").alias("p")).collect()
+    assert all((x["n"], x["m"]) == (2, 1) for x in r) and next(x["p"] for x in r if x["doc_id"] == 1) > model.cut
+    assert toxicity.drop_toxic(odd, model).columns == odd.columns
+    assert toxicity.fit_toxicity(df.union(df), lab).cut == model.cut
 
 
 def test_mixing(spark, none):
-    texts = [(i, words(50) if i % 4 else "$$$ ".join(words(50).upper().split()), 7) for i in range(400)] + [(400, None, 7), (401, "", 7), (None, words(9), 7)]
+    texts = [(i, words(50) if i % 8 else "$$$ ".join(words(50).upper().split()), 7) for i in range(400)] + [(400, None, 7), (401, "", 7), (None, words(9), 7)]
     df = spark.createDataFrame(texts, "doc_id long, text string, rates int")
-    lab = spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(0, 400, 2)] + [(None, 1, 0)], "doc_id long, quality int, toxic int")
+    lab = spark.createDataFrame([(i, int(i % 8 > 0), 0) for i in range(0, 400, 2)] + [(None, 1, 0)], "doc_id long, quality int, toxic int")
     rows = mixing.mix(df, lab, F.col("quality").cast("string"), {"1": 0.5, "0": 0.5}).collect()
     assert len(rows) == 403
     total = sum(r["mix_tokens"] * r["rate"] for r in rows)
     low = sum(r["mix_tokens"] * r["rate"] * r["mix_p"][0] for r in rows)
     assert abs(low / total - 0.5) < 0.01 and all(r["rate"] >= 0 for r in rows)
     assert abs(total - sum(r["mix_tokens"] for r in rows)) < 0.01 * total
+    # the output's token shares, once copies are taken, are the targets
+    df2 = df.withColumn("copies", F.lit(3)).withColumn("MIX_P", F.lit("x"))
+    tokens, posterior, rate, copies = mixing.names_in(df2.columns)
+    assert (posterior, copies) == ("mix_p_", "copies_")
+    mixed = mixing.mix(df2, lab, F.col("quality").cast("string"), {"1": 0.3, "0": 0.7})
+    out = mixing.taken(mixed, copies).collect()
+    want = {(r["doc_id"], i) for r in mixed.collect() for i in range(1, r[copies] + 1)}
+    assert sorted(map(str, want)) == sorted(str((r["doc_id"], r[copies])) for r in out) and all(r["copies"] == 3 and r["MIX_P"] == "x" for r in out)
+    assert abs(sum(r[tokens] * r[posterior][0] for r in out) / sum(r[tokens] for r in out) - 0.7) < 0.05
+    assert abs(sum(r[tokens] for r in out if r["doc_id"] is not None and r["doc_id"] % 8 == 0) / sum(r[tokens] for r in out) - 0.7) < 0.05
+    # repeated rows and ties have equal rates
+    twice = mixing.mix(df.union(df), lab, F.col("quality").cast("string"), {"1": 0.5, "0": 0.5}).groupBy("doc_id").agg(F.count_distinct("rate").alias("n"), F.count("*").alias("m"))
+    assert twice.where("n <> 1 or m <> 2").isEmpty()
     assert all(r["rate"] == 1.0 for r in mixing.mix(df, lab.limit(0), F.col("quality").cast("string"), {"1": 1.0}).collect())
     assert mixing.mix(none.select("doc_id", "text"), lab, F.col("quality").cast("string"), {"1": 1.0}).count() == 0
 
