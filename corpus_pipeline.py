@@ -1,6 +1,9 @@
 """The corpus pipeline over documents: toxicity, near duplicates, benchmark decontamination, PII, mixing to target weights.
 
-Each stage works on all rows that the one before kept. All but the last return the columns of documents."""
+Each stage works on all rows that the one before kept. All but the last return the columns of documents. Null and empty texts pass every
+filter (mixing may leave them out or repeat them, as their rates say); rows with a null id do where a filter goes by ids. Repeated rows are
+judged alike, ties go to the smaller id, texts are read whole. Other columns come along; columns that mixing adds get an underscore more where
+documents has their name. Empty tables give empty results."""
 
 from __future__ import annotations
 
@@ -8,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexspan.llm import decontam, mixing, neardup, pii, toxicity
-from lexspan.llm._common import drop_stored, fits_broadcast, read, stored
+from lexspan.llm._common import drop_stored, fits_broadcast, read, stored, unused
 
 #: shares of tokens of documents of high and low quality
 TARGETS = {"1": 0.95, "0": 0.05}
@@ -22,7 +25,7 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the ordinal model rejects go."""
+    """Documents that the ordinal model rejects go, by the cut that it has from held-out folds of the labels; null and empty texts stay."""
     return toxicity.drop_toxic(docs, toxicity.fit_toxicity(docs, read(spark, sf_dir, "labels")))
 
 
@@ -43,13 +46,20 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and terms that disclose it are replaced in the text; n_chars follows."""
     found = pii.sanitise(docs)
-    changed = F.size("pii_spans") > 0
-    return found.select(*(F.when(changed, F.length("pii_text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col("pii_text").alias(c) if c == "text" else F.col(c) for c in docs.columns))
+    _, spans, text = pii.names_in(docs.columns)
+    changed = F.size(spans) > 0
+    return found.select(*(F.when(changed, F.length(text).cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(text).alias(c) if c == "text" else F.col(c) for c in docs.columns))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document with its rate and how many copies of it the mixture takes (0 where it takes none; no row goes)."""
-    return mixing.mix(docs, read(spark, sf_dir, "labels"), F.col("quality").cast("string"), TARGETS).drop("mix_p").withColumnRenamed("mix_tokens", "n_tokens")
+    """The mixture: each document as often as its rate says (chance decides on the fraction), so that the expected tokens of each quality have
+    the target shares. Adds n_tokens, rate and copy (a number from 1)."""
+    mixed = mixing.mix(docs, read(spark, sf_dir, "labels"), F.col("quality").cast("string"), TARGETS)
+    tokens, posterior, _, copies = mixing.names_in(docs.columns)
+    out = mixing.taken(mixed.drop(posterior), copies)
+    for old, new in ((tokens, "n_tokens"), (copies, "copy")):
+        out = out.withColumnRenamed(old, unused(new, docs.columns))
+    return out
 
 
 STAGES = [("toxicity", toxic), ("near_duplicates", near_duplicates), ("decontamination", decontaminate), ("pii", sanitise), ("mixing", mix)]
