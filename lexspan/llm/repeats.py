@@ -5,16 +5,17 @@ if a window that covers it also starts in a document with a smaller id (judged o
 
 1. Anchors: the smallest of the hashes of the k-word phrases inside a window. Equal windows have equal anchors; about a fifth of all places are anchors.
 2. Every document is read again; its runs of windows around anchors that two ids have (all others occur in one document only) are
-   kept with their words. Equal runs are one from here on, with the smallest and largest id that has them.
-3. Windows of these runs that two ids have are confirmed by grouped counts. What their first document holds of them is cut out as passages, in words.
-4. Runs and passages are dealt to shards by anchor. Each shard compiles an Aho-Corasick automaton of its passages and streams all its runs
-   through it; a shard with many runs is cut into parts. What the automaton matches is what is found: each match is a window of a
-   passage, word by word, with the passage's id. Words are numbered by comparing their bytes, and a window is two overlapping phrases of
-   such numbers, spelled in a small alphabet, as that keeps the automaton narrow.
+   kept with their words, and dealt to shards by anchor.
+3. In a shard, windows that two ids have are confirmed. What their first document holds of them is cut out as passages, in words.
+4. Each shard compiles an Aho-Corasick automaton of its passages and streams all its runs through it (equal runs once). What the
+   automaton matches is what is found: each match is a window of a passage, with the passage's id. A window is spelled as two overlapping
+   phrases, numbered by hashes, in a small alphabet, as that keeps the automaton narrow; so matches are compared with the passage byte by byte.
 5. Matches go from the runs to the documents that have them, and the text is rebuilt without the words found in a smaller id.
 
-Counts are partial before they are shuffled, and a phrase that a third of all documents share is spread over parts, so no group is
-unbounded. Null and empty texts have no words. Texts are read whole, however long. Rows with a null id are left as they are. Rows are told
+An anchor that more than `per_shard` runs have doesn't go to a shard whole: the same steps are done over it in parts. Equal runs are made one
+by a partial aggregate, windows are counted by another, and all parts of a shard get its passages. So no group is unbounded.
+
+Null and empty texts have no words. Texts are read whole, however long. Rows with a null id are left as they are. Rows are told
 apart by id and text: rows that repeat an id don't remove each other's words (an id isn't smaller than itself), repeated rows get
 equal results. Only the named columns are read. Empty tables give empty results."""
 
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 from itertools import compress
 
 import ahocorasick
@@ -33,7 +35,6 @@ from pyspark.sql import functions as F
 from ._common import drop_stored, stored, workers
 from ._text import U, grams, hashes, pieces, row_bounds, text_bytes, words
 
-MOST_SHARDS = 1_000_000  # whose sizes are broadcast (12 MB); beyond that they are joined by a shuffle
 BITS = 7  # of a symbol of the automata
 
 
@@ -69,7 +70,20 @@ def _runs(at: np.ndarray, rows: np.ndarray, kind: np.ndarray) -> tuple[np.ndarra
 
 def _binary(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a binary column without nulls."""
-    return text_bytes(col.combine_chunks().cast(pa.large_binary()).cast(pa.large_string()) if isinstance(col, pa.ChunkedArray) else col.cast(pa.large_string()))
+    if isinstance(col, pa.ChunkedArray):
+        col = col.combine_chunks()
+    return text_bytes(col.cast(pa.large_binary()).view(pa.large_string()))
+
+
+def single_spaced(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The words with one space between them, and their starts and ends there."""
+    size = ends - starts
+    begin = np.cumsum(size + 1) - size - 1
+    out = np.full(int(begin[-1] + size[-1]) if len(size) else 0, 0x20, np.uint8)
+    shift = np.repeat(starts - begin, size)
+    to = np.arange(len(shift)) + np.repeat(begin - (np.cumsum(size) - size), size)
+    out[to] = data[to + shift]
+    return out.tobytes(), begin, begin + size
 
 
 def window_hashes(data: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -80,32 +94,6 @@ def window_hashes(data: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.nda
     return g[at].view(np.int64), at, rows[at], starts, ends
 
 
-def word_numbers(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A number for each word, equal where the words are: found by hashes, checked on the bytes."""
-    _, first, number = np.unique(hashes(data, starts, ends), return_index=True, return_inverse=True)
-    number = number.ravel()
-    size, like = ends - starts, first[number]
-    same = bool((size == size[like]).all())
-    if same and len(size):
-        shift = np.repeat(starts[like] - starts, size)
-        at = np.arange(len(shift)) + np.repeat(starts - (np.cumsum(size) - size), size)
-        same = bool((data[at] == data[at + shift]).all())
-    if same:
-        return number
-    raw, seen = data.tobytes(), {}
-    return np.array([seen.setdefault(raw[i:j], len(seen)) for i, j in zip(starts.tolist(), ends.tolist(), strict=True)], np.int64)
-
-
-def phrase_numbers(number: np.ndarray, k: int) -> np.ndarray:
-    """A number for each k successive words, equal where all of them are."""
-    x, width = number.astype(np.int64), 1
-    while width < k and len(x) > 1:
-        step = min(width, k - width)
-        x = np.unique((x[: len(x) - step] << 32) | x[step:], return_inverse=True)[1].ravel()
-        width += step
-    return x if width == k else np.zeros(0, np.int64)
-
-
 def find_anchors(docs: DataFrame, size: int, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, data, offs in pieces(batches, "text"):
@@ -117,26 +105,156 @@ def find_anchors(docs: DataFrame, size: int, k: int) -> DataFrame:
 
 
 def find_runs(docs: DataFrame, size: int, k: int) -> DataFrame:
-    """docs has id, row, text and anchors (array); gives (anchor, id, row, pos, seq): the runs of windows at those anchors, with their words."""
+    """docs has id, row, text, and anchors and busy (arrays); gives (anchor, hot, id, row, pos, seq): the runs of windows at those anchors, with
+    their words. hot: the anchor is one of busy."""
+
+    def marks(own: np.ndarray, rows: np.ndarray, wanted: pa.Array) -> np.ndarray:
+        """Whether the hash is in its row's list."""
+        wanted = wanted.cast(pa.large_list(pa.int64()))
+        owner = np.repeat(np.arange(len(wanted)), np.array(wanted.value_lengths()))
+        odd = U(0x9E3779B97F4A7C15)
+        return np.isin(own + rows.astype(U) * odd, wanted.flatten().to_numpy().view(U) + owner.astype(U) * odd)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, data, offs in pieces(batches, "text", 2 << 20):
             _, at, rows, anchor = _spans(data, offs, size, k)
-            wanted = b.column("anchors")
-            wanted = wanted.cast(pa.large_list(pa.int64()))
-            owner = np.repeat(np.arange(b.num_rows), np.array(wanted.value_lengths()))
-            odd = U(0x9E3779B97F4A7C15)
-            keep = np.isin(anchor + rows.astype(U) * odd, wanted.flatten().to_numpy().view(U) + owner.astype(U) * odd)
+            keep = marks(anchor, rows, b.column("anchors"))
             at, rows, anchor = at[keep], rows[keep], anchor[keep]
             first, last = _runs(at, rows, anchor)
             starts, ends, word_rows = words(data, offs)
             head = row_bounds(word_rows, b.num_rows)
-            raw = data.tobytes()
-            seq = [b" ".join(raw[i:j].split()) for i, j in zip(starts[at[first]].tolist(), ends[at[last] + size - 1].tolist(), strict=True)]
+            raw, starts, ends = single_spaced(data, starts, ends)
+            seq = [raw[i:j] for i, j in zip(starts[at[first]].tolist(), ends[at[last] + size - 1].tolist(), strict=True)]
             own = pa.array(rows[first])
-            yield pa.record_batch([pa.array(anchor[first].view(np.int64)), b.column("id").take(own), b.column("row").take(own), pa.array((at[first] - head[rows[first]]).astype(np.int32)), pa.array(seq, pa.binary())], names=["anchor", "id", "row", "pos", "seq"])
+            hot = marks(anchor[first], rows[first], b.column("busy"))
+            yield pa.record_batch([pa.array(anchor[first].view(np.int64)), pa.array(hot), b.column("id").take(own), b.column("row").take(own), pa.array((at[first] - head[rows[first]]).astype(np.int32)), pa.array(seq, pa.binary())], names=["anchor", "hot", "id", "row", "pos", "seq"])
+
+    return docs.select("id", "row", "text", "anchors", "busy").mapInArrow(run, "anchor long, hot boolean, id long, row binary, pos int, seq binary")
+
+
+def confirmed(g: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The windows that two ids have, sorted, and the smallest of these ids."""
+    order = np.argsort(g)
+    g, lo, hi = g[order], lo[order], hi[order]
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(g)), bool), g[1:] != g[:-1])))
+    if not len(first):
+        return g, lo
+    low, high = np.minimum.reduceat(lo, first), np.maximum.reduceat(hi, first)
+    return g[first][low < high], low[low < high]
+
+
+def passages_of(windows: tuple, low: np.ndarray, known: np.ndarray, lowest: np.ndarray, raw: bytes, size: int) -> tuple[np.ndarray, list[bytes]]:
+    """(id, words): what the first documents hold of the known windows. windows: from window_hashes; low: the smallest id of each row."""
+    g, at, own, starts, ends = windows
+    if not len(known) or not len(g):
+        return np.zeros(0, np.int64), []
+    place = np.minimum(np.searchsorted(known, g), len(known) - 1)
+    hit = np.flatnonzero((known[place] == g) & (lowest[place] == low[own]))
+    hit = np.sort(hit[np.unique(place[hit], return_index=True)[1]])  # of windows that stand here several times, one is enough
+    a, z = _runs(at[hit], own[hit], own[hit])
+    a, z = hit[a], hit[z]
+    return low[own[a]], [raw[i:j] for i, j in zip(starts[at[a]].tolist(), ends[at[z] + size - 1].tolist(), strict=True)]
+
+
+def match(runs: pa.Array, low: np.ndarray, passages: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(run, off, n, lo): `n` words from word `off` on of a run are windows of passages whose id (low) is `lo`, by run and place. An
+    automaton of the passages' windows finds them."""
+    nothing = tuple(np.zeros(0, np.int64) for _ in range(4))
+    if not len(runs) or not len(passages):
+        return nothing
+    data, offs = _binary(pa.concat_arrays([passages, runs]))
+    starts, ends, rows = words(data, offs)
+    half, step = size - size // 2, size // 2
+    phrase = grams(hashes(data, starts, ends), half)
+    head = row_bounds(rows, len(offs) - 1)
+    cut, n_runs = int(head[len(passages)]), len(runs)  # words before the cut are those of passages
+    at = np.flatnonzero(rows[: max(0, cut - size + 1)] == rows[size - 1 : max(size - 1, cut)])  # where windows of passages begin
+    if not len(at):
+        return nothing
+    known = np.unique(np.concatenate((phrase[at], phrase[at + step])))
+    # a phrase is spelled in symbols, in an alphabet of its own for each place, so that matches begin and end where phrases do
+    length = max(1, -(-len(known).bit_length() // BITS))
+    spell = lambda x: np.stack([0x100 + (i << BITS) + ((x >> (BITS * i)) & ((1 << BITS) - 1)) for i in range(length)], 1).astype(np.uint32)
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    keys = np.concatenate([spell(np.searchsorted(known, phrase[at])), spell(np.searchsorted(known, phrase[at + step]))], 1).tobytes().decode("utf-32-le")
+    for i, place in enumerate(at.tolist()):
+        automaton.add_word(keys[2 * length * i : 2 * length * (i + 1)], place)
+    automaton.make_automaton()
+    # each run as `step` streams of every step-th phrase, with a gap between, and where a phrase is in no passage
+    n = np.maximum(0, np.diff(head)[len(passages) :] - half + 1)
+    run_of = np.repeat(np.arange(n_runs), n)
+    base = np.cumsum(n) - n
+    inside = np.arange(len(run_of)) - np.repeat(base, n)
+    number = np.minimum(np.searchsorted(known, (own := phrase[head[len(passages) + run_of] + inside])), len(known) - 1)
+    order = np.empty(len(run_of), np.int64)
+    order[np.repeat(base, n) + (inside % step) * np.repeat(n // step, n) + np.minimum(inside % step, np.repeat(n % step, n)) + inside // step] = np.arange(len(run_of))
+    order = order[(known[number] == own)[order]]
+    if not len(order):
+        return nothing
+    run_of, inside, number = run_of[order], inside[order], number[order]
+    new = np.ones(len(run_of), bool)
+    new[1:] = (run_of[1:] != run_of[:-1]) | (inside[1:] != inside[:-1] + step)
+    slot = length * np.arange(len(run_of)) + np.cumsum(new)
+    text = np.full(int(slot[-1]) + length, 0x20, np.uint32)
+    symbols = spell(number)
+    for i in range(length):
+        text[slot + i] = symbols[:, i]
+    found = list(automaton.iter(text.tobytes().decode("utf-32-le")))
+    if not found:
+        return nothing
+    end, where = np.array(found, np.int64).T
+    source = np.searchsorted(slot, end, "right") - 1  # the second phrase of the window
+    run_of, start = run_of[source], inside[source] - step
+    order = np.argsort(run_of * (int(n.max()) + size) + start)
+    run_of, start, where = run_of[order], start[order], where[order]
+    # stretches of successive windows of one passage are compared with it
+    a, z = _runs(start, run_of, where - start)
+    first, last = head[len(passages) + run_of[a]] + start[a], head[len(passages) + run_of[z]] + start[z] + size - 1
+    true = np.repeat(same_bytes(data, starts[first], ends[last], starts[where[a]], ends[where[z] + size - 1]), z - a + 1)
+    for i in np.flatnonzero(~true).tolist():  # hashes have met: each window by itself
+        j = int(head[len(passages) + run_of[i]] + start[i])
+        true[i] = data[starts[j] : ends[j + size - 1]].tobytes() == data[starts[where[i]] : ends[where[i] + size - 1]].tobytes()
+    run_of, start, lo = run_of[true], start[true], low[rows[where[true]]]
+    a, z = _runs(start, run_of, lo)
+    return run_of[a], start[a], start[z] - start[a] + size, lo[a]
+
+
+def same_bytes(data: np.ndarray, a: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_end: np.ndarray) -> np.ndarray:
+    """Whether data[a:a_end] is data[b:b_end], for each of several."""
+    out = a_end - a == b_end - b
+    size = np.where(out, a_end - a, 0)
+    at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    unlike = data[at + np.repeat(a, size)] != data[at + np.repeat(b, size)]
+    out[np.repeat(np.arange(len(a)), size)[unlike]] = False
+    return out
+
 
-    return docs.select("id", "row", "text", "anchors").mapInArrow(run, "anchor long, id long, row binary, pos int, seq binary")
+def whole_shard(size: int):
+    """For a shard: its runs, to (id, row, pos, n): the words that a smaller id has."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        coded = t["seq"].combine_chunks().dictionary_encode()  # equal runs are one from here on
+        index, seq = coded.indices.to_numpy(), coded.dictionary
+        ids = t["id"].to_numpy()
+        low, high = np.full(len(seq), np.iinfo(np.int64).max), np.full(len(seq), np.iinfo(np.int64).min)
+        np.minimum.at(low, index, ids)
+        np.maximum.at(high, index, ids)
+        data, offs = _binary(seq)
+        windows = window_hashes(data, offs, size)
+        known, lowest = confirmed(windows[0], low[windows[2]], high[windows[2]])
+        lo, cut = passages_of(windows, low, known, lowest, data.tobytes(), size)
+        of, off, n, lo = match(seq, lo, pa.array(cut, pa.binary()), size)
+        # from the distinct runs to the rows that have them
+        bounds = np.searchsorted(of, np.arange(len(seq) + 1))
+        count = np.diff(bounds)[index]
+        each = np.repeat(np.arange(len(index)), count)
+        f = np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(bounds[:-1][index], count)
+        keep = lo[f] < ids[each]
+        each, f = each[keep], f[keep]
+        return pa.table([pa.array(ids[each]), t["row"].take(pa.array(each)), pa.array((t["pos"].to_numpy()[each] + off[f]).astype(np.int32)), pa.array(n[f].astype(np.int32))], names=["id", "row", "pos", "n"])
+
+    return run
 
 
 def find_windows(runs: DataFrame, size: int) -> DataFrame:
@@ -150,121 +268,81 @@ def find_windows(runs: DataFrame, size: int) -> DataFrame:
 
 
 def cut_passages(size: int):
-    """For one part of a shard: its runs and the shard's confirmed windows, to (shard, lo, seq): words that `lo` is the first id to have."""
+    """For one part of a shard: its runs and the shard's confirmed windows, to (shard, lo, seq)."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[list] = [[], [], []]
+        lo, seq = np.zeros(0, np.int64), []
         if left.num_rows and right.num_rows:
             data, offs = _binary(left["seq"])
-            g, at, own, starts, ends = window_hashes(data, offs, size)
-            known, lowest = right["win"].to_numpy(), right["lo"].to_numpy()
+            known = right["win"].to_numpy()
             order = np.argsort(known)
-            known, lowest = known[order], lowest[order]
-            place = np.minimum(np.searchsorted(known, g), len(known) - 1)
-            first = (known[place] == g) & (lowest[place] == left["lo"].to_numpy()[own])
-            # of windows that the part has several times, one is enough
-            hit = np.flatnonzero(first)
-            hit = np.sort(hit[np.unique(place[hit], return_index=True)[1]])
-            a, z = _runs(at[hit], own[hit], own[hit])
-            a, z = hit[a], hit[z]
-            raw = data.tobytes()
-            out = [[left["shard"][0].as_py()] * len(a), left["lo"].to_numpy()[own[a]], [raw[i:j] for i, j in zip(starts[at[a]].tolist(), ends[at[z] + size - 1].tolist(), strict=True)]]
-        return pa.table([pa.array(x, t) for x, t in zip(out, (pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["shard", "lo", "seq"])
+            lo, seq = passages_of(window_hashes(data, offs, size), left["lo"].to_numpy(), known[order], right["lo"].to_numpy()[order], data.tobytes(), size)
+        shard = left["shard"][0].as_py() if left.num_rows else 0
+        return pa.table([pa.array([shard] * len(seq), pa.int32()), pa.array(lo), pa.array(seq, pa.binary())], names=["shard", "lo", "seq"])
 
     return run
 
 
 def locate(size: int):
-    """For one part of a shard: its runs and the shard's passages, to (run, off, n, lo): `n` words from word `off` on of the run are
-    windows of passages of the id `lo`."""
+    """For one part of a shard: its runs and the shard's passages, to (run, off, n, lo), see match()."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        names, types = ["run", "off", "n", "lo"], [pa.binary(), pa.int32(), pa.int32(), pa.int64()]
-        nothing = pa.table([pa.array([], t) for t in types], names=names)
-        if not left.num_rows or not right.num_rows:
-            return nothing
-        data, offs = _binary(pa.chunked_array([*right["seq"].chunks, *left["seq"].chunks], pa.binary()))
-        starts, ends, rows = words(data, offs)
-        half, step = size - size // 2, size // 2
-        phrase = phrase_numbers(word_numbers(data, starts, ends), half)
-        n_passages = right.num_rows
-        head = row_bounds(rows, len(offs) - 1)
-        cut = int(head[n_passages])  # words before it are those of passages
-        # a phrase is spelled in symbols, in an alphabet of its own for each place, so that matches begin and end where phrases do
-        length = max(1, -(-int(phrase.max() + 1).bit_length() // BITS)) if len(phrase) else 1
-        symbols = np.stack([0x100 + (i << BITS) + ((phrase >> (BITS * i)) & ((1 << BITS) - 1)) for i in range(length)], 1).astype(np.uint32)
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        at = np.flatnonzero(rows[: max(0, cut - size + 1)] == rows[size - 1 : max(size - 1, cut)])  # where windows of passages begin
-        keys = np.concatenate([symbols[at], symbols[at + step]], 1).tobytes().decode("utf-32-le")
-        for i, own in enumerate(rows[at].tolist()):
-            automaton.add_word(keys[2 * length * i : 2 * length * (i + 1)], own)
-        if not len(automaton):
-            return nothing
-        automaton.make_automaton()
-        known = np.zeros(int(phrase.max()) + 1, bool)
-        known[phrase[at]] = known[phrase[at + step]] = True
-        # each run as `step` streams of every step-th phrase, with a gap between, and where a phrase is in no passage
-        n_phrases = np.maximum(0, np.diff(head)[n_passages:] - half + 1)
-        run_of = np.repeat(np.arange(left.num_rows), n_phrases)
-        inside = np.arange(len(run_of)) - np.repeat(np.cumsum(n_phrases) - n_phrases, n_phrases)
-        useful = known[phrase[head[n_passages + run_of] + inside]]
-        run_of, inside = run_of[useful], inside[useful]
-        order = np.lexsort((inside, inside % step, run_of))
-        run_of, inside = run_of[order], inside[order]
-        if not len(run_of):
-            return nothing
-        new = np.ones(len(run_of), bool)
-        new[1:] = (run_of[1:] != run_of[:-1]) | (inside[1:] != inside[:-1] + step)
-        slot = length * np.arange(len(run_of)) + np.cumsum(new)
-        text = np.full(int(slot[-1]) + length, 0x20, np.uint32)
-        of = symbols[head[n_passages + run_of] + inside]
-        for i in range(length):
-            text[slot + i] = of[:, i]
-        found = np.fromiter((x for pair in automaton.iter(text.tobytes().decode("utf-32-le")) for x in pair), np.int64).reshape(-1, 2)
-        source = np.searchsorted(slot, found[:, 0], "right") - 1  # the second phrase of the window
-        run_of, start, low = run_of[source], inside[source] - step, right["lo"].to_numpy()[found[:, 1]]
-        order = np.lexsort((start, run_of))
-        run_of, start, low = run_of[order], start[order], low[order]
-        a, z = _runs(start, run_of, low)
-        return pa.table([left["run"].take(pa.array(run_of[a])), pa.array(start[a].astype(np.int32)), pa.array((start[z] - start[a] + size).astype(np.int32)), pa.array(low[a])], names=names)
+        left, right = left.combine_chunks(), right.combine_chunks()
+        one = lambda t: t["seq"].combine_chunks() if t.num_rows else pa.array([], pa.binary())
+        of, off, n, lo = match(one(left), right["lo"].to_numpy(), one(right), size)
+        return pa.table([left["run"].take(pa.array(of)), pa.array(off.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(lo)], names=["run", "off", "n", "lo"])
 
     return run
 
 
-def repeated_places(docs: DataFrame, size: int = 13, k: int = 5, per_shard: int = 20_000) -> DataFrame:
-    """docs has id, row (a key of its text) and text; gives (id, row, pos, n): word ranges that a document with a smaller id has too.
-    Ranges of one row can overlap."""
-    docs = docs.where("id is not null")
-    seen = stored(find_anchors(docs, size, k), "anchors")
-    shared = seen.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("anchor")
-    by_doc = stored(seen.join(shared, "anchor", "left_semi").groupBy("id").agg(F.collect_set("anchor").alias("anchors")), "anchored")
-    drop_stored(seen)
-    every = stored(find_runs(docs.join(by_doc, "id"), size, k).withColumn("run", F.unhex(F.md5("seq"))), "places")
-    drop_stored(by_doc)
-    runs = stored(every.groupBy("run").agg(F.min("anchor").alias("anchor"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.any_value("seq").alias("seq")), "runs")
-    shards = max(1, -(-runs.count() // per_shard))
-    runs = runs.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int"))
+def in_parts(every: DataFrame, size: int, per_shard: int) -> DataFrame:
+    """(id, row, pos, n) of the runs at anchors that many runs have; every: from find_runs, with shard."""
+    every = every.withColumn("run", F.unhex(F.md5("seq")))
+    runs = stored(every.groupBy("shard", "run").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.any_value("seq").alias("seq")), "runs")
     again = stored(find_windows(runs, size).groupBy("shard", "win").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("shard", "win", "lo"), "windows")
-    parts = runs.groupBy("shard").agg(F.ceil(F.count("*") / (2 * per_shard)).cast("int").alias("parts"))  # a row a shard
-    parts = F.broadcast(parts) if shards <= MOST_SHARDS else parts
+    parts = runs.groupBy("shard").agg(F.ceil(F.count("*") / per_shard).cast("int").alias("parts"))  # a row a shard, each with more than per_shard runs
     key = ["shard", "part"]
     left = runs.join(parts, "shard").select("shard", F.pmod(F.xxhash64("run"), F.col("parts")).cast("int").alias("part"), "run", "lo", "seq")
     to_parts = lambda x: x.join(parts, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     passages = stored(left.groupBy(key).cogroup(to_parts(again).groupBy(key)).applyInArrow(cut_passages(size), "shard int, lo long, seq binary"), "passages")
     drop_stored(again)
     found = stored(left.select("shard", "part", "run", "seq").groupBy(key).cogroup(to_parts(passages).groupBy(key)).applyInArrow(locate(size), "run binary, off int, n int, lo long"), "found")
-    drop_stored(passages)
+    drop_stored(passages, runs)
     out = every.select("id", "row", "pos", "run").join(found, "run").where("lo < id")
-    out = stored(out.select("id", "row", (F.col("pos") + F.col("off")).alias("pos"), "n").distinct(), "gone")
-    drop_stored(every, found)
-    return out
+    return out.select("id", "row", (F.col("pos") + F.col("off")).cast("int").alias("pos"), "n")
+
+
+def repeated_places(docs: DataFrame, size: int = 13, k: int = 5, per_shard: int = 20_000) -> DataFrame:
+    """docs has id, row (a key of its text) and text; gives (id, row, pos, n): word ranges that a document with a smaller id has too.
+    Ranges of one row can overlap."""
+    docs = docs.where("id is not null")
+    seen = stored(find_anchors(docs, size, k), "anchors")
+    shared = seen.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("anchor", (F.col("n") > per_shard).alias("hot"))
+    some = lambda c: F.collect_set(F.when(c, F.col("anchor")))
+    by_doc = stored(seen.join(shared, "anchor").groupBy("id").agg(F.collect_set("anchor").alias("anchors"), some(F.col("hot")).alias("busy")), "anchored")
+    drop_stored(seen)
+    every = stored(find_runs(docs.join(by_doc, "id"), size, k), "runs")
+    drop_stored(by_doc)
+    n = every.groupBy("hot").count().collect()
+    light, heavy = (sum(r["count"] for r in n if r["hot"] == hot) for hot in (False, True))
+    shard = lambda n: F.pmod(F.xxhash64("anchor"), F.lit(max(1, -(-n // per_shard)))).cast("int").alias("shard")
+    parts = []
+    if light:
+        rows = every.where("not hot").select(shard(light), "id", "row", "pos", "seq")
+        parts.append(stored(rows.groupBy("shard").applyInArrow(whole_shard(size), "id long, row binary, pos int, n int"), "gone"))
+    if heavy:
+        parts.append(stored(in_parts(every.where("hot").select(shard(heavy), "id", "row", "pos", "seq"), size, per_shard), "gone"))
+    drop_stored(every)
+    if not parts:
+        return docs.select("id", "row", F.lit(0).alias("pos"), F.lit(0).alias("n")).limit(0)
+    return reduce(DataFrame.union, parts)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 13, k: int = 5, with_text: bool = True) -> DataFrame:
     """One row per row of docs: id, n_words, n_removed, kept_text (the words left, joined by one space; null unless with_text) and kept_sha256 of it."""
     workers(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("row"), F.col(text_col).alias("text"))
-    gone = repeated_places(base, size, k).groupBy("id", "row").agg(F.collect_list(F.struct("pos", "n")).alias("gone"))
+    gone = repeated_places(base, size, k).groupBy("id", "row").agg(F.collect_set(F.struct("pos", "n")).alias("gone"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
