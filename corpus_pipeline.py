@@ -1,7 +1,7 @@
 """The corpus pipeline over documents: toxicity, near duplicates, benchmark decontamination, PII, mixing to target weights.
 
 Each stage works on all rows that the one before kept. All but the last return the columns of documents. Null and empty texts pass every
-filter (mixing may leave them out or repeat them, as their rates say); rows with a null id do where a filter goes by ids. Repeated rows are
+filter (mixing may leave them out or repeat them, as their rates say); rows with a null id pass near_duplicates, which goes by ids. Repeated rows are
 judged alike, ties go to the smaller id, texts are read whole. Other columns come along; columns that mixing adds get an underscore more where
 documents has their name. Empty tables give empty results."""
 
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexspan.llm import decontam, mixing, neardup, pii, toxicity
-from lexspan.llm._common import drop_stored, fits_broadcast, read, stored, unused
+from lexspan.llm._common import fits_broadcast, read, stored, unused
 
 #: shares of tokens of documents of high and low quality
 TARGETS = {"1": 0.95, "0": 0.05}
@@ -37,10 +37,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold ten successive words of a benchmark item, or a whole shorter item, go."""
-    plan, small = decontam.plan_windows(docs, read(spark, sf_dir, "benchmark"))
-    hit = stored(decontam.matches(docs, plan, small).select(F.col("id").alias("drop_id")).where("drop_id is not null").distinct(), "leaks")
-    drop_stored(plan)
-    return without(docs, hit)
+    return decontam.drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
