@@ -82,3 +82,14 @@ def lower_ascii(c: Column) -> Column:
 def fits_broadcast(df: DataFrame, rows: int) -> bool:
     """True if df has at most so many rows; looks at one row more than that."""
     return df.limit(rows + 1).count() <= rows
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], heavy: DataFrame, by: str, how: str = "inner", ways: int = 64) -> DataFrame:
+    """left.join(right, on, how), where right has at most one row for each key. The keys in heavy (few: they are broadcast) are dealt over
+    `ways` tasks: left's rows by the hash of the column `by`, right's rows once to each."""
+    mark = F.broadcast(heavy.select(*on).withColumn("_hot", F.lit(True)))
+    way = F.pmod(F.xxhash64(by), F.lit(ways)).cast("int")
+    one = left.join(mark, on, "left").withColumn("_way", F.when(F.col("_hot"), way).otherwise(0)).drop("_hot")
+    each = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(ways - 1))).otherwise(F.array(F.lit(0)))
+    two = right.join(mark, on, "left").withColumn("_way", F.explode(each)).drop("_hot")
+    return one.join(two, [*on, "_way"], how).drop("_way")

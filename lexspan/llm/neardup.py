@@ -8,8 +8,9 @@ to one slot of its own permutation, and a document stops as soon as no slot is f
 shape of stars, twice with other centres. Documents still apart in a bucket are compared with each
 other in blocks, on their full sets, so no link is lost to a cap; what comes out of a block is at most one link a document. Sets are recomputed from the text for the documents that share a bucket.
 
-Null text counts as empty. Rows with a null id get a null component. Ties: the smallest id stands for its group. Repeated rows
-give repeated results. Other columns are not read."""
+Buckets, hubs and centres that many documents share are spread over tasks. Null text counts as empty. Rows with a null id get a null
+component. Ties: the smallest id stands for its group. Repeated rows give repeated results; rows that repeat an id with
+other texts share its component. Texts are read whole, however long. Other columns are not read. Empty tables give empty results."""
 
 from __future__ import annotations
 
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import drop_stored, fits_broadcast, stored, workers
+from ._common import drop_stored, fits_broadcast, spread_join, stored, workers
 from ._text import LOWER, U, grams, hashes, mix, pieces, row_bounds, words
 
 FULL = U(2**64 - 1)
@@ -124,31 +125,36 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str, ids: DataFrame, k: int)
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).join(F.broadcast(ids) if fits_broadcast(ids, MOST_IDS) else ids, "id", "left_semi").mapInArrow(run, "id long, s array<long>")
 
 
+def heavy_keys(rows: DataFrame, on: list[str], n: int) -> DataFrame:
+    """The keys that more than a ten-thousandth of n rows have, and 1,000 at least: at most 10,000 if there are n rows."""
+    return rows.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") > max(1000, n // 10_000)).select(*on)
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, root): the smallest id reachable over edges (a, b). Union-find in rounds: each root hooks on to the smallest neighbouring root, then paths are halved."""
+    """(id, root): the smallest id reachable over edges (a, b). Union-find in rounds: each root hooks on to the smallest neighbouring
+    root, then paths are halved, until no root has a smaller neighbour. Rows that meet at a hub are spread."""
     both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
+    n = both.count()
+    hubs = stored(heavy_keys(both, ["b"], n), "hubs")
     least = both.groupBy("a").agg(F.min("b").alias("m"))
     now = stored(nodes.join(least, nodes.id == least.a, "left").select("id", F.least("id", F.coalesce("m", "id")).alias("root")), "roots")
     while True:
-        over = both.join(now.select(F.col("id").alias("b"), F.col("root").alias("rb")), "b").groupBy("a").agg(F.min("rb").alias("rb"))
-        hook = now.join(over, now.id == over.a, "left").select("id", "root", F.least("root", F.coalesce("rb", "root")).alias("to"))
-        parent = hook.groupBy("root").agg(F.min("to").alias("up")).where("up < root").select(F.col("root").alias("r"), "up")
-        up = hook.select("id", "root", "to").join(parent, F.col("to") == F.col("r"), "left").select("id", F.col("root").alias("was"), F.least("to", F.coalesce("up", "to")).alias("root"))
-        new = stored(up, "roots")
-        changed = not new.where("root <> was").isEmpty()
-        drop_stored(now)
-        now = new.select("id", "root")
-        now.stored_at = new.stored_at
-        if not changed:
-            drop_stored(both)
+        over = spread_join(both, now.select(F.col("id").alias("b"), F.col("root").alias("rb")), ["b"], hubs, "a").groupBy("a").agg(F.min("rb").alias("rb"))
+        hook = stored(now.join(over, now.id == over.a, "left").select("id", "root", F.least("root", F.coalesce("rb", "root")).alias("to")), "hooks")
+        if hook.where("to < root").isEmpty():
+            drop_stored(both, hubs, hook)
             return now
+        parent = hook.groupBy("root").agg(F.min("to").alias("up")).where("up < root").select(F.col("root").alias("to"), "up")
+        up = spread_join(hook, parent, ["to"], heavy_keys(hook, ["to"], n), "id", "left")
+        old, now = now, stored(up.select("id", F.least("to", F.coalesce("up", "to")).alias("root")), "roots")
+        drop_stored(old, hook)
 
 
-def unlike_cells(rows: DataFrame) -> DataFrame:
+def unlike_cells(rows: DataFrame, heavy: DataFrame) -> DataFrame:
     """The rows of those buckets that hold more than one component."""
     rows = rows.select(*(c for c in rows.columns if c not in ("r0", "r1")))
     mixed = rows.groupBy("band", "cell").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("band", "cell")
-    return rows.join(mixed, ["band", "cell"], "left_semi")
+    return spread_join(rows, mixed, ["band", "cell"], heavy, "id")
 
 
 def compare_families(rows: DataFrame, percent: int, block: int = 512) -> DataFrame:
@@ -217,30 +223,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sig = stored(signatures(docs, id_col, text_col, k, bands, rows), "signatures")
     node = stored(sig.where("n > 0 and id is not null").groupBy("n", "f1", "f2").agg(F.min("id").alias("id"), F.min("bands").alias("bands")), "nodes")
     cells = node.select("id", "n", F.posexplode("bands").alias("band", "cell"))
-    shared_cells = cells.groupBy("band", "cell").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
-    busy = stored(cells.join(shared_cells, ["band", "cell"]), "buckets")
+    end = F.struct("id", "n")
+    shared_cells = cells.groupBy("band", "cell").agg(F.min(end).alias("lo"), F.max(end).alias("hi"), F.count("*").alias("rows")).where("lo.id < hi.id")
+    shared_cells = stored(shared_cells, "shared")
+    heavy = shared_cells.where(F.col("rows") > max(1000, shared_cells.count() // 10_000)).select("band", "cell")
+    busy = stored(spread_join(cells, shared_cells.drop("rows"), ["band", "cell"], heavy, "id"), "buckets")
 
     sets = stored(sets_of(docs, id_col, text_col, busy.select("id").distinct(), k), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b").distinct()
-        one = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+        """The links among pairs. A hub's set goes to several tasks, not beside each of its rows in one."""
+        pairs = stored(pairs.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b").distinct(), "pairs")
+        size = pairs.count()
+        one = spread_join(pairs, sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), ["a"], heavy_keys(pairs, ["a"], size), "b")
+        one = spread_join(one, sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), ["b"], heavy_keys(pairs, ["b"], size), "a")
         common = F.size(F.array_intersect("sa", "sb"))
-        return stored(one.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b"), "links")
+        out = stored(one.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b"), "links")
+        drop_stored(pairs)
+        return out
 
-    sizes = node.select(F.col("id").alias("o"), F.col("n").alias("no"))
-    stars = busy.select("id", "n", F.col("lo").alias("o")).union(busy.select("id", "n", F.col("hi").alias("o"))).where("id <> o").distinct()
-    links = confirmed(stars.join(sizes, "o").select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b"), F.col("n").alias("na"), F.col("no").alias("nb")))
-    held = node.select("id")
+    stars = busy.select("id", "n", F.col("lo").alias("o")).union(busy.select("id", "n", F.col("hi").alias("o"))).where("id <> o.id")
+    links = confirmed(stars.select(F.least("id", "o.id").alias("a"), F.greatest("id", "o.id").alias("b"), F.col("n").alias("na"), F.col("o.n").alias("nb")))
+    held = node.select("id").distinct()
     roots = components(held, links)
-    apart = stored(unlike_cells(busy.join(roots, "id")), "apart")
+    apart = stored(unlike_cells(busy.select("id", "n", "band", "cell").join(roots, "id"), heavy), "apart")
     own = apart.groupBy("id").agg(F.min("root").alias("root")).join(node.select("id", "n", "bands"), "id")
     low = apart.groupBy("band", "cell").agg(F.min("id").alias("low"))
-    family = components(own, apart.join(low, ["band", "cell"]).where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")))
+    family = components(own, spread_join(apart, low, ["band", "cell"], heavy, "id").where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")))
     more = stored(compare_families(own.join(family.withColumnRenamed("root", "family"), "id").join(sets, "id"), percent), "links")
-    drop_stored(sets, apart, busy, family)
+    drop_stored(sets, apart, busy, family, shared_cells)
     if not more.isEmpty():
+        drop_stored(roots)
         roots = components(held, links.union(more))
+    drop_stored(links, more)
     by_set = node.select("n", "f1", "f2", "id").join(roots, "id").select("n", "f1", "f2", "root")
     return (
         sig.select("id", "n", "f1", "f2").join(by_set, ["n", "f1", "f2"], "left")
