@@ -4,8 +4,9 @@ A document is a bag of passages of `passage` words. Each passage becomes a vecto
 attention weighs the passages (weights learned from document labels alone), and a logistic unit scores the weighted sum.
 
 The fit uses at most `max_train` labelled documents, those with the smallest hashes of their ids (bound is a documented parameter); all
-texts are scored whole. Null and empty texts are one passage of zeros. Rows with null labels or ids don't train. With no usable labels,
-or labels of one class only, the score is the share of label 1 (0.5 without labels). Other columns are not read."""
+texts are scored whole, however long. Null and empty texts are one passage of zeros. Rows with null labels or ids don't train; of rows that
+repeat an id, one does. Repeated rows and ties get equal scores. With no usable labels, or labels of one class only, the score is the share of
+label 1 (0.5 without labels). Empty tables give empty results. Other columns are not read, and may clash."""
 
 from __future__ import annotations
 
@@ -144,7 +145,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 
     some = F.broadcast(bounded_labels(labels, id_col, label_col, max_train, train_where))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(some, "id").select("id", "label", "text").mapInArrow(run, "id long, label int, n long, x binary")
-    got = rows.toArrow().sort_by([("id", "ascending"), ("x", "ascending")])
+    one = rows.groupBy("id").agg(F.min(F.struct("label", "n", "x")).alias("m")).select("id", "m.label", "m.n", "m.x")
+    got = one.toArrow().sort_by("id")
     if not got.num_rows:
         return AttentionMIL()
     x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float32).reshape(-1, N_FEATURES)
@@ -152,7 +154,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 
 
 def score_quality(docs: DataFrame, model: AttentionMIL, id_col: str = "doc_id", text_col: str = "text", passage: int = 48, cut: float = 0.7) -> DataFrame:
-    """One row per row of docs: id, score (0 to 1), predicted (1 if score >= cut), top_passage (number of the heaviest passage)."""
+    """One row per row of docs: id, score (0 to 1), predicted (1 if score >= cut, else 0), n_passages."""
     spark = docs.sparkSession
     workers(spark)
     held = spark.sparkContext.broadcast(model)
