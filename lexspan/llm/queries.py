@@ -12,7 +12,8 @@ from ._common import LETTERS, read
 
 
 def remainder(id_col: str, n: int) -> Column:
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % n
+    """The remainder that sets rows apart; -1 for a null id, which is never held out."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % n, F.lit(-1))
 
 
 def op1_quality(spark: SparkSession, d: str) -> DataFrame:
@@ -66,8 +67,23 @@ def op10_secrets(spark: SparkSession, d: str) -> DataFrame:
     return secrets.scan_secrets(read(spark, d, "documents"))
 
 
+def base_pii(spark: SparkSession, d: str) -> DataFrame:
+    """What is fixed by the texts alone of op3."""
+    return op3_pii(spark, d).drop("spans")
+
+
+def base_secrets(spark: SparkSession, d: str) -> DataFrame:
+    """What is fixed by the texts alone of op10."""
+    return op10_secrets(spark, d).drop("spans")
+
+
+def base_lm(spark: SparkSession, d: str) -> DataFrame:
+    """What is fixed by the texts alone of op2; sums of logarithms are rounded, as they depend on the order."""
+    return op2_lm_scores(spark, d).drop("score").withColumn("base_score", F.round("base_score", 2))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_lm_scores, op3_pii, op4_mixing, op5_ann, op6_decontamination, op7_toxicity, op8_near_duplicates, op9_repeats, op10_secrets)}
+    return {f.__name__: f for f in (op1_quality, op2_lm_scores, op3_pii, op4_mixing, op5_ann, op6_decontamination, op7_toxicity, op8_near_duplicates, op9_repeats, op10_secrets, base_pii, base_secrets, base_lm)}
 
 
 UPPER, LOWER = LETTERS
@@ -104,6 +120,54 @@ kept AS (SELECT doc_id, sum(gone)::BIGINT AS n_removed, string_agg(word, ' ' ORD
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(rest, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
 
 
+
+
+def _spans_sql(kinds: dict[str, tuple[str, str]], order: str) -> str:
+    """CTEs up to listed(doc_id, n_..., base): spans by gaps between the matches of each kind's pattern. A kind has a pattern and a
+    condition on the match m and its second group g."""
+    one = []
+    for i, (kind, (pattern, good)) in enumerate(kinds.items()):
+        p = pattern.replace("'", "''")
+        group = f"regexp_extract_all(t, '{p}', 2)" if pattern.count("(") > 1 and kind == "assign" else f"regexp_extract_all(t, '{p}')"
+        one.append(f"SELECT doc_id, {i} AS k, '{kind}' AS kind, start, start + length(m) AS stop FROM (SELECT doc_id, m, g, (sum(length(gap)) OVER w + sum(length(m)) OVER w - length(m))::BIGINT AS start FROM (SELECT doc_id, i, gaps[i] AS gap, ms[i] AS m, gs[i] AS g FROM (SELECT doc_id, string_split_regex(t, '{p}') AS gaps, regexp_extract_all(t, '{p}') AS ms, {group} AS gs FROM d), unnest(range(1, len(ms) + 1)) AS u(i)) WINDOW w AS (PARTITION BY doc_id ORDER BY i)) WHERE {good}")
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in kinds)
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({" UNION ALL ".join(one)}),
+listed AS (SELECT doc_id, {counts}, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY {order}) AS base FROM found GROUP BY doc_id)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0)::BIGINT AS n_{k}" for k in kinds)}, sha256(coalesce(base, '')) AS base_sha256 FROM d LEFT JOIN listed USING (doc_id)"""
+
+
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum([CASE WHEN i % 2 = 1 THEN x ELSE 2 * x - CASE WHEN x > 4 THEN 9 ELSE 0 END END FOR x, i IN [CAST(c AS INT) FOR c IN string_split(reverse({_DIGITS}), '')]]) % 10 = 0"
+PII_SQL = _spans_sql(
+    {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+        "ip": (r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "list_bool_and([length(ltrim(x, '0')) <= 3 AND coalesce(TRY_CAST(ltrim(x, '0') AS INT), 0) <= 255 FOR x IN string_split(m, '.')])"),
+        "card": (r"[0-9](?:[\x20-]?[0-9])+", f"length({_DIGITS}) BETWEEN 16 AND 19 AND {_LUHN}"),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 8 AND 15"),
+    },
+    "k, start",
+)
+_ASSIGN = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+SECRETS_SQL = _spans_sql(
+    {
+        "assign": (rf"""({_ASSIGN})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", "length(g) >= 6"),
+        "access": (r"AKIA[A-Z0-9]+", "length(m) >= 20"),
+        "hex": (r"[0-9a-f]+", "length(m) >= 24"),
+    },
+    "start, k",
+)
+#: crc32 byte by byte, each in eight steps
+_CRC = "xor(4294967295::BIGINT, list_reduce([c for c in [4294967295::BIGINT] || [ascii(x)::BIGINT FOR x IN string_split(doc_id::VARCHAR, '')]], lambda a, x: list_reduce([xor(a, x)] || [0, 0, 0, 0, 0, 0, 0, 0], lambda b, y: CASE WHEN b % 2 = 1 THEN xor(b // 2, 3988292384) ELSE b // 2 END)))"
+LM_SQL = rf"""
+WITH d AS (SELECT doc_id, {_CRC} % 7 = 2 AS held_out, coalesce(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+'), []) || [chr(10)] AS ws FROM documents),
+words AS (SELECT doc_id, held_out, unnest(ws) AS w FROM d),
+counted AS (SELECT w, count(*) AS c FROM words WHERE NOT held_out GROUP BY w),
+totals AS (SELECT coalesce(sum(c), 0) AS n, count(*) AS v FROM counted)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, any_value(n)::BIGINT AS train_tokens, round(sum(log10(coalesce(c, 0) + 1) - log10(n + v + 1)), 2) AS base_score
+FROM words LEFT JOIN counted USING (w), totals GROUP BY doc_id, held_out"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """SQL of the operators whose result is fixed by the texts alone; the others learn, or search approximately."""
-    return {"op6_decontamination": DECONTAMINATION_SQL, "op8_near_duplicates": NEAR_DUPLICATES_SQL, "op9_repeats": REPEATS_SQL}
+    """SQL of the operators whose result is fixed by the texts alone, and of that part of others; the rest learns, or searches approximately."""
+    return {"op6_decontamination": DECONTAMINATION_SQL, "op8_near_duplicates": NEAR_DUPLICATES_SQL, "op9_repeats": REPEATS_SQL, "base_pii": PII_SQL, "base_secrets": SECRETS_SQL, "base_lm": LM_SQL}

@@ -218,41 +218,72 @@ def test_repeats_are_what_the_automata_match(monkeypatch):
     assert repeats.locate(13)(left, right).num_rows == 0
 
 
-def test_word_numbers_compare_bytes(monkeypatch):
-    data = np.frombuffer(b"ab cd ab ce", np.uint8)
-    starts, ends = np.array([0, 3, 6, 9]), np.array([2, 5, 8, 11])
-    assert len(set(repeats.word_numbers(data, starts, ends).tolist())) == 3
-    monkeypatch.setattr(repeats, "hashes", lambda d, s, e: np.zeros(len(s), np.uint64))  # all collide
-    n = repeats.word_numbers(data, starts, ends)
-    assert n[0] == n[2] and len(set(n.tolist())) == 3
+def test_matches_are_compared_with_the_passage(monkeypatch):
+    """Where all hashes of phrases meet, only windows with the passage's words are found."""
+    import pyarrow as pa
 
+    runs = pa.array([b"a b c d e f g h i j k l m", b"a b c d e f X h i j k l m", b"q a b c d e f g h i j k l m"], pa.binary())
+    monkeypatch.setattr(repeats, "hashes", lambda d, s, e: np.ones(len(s), np.uint64))
+    got = repeats.match(runs, np.array([5]), pa.array([b"a b c d e f g h i j k l m"], pa.binary()), 13)
+    assert list(zip(*(x.tolist() for x in got), strict=True)) == [(0, 0, 13, 5), (2, 1, 13, 5)]
 
-def test_decontamination(spark, docs, none, rows):
-    items = [(1, rows[5][1].split(" w", 12)[0] + " " + words(5), "q"), (2, rows[14][1], "q"), (3, "two words", "q"), (4, None, None), (5, "", "q"), (10, "Été", "q"), (2, rows[14][1], "q")]
-    bench = spark.createDataFrame(items, "item_id long, text string, id string")
+
+def plain_windows(items, size=10):
     windows = {}
-    for i, t, _ in items:
+    for i, t, *_ in items:
         w = WORD.findall(lower(t))
-        for j in range(max(1, len(w) - 9)) if w else []:
-            windows.setdefault(tuple(w[j : j + 10]), set()).add(str(i))
-    for r in decontam.contamination(docs, bench).collect():
-        t = next(x[1] for x in rows if x[0] == r["doc_id"])
-        w, hit, found = WORD.findall(lower(t)), set(), set()
-        if r["doc_id"] is None:
-            assert r["n_hit"] == 0
-            continue
-        for x, its in windows.items():
-            for j in range(len(w) - len(x) + 1):
-                if tuple(w[j : j + len(x)]) == x:
-                    hit |= set(range(j, j + len(x)))
-                    found |= its
-        assert (r["n_words"], r["n_hit"], r["items"], r["contaminated"]) == (len(w), len(hit), sorted(found), bool(hit)), r["doc_id"]
+        for j in range(max(1, len(w) - size + 1)) if w else []:
+            windows.setdefault(tuple(w[j : j + size]), set()).add(str(i))
+    return windows
+
+
+def plain_hits(t, windows):
+    w, hit, found = WORD.findall(lower(t)), set(), set()
+    for x, its in windows.items():
+        for j in range(len(w) - len(x) + 1):
+            if tuple(w[j : j + len(x)]) == x:
+                hit |= set(range(j, j + len(x)))
+                found |= its
+    return len(w), len(hit), sorted(found)
+
+
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_decontamination(spark, docs, none, rows, most):
+    items = [(1, rows[5][1].split(" w", 12)[0] + " " + words(5), "q"), (2, rows[14][1], "q"), (3, "two words", "q"), (4, None, None), (5, "", "q"), (10, "Été", "q"), (2, rows[14][1], "q"), (11, rows[14][1], "q")]
+    items += [(12, "w1", "q"), (13, "the the the the the the the the the the the the", "q")]
+    bench = spark.createDataFrame(items, "item_id long, text string, id string")
+    windows = plain_windows(items)
+    # rows that share an id, or have none, are judged by their own text
+    more = [(7, "a clean text", "x", 1, "y", 2), (7, rows[14][1] + " end", "x", 1, "y", 2), (None, "Two words", "x", 1, "y", 2), (7, "the " * 300, "x", 1, "y", 2)]
+    df = docs.union(spark.createDataFrame(more, SCHEMA)).withColumn("key", F.lit("k")).withColumn("win", F.lit(1))
+    got = decontam.contamination(df, bench, broadcast_windows=most).collect()
+    want = sorted(str((i, *plain_hits(t, windows))) for i, t, *_ in rows + more)
+    assert sorted(str((r["doc_id"], r["n_words"], r["n_hit"], r["items"])) for r in got) == want
+    assert all(r["contaminated"] == (r["n_hit"] > 0) and r["n_items"] == len(r["items"]) for r in got)
+    left = decontam.drop_contaminated(df, bench, broadcast_windows=most)
+    assert left.columns == df.columns
+    assert sorted(str(r["text"]) for r in left.collect()) == sorted(str(t) for _, t, *_ in rows + more if not plain_hits(t, windows)[1])
     assert decontam.contamination(none, bench).count() == 0
     assert decontam.contamination(docs, bench.limit(0)).where("contaminated").count() == 0
-    near = spark.createDataFrame([(1, "alpha x beta gamma delta")], "doc_id long, text string")
+
+
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_proximity(spark, most):
+    texts = ["alpha x beta gamma delta", "beta gamma alpha", "gamma alpha", "alpha beta gamma", "x alpha x x x beta x x x gamma", None, "", *(" ".join(R.choice(("alpha", "beta", "gamma", "x", "y")) for _ in range(R.randrange(1, 25))) for _ in range(40))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     item = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
-    assert not decontam.contamination(near, item).first()["contaminated"]
-    assert decontam.contamination(near, item, slack=2).first()["contaminated"]
+    count = Counter(w for t in texts for w in (t or "").split())
+    term = ["alpha", "beta", "gamma"]
+    anchor = min(range(3), key=lambda i: (count[term[i]], i))
+    for slack in (None, 0, 2, 3):
+        got = {r["doc_id"]: r for r in decontam.contamination(df, item, slack=slack, broadcast_windows=most).collect()}
+        for i, t in enumerate(texts):
+            w, hit, s = (t or "").split(), set(), slack or 0
+            for p in range(len(w)):
+                start = p - anchor
+                if w[p] == term[anchor] and all(term[j] in w[max(0, start + j - s) : max(0, start + j + s + 1)] for j in range(3)):
+                    hit |= set(range(max(0, start), min(len(w), start + 3)))
+            assert (got[i]["n_words"], got[i]["n_hit"]) == (len(w), len(hit)), (t, slack)
 
 
 def luhn(d):
@@ -324,21 +355,99 @@ def test_disclosing_terms_everywhere(spark):
     assert got[50]["pii_text"].endswith(" [REMOVED], zorblaxes") and got[51]["pii_text"] is None and len(got) == len(rows)
 
 
+def tlv(tag, *parts):
+    body = b"".join(parts)
+    n = len(body)
+    size = bytes([n]) if n < 128 else (lambda k: bytes([0x80 | len(k)]) + k)(n.to_bytes((n.bit_length() + 7) // 8, "big"))
+    return bytes([tag]) + size + body
+
+
+def number(n):
+    return tlv(2, bytes([1 + R.randrange(127)]) + R.randbytes(n - 1))
+
+
+ZERO, ONE, OID = tlv(2, b"\0"), tlv(2, b"\1"), tlv(0x30, tlv(6, R.randbytes(7)), tlv(5))
+string = lambda b: len(b).to_bytes(4, "big") + b
+
+
+def private_keys():
+    rsa = tlv(0x30, ZERO, number(129), tlv(2, b"\1\0\1"), *(number(k) for k in (128, 65, 64, 64, 64, 64)))
+    sec1 = tlv(0x30, ONE, tlv(4, R.randbytes(32)), tlv(0xA0, tlv(6, R.randbytes(5))), tlv(0xA1, tlv(3, R.randbytes(66))))
+    return {
+        "rsa": rsa, "sec1": sec1, "short": tlv(0x30, ONE, tlv(4, R.randbytes(16))), "dsa": tlv(0x30, ZERO, *(number(k) for k in (64, 20, 64, 64, 20))),
+        "pkcs8": tlv(0x30, ZERO, OID, tlv(4, rsa)), "ed": tlv(0x30, ZERO, tlv(0x30, tlv(6, R.randbytes(3))), tlv(4, tlv(4, R.randbytes(32)))), "sealed": tlv(0x30, OID, tlv(4, R.randbytes(64))),
+        "openssh": b"openssh-key-v1\0" + string(b"none") + string(b"none") + string(b"") + (1).to_bytes(4, "big") + string(R.randbytes(51)) + string(R.randbytes(136)),
+    }
+
+
+def test_key_structures():
+    keys = private_keys()
+    assert all(secrets.is_key(b) for b in keys.values())
+    spki = tlv(0x30, OID, tlv(3, b"\0" + tlv(0x30, number(129), tlv(2, b"\1\0\1"))))
+    cert = tlv(0x30, tlv(0x30, tlv(0xA0, tlv(2, b"\2")), number(16), OID, tlv(0x30), spki), OID, tlv(3, R.randbytes(129)))
+    public = tlv(0x30, number(129), tlv(2, b"\1\0\1"))
+    for b in (spki, cert, public, b"", b"\x30", R.randbytes(80), tlv(0x30, number(40), number(40))):
+        assert not secrets.is_key(b)
+    for b in keys.values():  # any length that doesn't add up
+        assert not secrets.is_key(b[:-1]) and not secrets.is_key(b + b"\0")
+        assert not any(secrets.is_key(b[:i] + bytes([b[i] ^ 1]) + b[i + 1 :]) for i in (1, 16 if b[0] != 0x30 else 0))
+
+
+def test_planted_secrets(spark):
+    """Documents built of pieces whose spans are known, against what the scan reports."""
+    b64 = lambda b: base64.b64encode(b).decode()
+    wrap = lambda t, n=64, sep="\n": sep.join(t[i : i + n] for i in range(0, len(t), n))
+    keys = list(private_keys().values())
+    head = base64.urlsafe_b64encode(json.dumps({"alg": "HS256"}).encode()).decode().rstrip("=")
+    docs, want = [], []
+    for i in range(120):
+        text, spans = "é ", set()
+        for _ in range(R.randrange(1, 5)):
+            key, kind = R.choice(keys), R.randrange(12)
+            bare = b64(key)
+            piece, name = {
+                0: (bare, "key64"), 1: (wrap(bare), "key64"), 2: (wrap(bare, 40, "\r\n  "), "key64"), 3: (key.hex(), "keyhex"), 4: (b64(bare.encode()), "key64"), 5: (wrap(b64(b64(bare.encode()).encode()), 76), "key64"),
+                6: (f"-----BEGIN RSA PRIVATE KEY-----\n{wrap(bare)}\n-----END RSA PRIVATE KEY-----", "pem"), 7: (f"-----BEGIN PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: DES-EDE3-CBC,{'A1' * 8}\n\n{wrap(b64(bytes(range(200, 248))))}\n-----END PRIVATE KEY-----", "pem"),
+                8: (f"{head}.e30.sig", "jwt"), 9: (bare[:-6] + "AAAA", None), 10: (b64(b"no key at all, a text that is long enough to look at"), None), 11: (key.hex().upper()[:-2] + "G", None),
+            }[kind]
+            at = len(text)
+            text += piece + R.choice([" ; ", "\n\nnext words here ", ", and\n"])
+            if name:
+                spans.add(f"{name}:{at}:{at + len(piece)}")
+        docs.append((i, text))
+        want.append(spans)
+    df = spark.createDataFrame(docs + docs[:5], "doc_id long, text string").withColumn("n_hex", F.lit("x"))
+    got = secrets.scan_secrets(df).collect()
+    assert len(got) == len(docs) + 5
+    for r in got:
+        found = {x for x in r["spans"].split(",") if x}
+        mine = {x for x in found if x.split(":")[0] in ("key64", "keyhex", "pem", "jwt")}
+        inner = {x for x in mine - want[r["doc_id"]] if x.startswith("key64") and any(w.startswith("pem") and int(w.split(":")[1]) < int(x.split(":")[1]) < int(w.split(":")[2]) for w in want[r["doc_id"]])}
+        assert mine - inner == want[r["doc_id"]], (mine ^ want[r["doc_id"]], docs[r["doc_id"]][1])
+
+
+def plain_secrets(t):
+    t = t or ""
+    out = [(m.start(), 0, m.end()) for m in re.finditer(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, re.ASCII) if len(m[1]) >= 6 and "\u017f" not in m[0] and "\u212a" not in m[0]]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+    out += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", t) if len(m[0]) >= 24]
+    return [f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(out)]
+
+
 def test_secrets(spark, none):
-    head = base64.urlsafe_b64encode(json.dumps({"alg": "HS256", "typ": "JWT"}).encode()).decode().rstrip("=")
+    pieces = ["password", "PassWD", "secret", "api_key", "ApiKey", "token", '"', "'", " ", " ", ":", "=", "abc123", "x", "AKIA", "AKIA", "ABCDEFGH12345678", "Z9", "0a1b2c3d", "deadbeef00", "é", "-", "\n", "."]
+    texts = ["password = hunter22", "é Api_Key: 'abc' apikey=\"abcdef\"", "AKIA" + "A" * 16 + " AKIA" + "B" * 10, "x" + "0a" * 12 + "g", None, "", "token" + " " * 500, "a" * 9000, "secret" * 3000, "MII" * 5000, "M" + "A" * 20000, "word\n" * 4000]
+    texts += ["".join(R.choice(pieces) for _ in range(R.randrange(1, 40))) for _ in range(400)]
+    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(None, texts[0], 1), (3, texts[3], 1)], "doc_id long, text string, spans int")
+    rows = secrets.scan_secrets(df).collect()
+    assert len(rows) == len(texts) + 2
+    for r in rows:
+        want = plain_secrets(texts[0 if r["doc_id"] is None else r["doc_id"]])
+        assert [x for x in r["spans"].split(",") if x] == want
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(x.startswith(k) for x in want) for k in ("assign", "access", "hex")]
+        assert r["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest()
     bad = base64.urlsafe_b64encode(b'{"typ": "x", "other": 1}').decode().rstrip("=")
-    number = bytes([2, 64]) + bytes(range(1, 65))
-    body = b"\x02\x01\x00" + number + b"\x04\x20" + bytes(32)
-    key = b"\x30\x81" + bytes([len(body)]) + body
-    b64 = base64.b64encode(key).decode()
-    wrong = base64.b64encode(b"\x30\x81" + bytes([len(body) - 1]) + body).decode()
-    texts = ["password = hunter22", "é Api_Key: 'abc' apikey=\"abcdef\"", "AKIA" + "A" * 16 + " AKIA" + "B" * 10, "x" + "0a" * 12 + "g", f"{head}.e30.sig", f"{bad}.e30.sig", b64, wrong, key.hex(), f"-----BEGIN PRIVATE KEY-----\n{b64}\n-----END PRIVATE KEY-----", None, "", "token" + " " * 500, "a" * 9000]
-    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, spans int")
-    got = {r["doc_id"]: r for r in secrets.scan_secrets(df).collect()}
-    kinds = {i: {s.split(":")[0] for s in r["spans"].split(",") if s} for i, r in got.items()}
-    assert got[0]["spans"] == "assign:0:19" and got[1]["spans"] == "assign:17:31" and got[2]["n_access"] == 1 and got[3]["n_hex"] == 1
-    assert kinds[4] == {"jwt"} and not kinds[5] and kinds[6] == {"key64"} and not kinds[7] and "keyhex" in kinds[8] and "pem" in kinds[9]
-    assert not kinds[10] and not kinds[11] and not kinds[12]
+    assert not secrets.find_secrets(f"{bad}.e30.sig")
     assert secrets.scan_secrets(none).count() == 0
 
 
@@ -352,6 +461,11 @@ def test_quality(spark, none):
     held = [i for i in range(300) if zlib.crc32(str(i).encode()) % 4 == 2]
     assert np.mean([got[i]["predicted"] == int(i % 3 > 0) for i in held]) > 0.95
     assert all(0 <= r["score"] <= 1 for r in got.values()) and len(got) == 303
+    odd = df.union(df.limit(20)).withColumn("score", F.lit("x")).withColumn("text", F.when(F.col("doc_id") == 1, F.repeat("text", 300)).otherwise(F.col("text")))
+    twice = quality.score_quality(odd, model).groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct("score").alias("m"), F.max("n_passages").alias("p"))
+    assert twice.where("m <> 1").isEmpty() and twice.agg(F.sum("n")).first()[0] == 323 and twice.where("doc_id = 1").first()["p"] > 100
+    again = quality.fit_quality(df.union(df), lab, train_where=F.crc32(F.col("id").cast("string").cast("binary")) % 4 != 2)
+    assert all(np.array_equal(again.p[k], model.p[k]) for k in model.p)
     empty = quality.fit_quality(none, lab)
     assert quality.score_quality(df, empty).select("score").distinct().count() == 1
 
@@ -432,6 +546,25 @@ def test_neighbours(spark):
     assert ann.search(df.drop("id").limit(0), F.col("id") % 20 == 0).count() == 0
 
 
+def test_neighbours_of_the_table(spark):
+    """Recall on the driver's vectors, which hardly cluster."""
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = df.orderBy("vec_id").toArrow()
+    ids, x = rows["vec_id"].to_numpy(), np.array(rows["embedding"].to_pylist(), np.float64)
+    got = ann.search(df, F.col("id") % 20 == 0, block=512).toPandas()
+    hits = []
+    for q, mine in got.groupby("query_id"):
+        s = x @ x[ids == q][0]
+        s[ids == q] = -np.inf
+        hits.append(len(set(ids[np.lexsort((ids, -s))[:20]]) & set(mine["vec_id"])) / 20)
+    assert len(hits) == (ids % 20 == 0).sum() and np.mean(hits) >= 0.95
+
+
+def test_lists_are_packed_into_blocks():
+    first, cut = ann.packed(np.array([5, 30, 4, 0, 3, 9]), np.array([0, 2, 1, 3, 4, 5]), 10)
+    assert first.tolist() == [0, 1, 0, 4, 4, 5] and cut.tolist() == [1, 3, 1, 1, 1, 1]
+
+
 def test_lm(docs, none, rows):
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
     got = lm.score_texts(docs, held).collect()
