@@ -54,14 +54,56 @@ SPECS = dict(
         _spec("gpt2", R50K, 50257, {END: 50256}, "r50k_base"),
     )
 )
-# fixed values: models by encoding, and prefixes in the order they are tried
+# fixed values: models and their encodings, and prefixes in the order they are tried
 MODELS = {
-    "o200k_base": "o1 o3 o4-mini gpt-5 gpt-4.1 gpt-4o gpt-4o-mini gpt-4.1-mini gpt-4.1-nano",
-    "o200k_harmony": "gpt-oss-120b",
-    "cl100k_base": "gpt-4 gpt-3.5-turbo gpt-3.5 gpt-35-turbo davinci-002 babbage-002 text-embedding-ada-002 text-embedding-3-small text-embedding-3-large",
-    "p50k_base": "text-davinci-003 text-davinci-002 code-davinci-002 code-davinci-001 code-cushman-002 code-cushman-001 davinci-codex cushman-codex",
-    "p50k_edit": "text-davinci-edit-001 code-davinci-edit-001",
-    "r50k_base": "text-davinci-001 text-curie-001 text-babbage-001 text-ada-001 davinci curie babbage ada text-similarity-davinci-001 text-similarity-curie-001 text-similarity-babbage-001 text-similarity-ada-001 text-search-davinci-doc-001 text-search-curie-doc-001 text-search-babbage-doc-001 text-search-ada-doc-001 code-search-babbage-code-001 code-search-ada-code-001 gpt-2",
+    "o1": "o200k_base",
+    "o3": "o200k_base",
+    "o4-mini": "o200k_base",
+    "gpt-5": "o200k_base",
+    "gpt-4.1": "o200k_base",
+    "gpt-4o": "o200k_base",
+    "gpt-4o-mini": "o200k_base",
+    "gpt-4.1-mini": "o200k_base",
+    "gpt-4.1-nano": "o200k_base",
+    "gpt-oss-120b": "o200k_harmony",
+    "gpt-4": "cl100k_base",
+    "gpt-3.5-turbo": "cl100k_base",
+    "gpt-3.5": "cl100k_base",
+    "gpt-35-turbo": "cl100k_base",
+    "davinci-002": "cl100k_base",
+    "babbage-002": "cl100k_base",
+    "text-embedding-ada-002": "cl100k_base",
+    "text-embedding-3-small": "cl100k_base",
+    "text-embedding-3-large": "cl100k_base",
+    "text-davinci-003": "p50k_base",
+    "text-davinci-002": "p50k_base",
+    "code-davinci-002": "p50k_base",
+    "code-davinci-001": "p50k_base",
+    "code-cushman-002": "p50k_base",
+    "code-cushman-001": "p50k_base",
+    "davinci-codex": "p50k_base",
+    "cushman-codex": "p50k_base",
+    "text-davinci-edit-001": "p50k_edit",
+    "code-davinci-edit-001": "p50k_edit",
+    "text-davinci-001": "r50k_base",
+    "text-curie-001": "r50k_base",
+    "text-babbage-001": "r50k_base",
+    "text-ada-001": "r50k_base",
+    "davinci": "r50k_base",
+    "curie": "r50k_base",
+    "babbage": "r50k_base",
+    "ada": "r50k_base",
+    "text-similarity-davinci-001": "r50k_base",
+    "text-similarity-curie-001": "r50k_base",
+    "text-similarity-babbage-001": "r50k_base",
+    "text-similarity-ada-001": "r50k_base",
+    "text-search-davinci-doc-001": "r50k_base",
+    "text-search-curie-doc-001": "r50k_base",
+    "text-search-babbage-doc-001": "r50k_base",
+    "text-search-ada-doc-001": "r50k_base",
+    "code-search-babbage-code-001": "r50k_base",
+    "code-search-ada-code-001": "r50k_base",
+    "gpt-2": "r50k_base",
     "gpt2": "gpt2",
 }
 PREFIXES = (
@@ -70,7 +112,6 @@ PREFIXES = (
     ("gpt-35-turbo-", "cl100k_base"), ("ft:gpt-4o", "o200k_base"), ("ft:gpt-4", "cl100k_base"), ("ft:gpt-3.5-turbo", "cl100k_base"), ("ft:davinci-002", "cl100k_base"),
     ("ft:babbage-002", "cl100k_base"),
 )
-BY_MODEL = {m: e for e, names in MODELS.items() for m in names.split()}
 
 
 def spec_of(name: str) -> Spec:
@@ -84,12 +125,12 @@ def list_encoding_names() -> list[str]:
 
 
 def list_models() -> list[str]:
-    return sorted(BY_MODEL)
+    return sorted(MODELS)
 
 
 def model_to_encoding(model: str) -> str:
     """The encoding of a model: by its name, else by the first prefix that fits."""
-    got = BY_MODEL.get(model) or next((e for p, e in PREFIXES if model.startswith(p)), None)
+    got = MODELS.get(model) or next((e for p, e in PREFIXES if model.startswith(p)), None)
     if got is None:
         raise KeyError(f"no encoding is known for model {model!r}; name one with get_encoding()")
     return got
@@ -97,12 +138,14 @@ def model_to_encoding(model: str) -> str:
 
 def model_encoding_column(model: Column) -> Column:
     """model_to_encoding() of a column; null where nothing fits."""
-    exact = F.lit(None).cast("string")
-    for e, names in MODELS.items():
-        exact = F.when(model.isin(*names.split()), e).otherwise(exact)
+    exact = F.element_at(F.create_map(*(F.lit(x) for pair in MODELS.items() for x in pair)), model)
     return F.coalesce(exact, *(F.when(model.startswith(p), e) for p, e in PREFIXES))
 
 
 def encodings_table(spark: SparkSession) -> DataFrame:
     rows = [(s.name, s.n_vocab, s.specials[END], s.ranks, len(s.specials)) for s in SPECS.values()]
     return spark.createDataFrame(rows, "name string, n_vocab int, eot_token int, rank_file string, n_specials int")
+
+
+def models_table(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(MODELS.items()), "model string, encoding string")
