@@ -1,4 +1,4 @@
-"""Learning a vocabulary: pieces and pairs are counted in Spark, merges chosen in a loop."""
+"""Learning a vocabulary: pieces and pairs are counted in Spark, merges chosen in a loop over arrays."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ import heapq
 from collections import defaultdict
 from collections.abc import Iterable
 
+import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 from ..encoding import Encoding
 from ..functions import text as T
 from ..registry import O200K
+from ..sources.tables import drop_stored, stored
 
 DEFAULT_PATTERN = O200K
 #: distinct pieces that the driver's loop takes; beyond it train_distributed() is used
@@ -48,66 +51,131 @@ def merged(ids: Column, left: int, right: int, new: int) -> Column:
     return F.aggregate(ids, F.array().cast("array<int>"), step)
 
 
+class Links:
+    """Distinct words as one linked list of ids, with each word's weight at all its places, and where each pair stands.
+
+    Places of a pair are looked up by lists that only grow; places that no longer hold the pair are passed over."""
+
+    def __init__(self, data: np.ndarray, sizes: np.ndarray, n: np.ndarray):
+        self.ids = data.astype(np.int32)
+        k = len(self.ids)
+        self.weight = np.repeat(n.astype(np.int64), sizes)
+        self.after, self.before = np.arange(1, k + 1, dtype=np.int64), np.arange(-1, k - 1, dtype=np.int64)
+        ends = np.cumsum(sizes)
+        self.after[ends[sizes > 0] - 1] = -1
+        self.before[(ends - sizes)[sizes > 0]] = -1
+        self.total: dict[int, int] = {}
+        self.where: dict[int, list[np.ndarray]] = {}
+        self.heap: list[tuple[int, int]] = []
+        self._count(np.flatnonzero(self.after >= 0), 1)
+
+    def _count(self, at: np.ndarray, sign: int) -> None:
+        """Adds or takes off the pairs that begin at these places."""
+        if not len(at):
+            return
+        pair = (self.ids[at].astype(np.int64) << 32) | self.ids[self.after[at]]
+        order = np.argsort(pair, kind="stable")
+        pair, at = pair[order], at[order]
+        first = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
+        sums = np.add.reduceat(self.weight[at], first)
+        for p, n, places in zip(pair[first].tolist(), sums.tolist(), np.split(at, first[1:]), strict=True):
+            now = self.total[p] = self.total.get(p, 0) + sign * n
+            if sign > 0:
+                self.where.setdefault(p, []).append(places)
+            if now > 0:
+                heapq.heappush(self.heap, (-now, p))
+
+    def best(self) -> tuple[int, int] | None:
+        """(count, pair) of the most frequent pair, ties to the smaller one."""
+        while self.heap:
+            n, p = self.heap[0]
+            if self.total.get(p, 0) == -n:
+                return -n, p
+            heapq.heappop(self.heap)
+        return None
+
+    def merge(self, pair: int, new: int) -> None:
+        left, right = pair >> 32, pair & 0xFFFFFFFF
+        at = np.unique(np.concatenate(self.where.pop(pair)))
+        at = at[(self.ids[at] == left) & (self.after[at] >= 0)]
+        at = at[self.ids[self.after[at]] == right]
+        if left == right and len(at):  # of pairs that overlap in a row, every second one
+            chained = np.zeros(len(at), bool)
+            chained[1:] = self.after[at[:-1]] == at[1:]
+            k = np.arange(len(at))
+            start = np.maximum.accumulate(np.where(chained, 0, k))
+            at = at[(k - start) % 2 == 0]
+        gone = self.after[at]
+        prior = self.before[at]
+        touched = np.unique(np.concatenate((prior[prior >= 0], at, gone)))
+        self._count(touched[self.after[touched] >= 0], -1)
+        behind = self.after[gone]
+        self.ids[at], self.ids[gone] = new, -1
+        self.after[at] = behind
+        self.before[behind[behind >= 0]] = at[behind >= 0]
+        self.after[gone] = -1
+        prior = self.before[at]
+        touched = np.unique(np.concatenate((prior[prior >= 0], at)))
+        self._count(touched[self.after[touched] >= 0], 1)
+        self.total.pop(pair, None)
+
+
+def merges_of(links: Links, vocab_size: int, min_frequency: int) -> list[tuple[int, int, int]]:
+    out: list[tuple[int, int, int]] = []
+    while len(out) < vocab_size - 256 and (got := links.best()) is not None and got[0] >= min_frequency:
+        out.append((got[1] >> 32, got[1] & 0xFFFFFFFF, 256 + len(out)))
+        links.merge(got[1], out[-1][2])
+    return out
+
+
 def train_from_counts(counts: Iterable[tuple[bytes, int]], vocab_size: int, min_frequency: int = 2) -> list[tuple[int, int, int]]:
     """Merges (left, right, new) from piece counts: the most frequent pair first, ties to the smaller left, then right id."""
     _check(vocab_size, min_frequency)
-    words = [[list(p), n] for p, n in counts if len(p) > 1 and n > 0]
-    total: dict[tuple[int, int], int] = defaultdict(int)
-    where: dict[tuple[int, int], set[int]] = defaultdict(set)
-    for w, (ids, n) in enumerate(words):
-        for pair in zip(ids, ids[1:], strict=False):
-            total[pair] += n
-            where[pair].add(w)
-    heap = [(-n, p) for p, n in total.items()]
-    heapq.heapify(heap)
-    out: list[tuple[int, int, int]] = []
-    while heap and len(out) < vocab_size - 256:
-        n, pair = heapq.heappop(heap)
-        if total.get(pair, 0) != -n:
-            continue
-        if -n < min_frequency:
+    words = [(p, n) for p, n in counts if len(p) > 1 and n > 0]
+    data = np.frombuffer(b"".join(p for p, _ in words), np.uint8)
+    return merges_of(Links(data, np.array([len(p) for p, _ in words], np.int64), np.array([n for _, n in words], np.int64)), vocab_size, min_frequency)
+
+
+def _settled(pairs: list, most: int) -> list[tuple[int, int]]:
+    """Of (l, r, n) by count, those that would be merged next, one after the other, whatever the merges before them change: they share no id
+    with these, and no pair that does is as frequent."""
+    out: list[tuple[int, int]] = []
+    held: set[int] = set()
+    for i, (left, right, n) in enumerate(pairs[:most]):
+        near = next((x[2] for x in pairs if (x[0] in held or x[1] in held) and (x[0], x[1]) not in out), pairs[-1][2] if len(pairs) > most else 0)
+        if i and (left in held or right in held or n <= near):
             break
-        new = 256 + len(out)
-        out.append((*pair, new))
-        touched: set[tuple[int, int]] = set()
-        for w in where.pop(pair, ()):
-            ids, k = words[w]
-            for p in zip(ids, ids[1:], strict=False):
-                total[p] -= k
-                touched.add(p)
-            i, fresh = 0, []
-            while i < len(ids):
-                if i + 1 < len(ids) and ids[i] == pair[0] and ids[i + 1] == pair[1]:
-                    fresh.append(new)
-                    i += 2
-                else:
-                    fresh.append(ids[i])
-                    i += 1
-            words[w][0] = fresh
-            for p in zip(fresh, fresh[1:], strict=False):
-                total[p] += k
-                where[p].add(w)
-                touched.add(p)
-        total.pop(pair, None)
-        for p in touched:
-            if p != pair and total.get(p, 0) > 0:
-                heapq.heappush(heap, (-total[p], p))
+        out.append((left, right))
+        held |= {left, right}
     return out
 
 
-def train_distributed(counts: DataFrame, vocab_size: int, min_frequency: int = 2, checkpoint_every: int = 16) -> list[tuple[int, int, int]]:
-    """The same merges with words and pairs left in Spark: two small jobs a merge, and a checkpoint now and then."""
+def train_distributed(counts: DataFrame, vocab_size: int, min_frequency: int = 2, store_every: int = 16, at_once: int = 64) -> list[tuple[int, int, int]]:
+    """The same merges with words and pairs left in Spark: one count of pairs for each group of merges that don't touch each other, and a
+    stored table now and then. The driver sees at_once + 1 pairs at a time."""
     _check(vocab_size, min_frequency)
     words = counts.select(as_ids(F.col("piece")).alias("ids"), "n")
     out: list[tuple[int, int, int]] = []
+    held: DataFrame | None = None
+    steps = 0
     while len(out) < vocab_size - 256:
-        best = pair_counts(words).orderBy(F.desc("n"), "l", "r").first()
-        if best is None or best["n"] < min_frequency:
+        top = [(r["l"], r["r"], r["n"]) for r in pair_counts(words).orderBy(F.desc("n"), "l", "r").limit(at_once + 1).collect()]
+        top_ok = [x for x in top if x[2] >= min_frequency]
+        if not top_ok:
             break
-        out.append((best["l"], best["r"], 256 + len(out)))
-        words = words.select(merged(F.col("ids"), *out[-1]).alias("ids"), "n").groupBy("ids").agg(F.sum("n").alias("n"))
-        if len(out) % checkpoint_every == 0:
-            words = words.checkpoint()
+        ids = F.col("ids")
+        for left, right in _settled(top, min(at_once, len(top_ok), vocab_size - 256 - len(out))):
+            out.append((left, right, 256 + len(out)))
+            ids = merged(ids, *out[-1])
+        words = words.select(ids.alias("ids"), "n").groupBy("ids").agg(F.sum("n").alias("n"))
+        steps += 1
+        if steps % store_every == 0:
+            fresh = stored(words, "words")
+            if held is not None:
+                drop_stored(held)
+            words = held = fresh
+    if held is not None:
+        drop_stored(held)
     return out
 
 
@@ -124,7 +192,10 @@ def train_ranks(df: DataFrame, text_col: str, *, vocab_size: int, pattern: str |
     try:
         if counts.count() <= MOST_PIECES:
             t = counts.where(F.octet_length("piece") > 1).toArrow()
-            merges = train_from_counts(zip((x.encode() for x in t["piece"].to_pylist()), t["n"].to_pylist(), strict=True), vocab_size, min_frequency)
+            piece = t["piece"].combine_chunks().cast(pa.large_binary())
+            offs = np.frombuffer(piece.buffers()[1], np.int64)[piece.offset : piece.offset + len(piece) + 1] if len(piece) else np.zeros(1, np.int64)
+            data = np.frombuffer(piece.buffers()[2], np.uint8)[offs[0] : offs[-1]] if len(piece) else np.zeros(0, np.uint8)
+            merges = merges_of(Links(data, np.diff(offs), t["n"].to_numpy()), vocab_size, min_frequency)
         else:
             merges = train_distributed(counts, vocab_size, min_frequency)
     finally:
