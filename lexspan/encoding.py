@@ -196,6 +196,16 @@ class Encoding:
     def is_file_within_token_limit_native(self, path: str | Path, token_limit: int) -> int | bool:
         return self._within(self.count_file_native(path), token_limit)
 
+    def encode_file_path(self, path: str | Path, **policy) -> list[int]:
+        """A whole file as text, split by the pattern."""
+        return self.encode(Path(path).read_bytes().decode("utf-8", "replace"), **policy)
+
+    def count_file_path(self, path: str | Path, **policy) -> int:
+        return len(self.encode_file_path(path, **policy))
+
+    def is_file_path_within_token_limit(self, path: str | Path, token_limit: int, **policy) -> int | bool:
+        return self.is_within_token_limit(Path(path).read_bytes().decode("utf-8", "replace"), token_limit, **policy)
+
     # count
     def count(self, text: str, **policy) -> int:
         return len(self.encode(text, **policy))

@@ -97,6 +97,18 @@ def encode_lists(pieces: pa.ListArray, m: Merger, special: pa.ListArray | None =
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.astype(np.int32)), mask=pa.array(mask) if mask is not None else None)
 
 
+_DECODERS: dict[str, Decoder] = {}
+
+
+def decoder(key: str, table: dict[int, bytes]) -> Decoder:
+    """One decoder a process for each vocabulary (by its key); few vocabularies are kept."""
+    if key not in _DECODERS:
+        if len(_DECODERS) >= 8:
+            _DECODERS.clear()
+        _DECODERS[key] = Decoder(table)
+    return _DECODERS[key]
+
+
 class Decoder:
     """ids to bytes, over whole lists."""
 

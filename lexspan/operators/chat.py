@@ -49,17 +49,18 @@ def segments(messages: Iterable[Mapping], config: Mapping[str, str | None], prim
         yield config["assistant_prefix"].replace("{role}", prime)
 
 
-def message_segments(role: Column, content: Column, config: Mapping[str, str | None]) -> Column:
-    """The segments of one message of a long table."""
-    r = F.when(F.coalesce(role, F.lit("")) == "", "user").otherwise(role)
+def message_segments(role: Column, content: Column, config: Mapping[str, str | None], name: Column | None = None) -> Column:
+    """The segments of one message of a long table. A name that isn't null takes the role's place."""
+    r = role if name is None else F.coalesce(name, role)
+    r = F.when(F.coalesce(r, F.lit("")) == "", "user").otherwise(r)
     c = F.coalesce(content, F.lit(""))
     return F.filter(F.array(F.replace(F.lit(config["message_prefix"]), F.lit("{role}"), r), c, F.lit(config["message_suffix"])), lambda x: x != "")
 
 
-def conversations(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", template=DEFAULT, prime: str | None = "assistant") -> DataFrame:
+def conversations(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", template=DEFAULT, prime: str | None = "assistant", name_col: str | None = None) -> DataFrame:
     """(conv, segments): each conversation's segments in the order of its turns. A conversation is one group: its turns meet in one row."""
     config = resolve_template(template)
-    one = df.select(conv_col, F.struct(F.col(turn_col), message_segments(F.col(role_col), F.col(text_col), config).alias("s")).alias("m"))
+    one = df.select(conv_col, F.struct(F.col(turn_col), message_segments(F.col(role_col), F.col(text_col), config, F.col(name_col) if name_col else None).alias("s")).alias("m"))
     tail = F.array(F.lit(config["assistant_prefix"].replace("{role}", prime))) if prime and config["assistant_prefix"] else F.array().cast("array<string>")
     return one.groupBy(conv_col).agg(F.concat(F.flatten(F.transform(F.array_sort(F.collect_list("m")), lambda x: x["s"])), tail).alias("segments"))
 

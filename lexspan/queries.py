@@ -16,7 +16,8 @@ from .functions import text as T
 from .operators import chat, layout, train
 from .operators.codec import Codec
 from .registry import CL100K, O200K, R50K, encodings_table, model_encoding_column
-from .sources.ranks import parse_blob, rank_file_path, ranks_table, scan_ranks, write_blob
+from .plans.sql import split_sql
+from .sources.ranks import file_digests, parse_blob, rank_file_path, ranks_table, scan_ranks, write_blob
 
 LETTERS = r"[A-Za-z]+|[^A-Za-z]"
 SEED = "the one that is an other and the for in inn ention eration here there on are was with ing nd Customer Supplier deposits requests furiously carefully " * 3
@@ -38,7 +39,7 @@ def joined(x: Column) -> Column:
 
 def tokens_by_lang(spark: SparkSession, d: str) -> DataFrame:
     c = Codec(spark, get_encoding("r50k_base"))
-    return read(spark, d, "documents").select("lang", c.count(F.col("text")).alias("n")).groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_tokens"))
+    return c.count_by(read(spark, d, "documents"), "text", ["lang"]).withColumnRenamed("n_rows", "n_docs")
 
 
 def small_codec(spark: SparkSession) -> Codec:
@@ -96,7 +97,7 @@ def decode_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 def decode_offsets(spark: SparkSession, d: str) -> DataFrame:
     c = small_codec(spark)
     x = c.decode_with_offsets(c.encode_ordinary(F.col("p_name")))
-    return read(spark, d, "part").select("p_partkey", x.alias("x")).select("p_partkey", "x.text", F.element_at("x.offsets", -1).cast("long").alias("last_offset"))
+    return read(spark, d, "part").select("p_partkey", x.alias("x")).select("p_partkey", "x.text", joined(F.col("x.offsets")).alias("offsets"))
 
 
 def encode_generator(spark: SparkSession, d: str) -> DataFrame:
@@ -251,7 +252,72 @@ def blob_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 def encode_stitched(spark: SparkSession, d: str) -> DataFrame:
     c = small_codec(spark)
     s = layout.encode_stitched(c, read(spark, d, "part").select("p_partkey", "p_name"), "p_name", 16, 8)
-    return s.select("p_partkey", c.decode(F.col("stitched")).alias("text"))
+    return s.select("p_partkey", joined(F.col("stitched")).alias("ids"))
+
+
+FILES = "/opt/tokenizers"
+
+
+def file_name() -> Column:
+    return F.element_at(F.split("path", "/"), -1).alias("name")
+
+
+def file_checksums(spark: SparkSession, d: str) -> DataFrame:
+    return file_digests(spark, f"{FILES}/*.tiktoken").select(file_name(), "sha256")
+
+
+def file_token_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Whole text files, split by the pattern; null beyond the limit."""
+    c = small_codec(spark)
+    return c.count_files(f"{FILES}/*.{{txt,md}}").join(c.count_files(f"{FILES}/*.{{txt,md}}", limit=3000).withColumnRenamed("n_tokens", "within"), "path").select(file_name(), F.col("n_tokens").cast("long").alias("n_tokens"), F.col("within").cast("long").alias("within"))
+
+
+def chat_encode(spark: SparkSession, d: str) -> DataFrame:
+    c = small_codec(spark)
+    return chat.conversations(read(spark, d, "conversations")).select("conv_id", F.md5(joined(c.encode_segments(F.col("segments"), allowed_special="all"))).alias("digest"))
+
+
+def chat_names(spark: SparkSession, d: str) -> DataFrame:
+    """A name takes the role's place; an empty one counts as a user's."""
+    df = read(spark, d, "conversations").withColumn("name", F.when(F.col("turn") % 3 == 1, "bob").when(F.col("turn") % 3 == 2, ""))
+    return chat.conversations(df, name_col="name", prime=None).select("conv_id", F.md5(chat.rendered(F.col("segments"))).alias("digest"))
+
+
+def encode_generator_specials(spark: SparkSession, d: str) -> DataFrame:
+    c = small_codec(spark)
+    t = read(spark, d, "nation").select("n_nationkey", F.concat("n_name", F.lit("<|end|><|end|>"), "n_name").alias("t"))
+    return c.encode_generator(t, "t", allowed_special="all").select("n_nationkey", F.col("pos").cast("long").alias("pos"), "piece", joined(F.col("ids")).alias("ids"))
+
+
+def single_token_bytes(spark: SparkSession, d: str) -> DataFrame:
+    c = small_codec(spark)
+    return c.single_token_bytes(spark.range(0, 420), "id").select("id", F.hex("token_bytes").alias("token"))
+
+
+def encode_ranges_flat(spark: SparkSession, d: str) -> DataFrame:
+    """The ids of two ranges in a row, and where each range's begin."""
+    c = small_codec(spark)
+    data = F.col("p_name").cast("binary")
+    n = F.octet_length(data)
+    r = F.array(F.struct(F.lit(0).alias("start"), F.least(n, F.lit(9)).alias("end")), F.struct(F.least(n, F.lit(5)).alias("start"), n.alias("end")))
+    return read(spark, d, "part").select("p_partkey", c.encode_ranges_flat(data, r).alias("e")).select("p_partkey", joined(F.col("e.ids")).alias("ids"), joined(F.col("e.token_offsets")).alias("token_offsets"))
+
+
+def valid_ranges(spark: SparkSession, d: str) -> DataFrame:
+    r = F.array(F.struct((F.col("p_size") - 5).alias("start"), F.col("p_size").alias("end")), F.struct(F.lit(2).alias("start"), F.lit(4).alias("end")))
+    return read(spark, d, "part").select("p_partkey", layout.valid_ranges(r, F.octet_length("p_name")).alias("ok"))
+
+
+def low_entropy(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "part").select("p_partkey", T.low_entropy(F.col("p_name").cast("binary"), least=8, kinds=11, share=0.12).alias("low"))
+
+
+def sql_functions(spark: SparkSession, d: str) -> DataFrame:
+    """The registered functions, over an SQL split."""
+    small_codec(spark).register("small_")
+    p = split_sql("p_name", LETTERS)
+    read(spark, d, "part").createOrReplaceTempView("lexspan_part")
+    return spark.sql(f"SELECT p_partkey, CAST(small_count_pieces({p}) AS BIGINT) AS n, CAST(small_decode_bytes(small_encode_pieces({p})) AS STRING) AS text FROM lexspan_part")
 
 
 QUERIES = (
@@ -259,6 +325,7 @@ QUERIES = (
     decode_generator, piece_frequency, pieces_letter_space, piece_ranges, byte_measures, class_boundaries, utf8_bytes, model_to_encoding, encodings, vocab_scan, token_byte_values, merge_pairs,
     train_pair_counts, train_merges, chat_render, chat_count, chunk_layout, filter_by_flags, chunk_owner, encode_stitched,
     encode_ranges, count_raw_bytes, decode_tokens_bytes, token_layout, train_chunk_counts, blob_roundtrip,
+    file_checksums, file_token_counts, chat_encode, chat_names, encode_generator_specials, single_token_bytes, encode_ranges_flat, valid_ranges, low_entropy, sql_functions,
 )
 
 
@@ -342,7 +409,14 @@ def oracle_sql() -> dict[str, str]:
     vocab = ", ".join(f"('{t.hex().upper()}', {r})" for t, r in small()._mergeable_ranks.items())
     words = "SELECT unnest(string_split(text, ' ')) AS word FROM documents"
     count = "SELECT k, sum(len(parts))::BIGINT AS n FROM pos JOIN done USING (piece) GROUP BY k"
-    segs = "(SELECT conv_id, turn * 3 + 1 AS o, '[[role:' || CASE WHEN coalesce(role, '') = '' THEN 'user' ELSE role END || ']]' || chr(10) AS s FROM conversations UNION ALL SELECT conv_id, turn * 3 + 2, text FROM conversations WHERE coalesce(text, '') <> '' UNION ALL SELECT conv_id, turn * 3 + 3, chr(10) || '[[/message]]' || chr(10) FROM conversations UNION ALL SELECT DISTINCT conv_id, 1000000000, '[[role:assistant]]' || chr(10) FROM conversations)"
+    role_of = lambda name: "'[[role:' || CASE WHEN coalesce(" + name + ", '') = '' THEN 'user' ELSE " + name + " END || ']]' || chr(10)"
+    turns = lambda role: f"SELECT conv_id, turn * 3 + 1 AS o, {role_of(role)} AS s FROM conversations UNION ALL SELECT conv_id, turn * 3 + 2, text FROM conversations WHERE coalesce(text, '') <> '' UNION ALL SELECT conv_id, turn * 3 + 3, chr(10) || '[[/message]]' || chr(10) FROM conversations"
+    segs = f"({turns('role')} UNION ALL SELECT DISTINCT conv_id, 1000000000, '[[role:assistant]]' || chr(10) FROM conversations)"
+    named = turns("(CASE turn % 3 WHEN 1 THEN 'bob' WHEN 2 THEN '' ELSE role END)")
+    chunks = "(SELECT p_partkey, c, greatest(0, c * 16 - 8) AS s, p_name[greatest(0, c * 16 - 8) + 1:least(length(p_name), (c + 1) * 16 + 8)] AS t, (length(p_name) + 15) // 16 AS k FROM part, unnest(range(0, (length(p_name) + 15) // 16)) AS u(c))"
+    stitched = f"""SELECT p_partkey, coalesce(ids, '') AS ids FROM part LEFT JOIN (SELECT (k)[1] AS p_partkey, string_agg(rnk::VARCHAR, ' ' ORDER BY (k)[2], j) AS ids FROM
+(SELECT k, j, parts[j] AS tok, least(((k)[3] + strlen(array_to_string(parts[:j - 1], '')) // 2) // 16, (k)[4] - 1) AS own FROM pos JOIN done USING (piece), unnest(range(1, len(parts) + 1)) AS u(j)) JOIN vocab USING (tok) WHERE own = (k)[2] GROUP BY 1) USING (p_partkey)"""
+    texts = f"(SELECT parse_filename(filename) AS name, content FROM read_text(['{FILES}/*.txt', '{FILES}/*.md']))"
     range_sql = lambda col, text: "SELECT k AS p_partkey, ids AS " + col + " FROM (" + _ids_sql("part", "p_partkey", text, framed=False).replace("AS p_partkey", "AS k") + ")"
     ranks = rank_file_path("r50k_base")
     return {
@@ -367,7 +441,7 @@ def oracle_sql() -> dict[str, str]:
         "decode_roundtrip": "SELECT doc_id, md5(text) AS digest FROM documents",
         "decode_generator": "SELECT doc_id, md5(text) AS digest FROM documents",
         "encode_generator": _merge_sql("nation", "n_nationkey", "n_name") + "SELECT k AS n_nationkey, (i - 1)::BIGINT AS pos, piece, string_agg(rnk::VARCHAR, ' ' ORDER BY j) AS ids FROM (SELECT k, i, piece, j, parts[j] AS tok FROM pos JOIN done USING (piece), unnest(range(1, len(parts) + 1)) AS u(j)) JOIN vocab USING (tok) GROUP BY ALL",
-        "decode_offsets": _merge_sql("part", "p_partkey", "p_name") + "SELECT k AS p_partkey, p_name AS text, (length(p_name) - strlen(arg_max(parts[len(parts)], i)) // 2)::BIGINT AS last_offset FROM pos JOIN done USING (piece) JOIN part ON p_partkey = k GROUP BY k, p_name",
+        "decode_offsets": _merge_sql("part", "p_partkey", "p_name") + "SELECT k AS p_partkey, p_name AS text, string_agg(begins::VARCHAR, ' ' ORDER BY i, j) AS offsets FROM (SELECT k, i, j, coalesce(sum(strlen(parts[j]) // 2) OVER (PARTITION BY k ORDER BY i, j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begins FROM pos JOIN done USING (piece), unnest(range(1, len(parts) + 1)) AS u(j)) JOIN part ON p_partkey = k GROUP BY k, p_name",
         "pieces_r50k": _pieces_sql("r50k", r50k), "pieces_cl100k": _pieces_sql("cl100k", cl100k), "pieces_o200k": _pieces_sql("o200k", o200k),
         "piece_frequency": f"SELECT piece, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '{LETTERS}', 0, 's')) AS piece FROM documents) GROUP BY piece",
         "pieces_letter_space": "SELECT p_partkey, CASE WHEN regexp_full_match(p_name, '[A-Za-z ]*') THEN array_to_string(regexp_extract_all(p_name, ' ?[A-Za-z]+| +'), '|') END AS pieces FROM part",
@@ -383,6 +457,16 @@ def oracle_sql() -> dict[str, str]:
         "chunk_layout": "SELECT doc_id, c::BIGINT AS chunk, greatest(0, c * 512 - 32)::BIGINT AS start_byte, least(n, (c + 1) * 512 + 32)::BIGINT AS end_byte FROM (SELECT doc_id, strlen(text) AS n FROM documents), unnest(range(0, (n + 511) // 512)) AS u(c)",
         "filter_by_flags": "SELECT p_partkey, array_to_string([ascii(p_name[i]) FOR i IN range(1, length(p_name) + 1) IF ascii(p_name[i]) % 2 = 1], ' ') AS kept FROM part",
         "chunk_owner": "SELECT o_orderkey, least(o_orderkey // 512, 39)::BIGINT AS chunk FROM orders",
-        "encode_stitched": "SELECT p_partkey, p_name AS text FROM part",
+        "encode_stitched": _merge_sql(chunks, "[p_partkey, c, s, k]", "t", framed=False) + stitched,
+        "file_checksums": f"SELECT parse_filename(filename) AS name, sha256(content) AS sha256 FROM read_blob('{FILES}/*.tiktoken')",
+        "file_token_counts": _merge_sql(texts, "name", "content") + f"SELECT k AS name, n AS n_tokens, CASE WHEN n <= 3000 THEN n END AS within FROM ({count})",
+        "chat_encode": _merge_sql(segs, "(conv_id, o)", "s") + "SELECT (k)[1] AS conv_id, md5(string_agg(rnk::VARCHAR, ' ' ORDER BY (k)[2], i, j)) AS digest FROM (SELECT k, i, j, parts[j] AS tok FROM pos JOIN done USING (piece), unnest(range(1, len(parts) + 1)) AS u(j)) JOIN vocab USING (tok) GROUP BY 1",
+        "chat_names": f"SELECT conv_id, md5(string_agg(s, '' ORDER BY o)) AS digest FROM ({named}) GROUP BY conv_id",
+        "encode_generator_specials": f"SELECT n_nationkey, p::BIGINT AS pos, CASE WHEN p IN (1, 2) THEN '<|end|>' ELSE n_name END AS piece, CASE WHEN p IN (1, 2) THEN '400' ELSE ids END AS ids FROM ({_ids_sql('nation', 'n_nationkey', 'n_name')}) JOIN nation USING (n_nationkey), unnest(range(0, 4)) AS u(p)",
+        "single_token_bytes": f"SELECT id, coalesce(token, CASE WHEN id = 400 THEN '{b'<|end|>'.hex().upper()}' END) AS token FROM range(0, 420) AS r(id) LEFT JOIN (VALUES {vocab}) AS t(token, rank) ON rank = id",
+        "encode_ranges_flat": f"SELECT a.p_partkey, concat_ws(' ', nullif(head, ''), nullif(tail, '')) AS ids, '0 ' || (len(string_split(head, ' ')) || ' ' || (len(string_split(head, ' ')) + len(string_split(tail, ' ')))) AS token_offsets FROM ({range_sql('head', 'p_name[:9]')}) a JOIN ({range_sql('tail', 'p_name[6:]')}) b ON a.p_partkey = b.p_partkey",
+        "valid_ranges": "SELECT p_partkey, p_size >= 5 AND p_size <= strlen(p_name) AND strlen(p_name) >= 4 AS ok FROM part",
+        "low_entropy": "SELECT p_partkey, strlen(p_name) >= 8 AND len(list_distinct(string_split(p_name, ''))) <= 11 AND list_max([len(list_filter(string_split(p_name, ''), lambda y: y = x)) FOR x IN string_split(p_name, '')]) >= 0.12 * strlen(p_name) AS low FROM part",
+        "sql_functions": _merge_sql("part", "p_partkey", "p_name") + f"SELECT s.k AS p_partkey, coalesce(c.n, 0)::BIGINT AS n, p_name AS text FROM src s JOIN part ON p_partkey = s.k LEFT JOIN ({count}) c USING (k)",
         "train_pair_counts": f"WITH p AS (SELECT piece, count(*) AS n, lower(hex(encode(piece))) AS h FROM (SELECT unnest(regexp_extract_all(text, '{LETTERS}', 0, 's')) AS piece FROM documents) GROUP BY piece) SELECT ('0x' || h[2 * i - 1:2 * i])::BIGINT AS l, ('0x' || h[2 * i + 1:2 * i + 2])::BIGINT AS r, sum(n)::BIGINT AS n FROM p, unnest(range(1, strlen(piece))) AS u(i) GROUP BY 1, 2",
     }

@@ -57,7 +57,8 @@ def parse_ranks(payload: bytes, strict: bool = False) -> dict[bytes, int]:
     return out
 
 
-def parse_blob(payload: bytes) -> dict[bytes, int]:
+def parse_blob(payload: bytes, strict: bool = False) -> dict[bytes, int]:
+    """token -> rank of a binary blob; with strict, what follows the last rank is an error."""
     if len(payload) < HEADER.size:
         raise ValueError("the blob is shorter than its header")
     magic, version, flags, _, _, entries, ranks = HEADER.unpack_from(payload)
@@ -76,6 +77,8 @@ def parse_blob(payload: bytes) -> dict[bytes, int]:
             at += n
     if len(out) != entries:
         raise ValueError("the blob's number of entries is wrong")
+    if strict and at != len(payload):
+        raise ValueError("the blob goes on behind its last rank")
     return out
 
 
@@ -105,9 +108,9 @@ def scan_ranks(spark: SparkSession, path: str, strict: bool = False) -> DataFram
     return rows.select("token", "rank")
 
 
-def scan_blob(spark: SparkSession, path: str) -> DataFrame:
+def scan_blob(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
     content = spark.read.format("binaryFile").load(path).select("content").first()["content"]
-    return ranks_table(spark, parse_blob(bytes(content)))
+    return ranks_table(spark, parse_blob(bytes(content), strict))
 
 
 def ranks_table(spark: SparkSession, ranks: dict[bytes, int]) -> DataFrame:
@@ -115,5 +118,15 @@ def ranks_table(spark: SparkSession, ranks: dict[bytes, int]) -> DataFrame:
 
 
 def text_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, content): files as raw bytes."""
+    """(path, content): files as raw bytes. Spark's file source passes over empty files."""
     return spark.read.format("binaryFile").load(path).select("path", "content")
+
+
+def framed_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, text): files as texts, invalid UTF-8 replaced."""
+    return text_files(spark, path).select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
+
+
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """(path, sha256): checksums of files, as lowercase hexadecimal."""
+    return text_files(spark, path).select("path", F.sha2("content", 256).alias("sha256"))

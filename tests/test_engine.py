@@ -124,6 +124,124 @@ def test_rank_files(tmp_path, spark):
     assert enc.n_vocab == 3
 
 
+def test_files(spark, tmp_path):
+    enc = Q.small()
+    c = Codec(spark, enc)
+    texts = {"a.txt": "the one that is <other>\n", "b.txt": "", "c.txt": "inn" * 50}
+    for name, t in texts.items():
+        (tmp_path / name).write_text(t)
+    at = f"{tmp_path}/*.txt"
+    full = {k: t for k, t in texts.items() if t}  # the file source passes over empty files
+    name = lambda r: r["path"].rsplit("/", 1)[1]
+    assert {name(r): r["ids"] for r in c.encode_files(at).collect()} == {k: enc.encode(t) for k, t in full.items()}
+    assert {name(r): r["ids"] for r in c.encode_files(at, framed=False).collect()} == {k: enc.encode_raw_bytes(t.encode()) for k, t in full.items()}
+    n = {k: enc.count(t) for k, t in full.items()}
+    assert {name(r): r["n_tokens"] for r in c.count_files(at, limit=20).collect()} == {k: x if x <= 20 else None for k, x in n.items()}
+    assert {name(r): r["n_tokens"] for r in c.count_files(at, framed=False).collect()} == {k: enc.count_file_native(tmp_path / k) for k in full}
+    assert enc.encode_file_path(tmp_path / "a.txt") == enc.encode(texts["a.txt"]) and enc.count_file_path(tmp_path / "b.txt") == 0
+    assert enc.is_file_path_within_token_limit(tmp_path / "b.txt", 0) == 0 and enc.is_file_path_within_token_limit(tmp_path / "c.txt", 3) is False
+    assert {name(r): r["sha256"] for r in files.file_digests(spark, at).collect()} == {k: files.file_sha256(tmp_path / k) for k in full}
+    with pytest.raises(ValueError):
+        c.count_files(at, limit=-1)
+
+
+def test_refused_files(spark, tmp_path):
+    for i, bad in enumerate(("YQ== 0\nYQ== 1\n", "YQ== 0\nYg== 0\n", "YQ== x\n", "YQ==\n")):
+        (tmp_path / f"{i}").write_text(bad)
+        with pytest.raises(Exception):  # noqa: B017
+            files.scan_ranks(spark, str(tmp_path / f"{i}"), strict=True).collect()
+    blob = files.write_blob({b"a": 0, b"b": 2})
+    (tmp_path / "blob").write_bytes(blob + b"x")
+    assert files.parse_blob(blob + b"x") == files.parse_blob(blob, strict=True)
+    with pytest.raises(ValueError):
+        files.scan_blob(spark, str(tmp_path / "blob"), strict=True)
+    for cut in (3, 20, len(blob) - 1):
+        with pytest.raises(ValueError):
+            files.parse_blob(blob[:cut])
+
+
+def test_decoding_modes(spark):
+    enc = Q.small()
+    c = Codec(spark, enc)
+    data = [b" \xec\x8b\xa4\xed", b"\x80" * 4, "é漢".encode(), b""]
+    rows = spark.createDataFrame([(list(x),) for x in data] + [(None,)], "ids array<int>")
+    got = rows.select(c.decode(F.col("ids")).alias("r"), c.decode(F.col("ids"), "ignore").alias("i")).collect()
+    assert [(r["r"], r["i"]) for r in got] == [(x.decode("utf-8", "replace"), x.decode("utf-8", "ignore")) for x in data] + [(None, None)]
+    assert [enc.decode(list(x), "ignore") for x in data] == [r["i"] for r in got[:-1]]
+    with pytest.raises(Exception):  # noqa: B017
+        rows.limit(1).select(c.decode(F.col("ids"), "strict")).collect()
+    assert enc.decode_batch([[104, 105], []]) == ["hi", ""]
+    assert enc.encode_batch(["the", ""]) == [enc.encode("the"), []] and enc.count_batch(["the", ""]) == [enc.count("the"), 0]
+    assert enc.encode_gpu(["the"]) == [enc.encode("the")] and enc.count_gpu(["the"]) == [enc.count("the")]
+    ids = spark.createDataFrame([(104,), (400,), (9999,), (None,)], "i int")
+    assert [None if r["token_bytes"] is None else bytes(r["token_bytes"]) for r in c.single_token_bytes(ids, "i").collect()] == [b"h", b"<|end|>", None, None]
+    with pytest.raises(Exception, match="vocabulary"):
+        c.single_token_bytes(ids, "i", on_unknown="raise").collect()
+
+
+def test_chat_tables(spark):
+    enc = lexspan.Encoding("im", pat_str=Q.LETTERS, mergeable_ranks=Q.small()._mergeable_ranks, special_tokens={"<|im_start|>": 500, "<|im_end|>": 501, "<|end|>": 502})
+    c = Codec(spark, enc)
+    talks = [[("user", None, "the one"), ("assistant", "bob", "that is <|im_end|> it"), ("x", "", None)], [("", None, "hi")], [("user", None, "bad <|end|> here")]]
+    rows = [(i, t, *m) for i, talk in enumerate(talks) for t, m in enumerate(talk)]
+    df = spark.createDataFrame(rows, "conv_id int, turn int, role string, name string, text string")
+    seg = chat.conversations(df, template="im_tokens", name_col="name")
+    got = {r[0]: r[1] for r in seg.select("conv_id", c.encode_segments(F.col("segments"), template="im_tokens", on_disallowed="null")).collect()}
+    messages = [[{"role": r, "content": x} | ({} if n is None else {"name": n}) for r, n, x in talk] for talk in talks]
+    for i in (0, 1):
+        assert got[i] == enc.encode_chat(messages[i], template="im_tokens")
+    assert got[2] is None
+    with pytest.raises(ValueError):
+        enc.encode_chat(messages[2], template="im_tokens")
+    with pytest.raises(Exception, match="special token"):
+        seg.where("conv_id = 2").select(c.encode_segments(F.col("segments"), template="im_tokens")).collect()
+    n = seg.select(c.count_segments(F.col("segments"), template="im_tokens", allowed_special="all")).collect()
+    assert sorted(r[0] for r in n) == sorted(enc.count_chat(m, template="im_tokens", allowed_special="all") for m in messages)
+
+
+def test_generator_with_specials(spark):
+    enc = Q.small()
+    texts = ["a<|end|>the one<|end|>", "<|end|><|end|>", "", "the", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = Codec(spark, enc).encode_generator(df, "t", allowed_special="all").orderBy("i", "pos").collect()
+    for i, t in enumerate(texts):
+        assert [r["ids"] for r in got if r["i"] == i] == ([] if t is None else list(enc.encode_generator(t, allowed_special="all")))
+
+
+def test_distributed_training_stores_its_words(spark):
+    r = random.Random(9)
+    df = spark.createDataFrame([(" ".join("".join(r.choice("abcde") for _ in range(r.randrange(1, 9))) for _ in range(60)),) for _ in range(5)], "t string")
+    counts = train.piece_counts(df, "t", "[a-z]+")
+    one = train.train_from_counts([(x[0].encode(), x[1]) for x in counts.collect()], 276, 2)
+    assert one == train.train_distributed(counts, 276, 2, store_every=2) and len(one) == 20
+
+
+def test_windowed_tokens(spark):
+    from lexspan.streaming.tokens import windowed_tokens
+
+    df = spark.createDataFrame([("2024-01-01 00:01:00", "the one"), ("2024-01-01 00:04:59", ""), ("2024-01-01 00:05:00", "other")], "ts string, t string").withColumn("ts", F.to_timestamp("ts"))
+    got = windowed_tokens(df, Codec(spark, Q.small()), "t", "ts").orderBy("window").collect()
+    assert [(r["n_tokens"], r["n_rows"]) for r in got] == [(Q.small().count("the one"), 2), (Q.small().count("other"), 1)]
+
+
+def test_command_line(tmp_path, capsys, monkeypatch):
+    import io
+    import json
+
+    from lexspan.__main__ import main
+
+    rank = tmp_path / "r"
+    rank.write_text("".join(f"{base64.b64encode(t).decode()} {i}\n" for t, i in Q.small()._mergeable_ranks.items()))
+    said = lambda *a: (main([*a]), capsys.readouterr().out)[1].strip()
+    ids = json.loads(said("encode", "hello there", "-e", "r50k_base", "--rank-file", str(rank)))
+    assert said("decode", *map(str, ids), "-e", "r50k_base", "--rank-file", str(rank)) == "hello there"
+    assert int(said("count", "hello there", "-e", "r50k_base", "--rank-file", str(rank))) == len(ids)
+    monkeypatch.setattr("sys.stdin", io.StringIO("hello there"))
+    assert json.loads(said("count", "-", "--json", "-e", "r50k_base", "--rank-file", str(rank))) == {"count": len(ids)}
+    assert said("version") and "gpt-4o" in said("list-models").split() and "r50k_base" in said("list-encodings").split()
+    assert json.loads(said("info"))["pyspark"]
+
+
 def test_training(spark):
     pat, ranks = lexspan.train_mergeable_ranks_from_iterator(["abababab"], vocab_size=257, pattern="[a-z]+", min_frequency=1)
     assert ranks[b"ab"] == 256
