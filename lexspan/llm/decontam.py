@@ -28,7 +28,7 @@ from ._common import drop_stored, lower_ascii, stored
 # fixed values: what separates words, and words before lower-casing
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-RAREST = 3
+RAREST = 2  # places of a window whose terms are indexed; a third one is mostly a frequent term with long lists
 BROADCAST_BYTES = 64 << 20
 
 
