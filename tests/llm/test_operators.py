@@ -408,7 +408,7 @@ def test_planted_secrets(spark):
             piece, name = {
                 0: (bare, "key64"), 1: (wrap(bare), "key64"), 2: (wrap(bare, 40, "\r\n  "), "key64"), 3: (key.hex(), "keyhex"), 4: (b64(bare.encode()), "key64"), 5: (wrap(b64(b64(bare.encode()).encode()), 76), "key64"),
                 6: (f"-----BEGIN RSA PRIVATE KEY-----\n{wrap(bare)}\n-----END RSA PRIVATE KEY-----", "pem"), 7: (f"-----BEGIN PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: DES-EDE3-CBC,{'A1' * 8}\n\n{wrap(b64(bytes(range(200, 248))))}\n-----END PRIVATE KEY-----", "pem"),
-                8: (f"{head}.e30.sig", "jwt"), 9: (bare[:-6] + "AAAA", None), 10: (b64(b"no key at all, a text that is long enough to look at"), None), 11: (key.hex().upper()[:-2] + "G", None),
+                8: (f"{head}.e30.sig", "jwt"), 9: (bare[: len(bare) // 8 * 4], None), 10: (b64(b"no key at all, a text that is long enough to look at"), None), 11: (key.hex().upper()[:-2] + "G", None),
             }[kind]
             at = len(text)
             text += piece + R.choice([" ; ", "\n\nnext words here ", ", and\n"])
