@@ -16,7 +16,7 @@ from .functions import text as T
 from .operators import chat, layout, train
 from .operators.codec import Codec
 from .registry import CL100K, O200K, R50K, encodings_table, model_encoding_column
-from .plans.sql import split_sql
+from .plans.sql import register_generators, split_sql
 from .sources.ranks import file_digests, parse_blob, rank_file_path, ranks_table, scan_ranks, write_blob
 
 LETTERS = r"[A-Za-z]+|[^A-Za-z]"
@@ -312,6 +312,13 @@ def low_entropy(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "part").select("p_partkey", T.low_entropy(F.col("p_name").cast("binary"), least=8, kinds=11, share=0.12).alias("low"))
 
 
+def sql_generators(spark: SparkSession, d: str) -> DataFrame:
+    """The table functions: each piece with its ids, and the text that these give."""
+    register_generators(spark, small(), "small_")
+    read(spark, d, "nation").createOrReplaceTempView("lexspan_nation")
+    return spark.sql("SELECT n_nationkey, CAST(g.pos AS BIGINT) AS pos, g.piece, array_join(transform(g.ids, i -> CAST(i AS STRING)), ' ') AS ids, (SELECT array_join(array_agg(part), '') FROM small_decode_generator(array(97, 98))) AS ab FROM lexspan_nation, LATERAL small_encode_generator(n_name) g")
+
+
 def sql_functions(spark: SparkSession, d: str) -> DataFrame:
     """The registered functions, over an SQL split."""
     small_codec(spark).register("small_")
@@ -325,7 +332,7 @@ QUERIES = (
     decode_generator, piece_frequency, pieces_letter_space, piece_ranges, byte_measures, class_boundaries, utf8_bytes, model_to_encoding, encodings, vocab_scan, token_byte_values, merge_pairs,
     train_pair_counts, train_merges, chat_render, chat_count, chunk_layout, filter_by_flags, chunk_owner, encode_stitched,
     encode_ranges, count_raw_bytes, decode_tokens_bytes, token_layout, train_chunk_counts, blob_roundtrip,
-    file_checksums, file_token_counts, chat_encode, chat_names, encode_generator_specials, single_token_bytes, encode_ranges_flat, valid_ranges, low_entropy, sql_functions,
+    file_checksums, file_token_counts, chat_encode, chat_names, encode_generator_specials, single_token_bytes, encode_ranges_flat, valid_ranges, low_entropy, sql_functions, sql_generators,
 )
 
 
@@ -441,6 +448,7 @@ def oracle_sql() -> dict[str, str]:
         "decode_roundtrip": "SELECT doc_id, md5(text) AS digest FROM documents",
         "decode_generator": "SELECT doc_id, md5(text) AS digest FROM documents",
         "encode_generator": _merge_sql("nation", "n_nationkey", "n_name") + "SELECT k AS n_nationkey, (i - 1)::BIGINT AS pos, piece, string_agg(rnk::VARCHAR, ' ' ORDER BY j) AS ids FROM (SELECT k, i, piece, j, parts[j] AS tok FROM pos JOIN done USING (piece), unnest(range(1, len(parts) + 1)) AS u(j)) JOIN vocab USING (tok) GROUP BY ALL",
+        "sql_generators": _merge_sql("nation", "n_nationkey", "n_name") + "SELECT k AS n_nationkey, (i - 1)::BIGINT AS pos, piece, 'ab' AS ab, string_agg(rnk::VARCHAR, ' ' ORDER BY j) AS ids FROM (SELECT k, i, piece, j, parts[j] AS tok FROM pos JOIN done USING (piece), unnest(range(1, len(parts) + 1)) AS u(j)) JOIN vocab USING (tok) GROUP BY ALL",
         "decode_offsets": _merge_sql("part", "p_partkey", "p_name") + "SELECT k AS p_partkey, p_name AS text, string_agg(begins::VARCHAR, ' ' ORDER BY i, j) AS offsets FROM (SELECT k, i, j, coalesce(sum(strlen(parts[j]) // 2) OVER (PARTITION BY k ORDER BY i, j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begins FROM pos JOIN done USING (piece), unnest(range(1, len(parts) + 1)) AS u(j)) JOIN part ON p_partkey = k GROUP BY k, p_name",
         "pieces_r50k": _pieces_sql("r50k", r50k), "pieces_cl100k": _pieces_sql("cl100k", cl100k), "pieces_o200k": _pieces_sql("o200k", o200k),
         "piece_frequency": f"SELECT piece, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '{LETTERS}', 0, 's')) AS piece FROM documents) GROUP BY piece",
