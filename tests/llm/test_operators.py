@@ -275,7 +275,7 @@ def test_proximity(spark, most):
     count = Counter(w for t in texts for w in (t or "").split())
     term = ["alpha", "beta", "gamma"]
     anchor = min(range(3), key=lambda i: (count[term[i]], i))
-    for slack in (None, 0, 2, 3):
+    for slack in (None, 0, 2, 3) if most else (2,):
         got = {r["doc_id"]: r for r in decontam.contamination(df, item, slack=slack, broadcast_windows=most).collect()}
         for i, t in enumerate(texts):
             w, hit, s = (t or "").split(), set(), slack or 0
