@@ -2,6 +2,7 @@ import base64
 import random
 
 import duckdb
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -216,6 +217,29 @@ def test_distributed_training_stores_its_words(spark):
     assert one == train.train_distributed(counts, 276, 2, store_every=2) and len(one) == 20
 
 
+def test_distributed_training_takes_few_passes(spark, monkeypatch):
+    """Merges are guessed from part of the words and set right by exact counts; guesses in another order cost no pass."""
+    r = random.Random(4)
+    df = spark.createDataFrame([(" ".join("".join(r.choice("abcdefg") for _ in range(r.randrange(1, 9))) for _ in range(60)),) for _ in range(6)], "t string")
+    counts = train.piece_counts(df, "t", "[a-z]+")
+    one = train.train_from_counts([(x[0].encode(), x[1]) for x in counts.collect()], 316, 2)
+    passes, real = [], train.changes_of
+    monkeypatch.setattr(train, "changes_of", lambda *a: (passes.append(1), real(*a))[1])
+    assert one == train.train_distributed(counts, 316, 2) and len(one) == 60 and len(passes) <= 2
+    monkeypatch.setattr(train, "CORE", 40)
+    assert one == train.train_distributed(counts, 316, 2, store_every=16) and len(passes) <= 40
+
+
+def test_merges_change_places():
+    data, n = np.frombuffer(b"cdabcdabxabcdd", np.uint8), np.array([5, 3])
+    right = lambda merges: [dict(zip(*(x[s == i].tolist() for x in (p, k)), strict=True)) for s, p, k in [train._summed(train.Changes(data, np.array([8, 6]), n, merges).seen)] for i in range(1, len(merges) + 1)]
+    guess = [(97, 98, 256), (120, 256, 257), (99, 100, 258), (258, 256, 259)]
+    p = train.Pass(guess[:], right(guess))
+    assert p.forward((99, 100), 0) and p.merges == [(99, 100, 256), (97, 98, 257), (120, 257, 258), (256, 257, 259)]
+    assert p.changes == right(p.merges)
+    assert not p.forward((256, 257), 1) and not p.forward((1, 2), 1)
+
+
 def test_windowed_tokens(spark):
     from lexspan.streaming.tokens import windowed_tokens
 
