@@ -132,24 +132,33 @@ def heavy_keys(rows: DataFrame, on: list[str], n: int) -> DataFrame:
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, root): the smallest id reachable over edges (a, b). Union-find in rounds: each root hooks on to the smallest neighbouring
-    root, then paths are halved, until no root has a smaller neighbour. Rows that meet at a hub are spread."""
+    root, then paths are halved, until no root has a smaller neighbour. Rows that meet at a hub are spread. Nodes without an edge take no
+    part in the rounds."""
     both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
     n = both.count()
     hubs = stored(heavy_keys(both, ["b"], n), "hubs")
-    least = both.groupBy("a").agg(F.min("b").alias("m"))
-    now = stored(nodes.join(least, nodes.id == least.a, "left").select("id", F.least("id", F.coalesce("m", "id")).alias("root")), "roots")
+    now = stored(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("root")), "roots")
     while True:
         over = spread_join(both, now.select(F.col("id").alias("b"), F.col("root").alias("rb")), ["b"], hubs, "a").groupBy("a").agg(F.min("rb").alias("rb"))
         hook = stored(now.join(over, now.id == over.a, "left").select("id", "root", F.least("root", F.coalesce("rb", "root")).alias("to")), "hooks")
         if hook.where("to < root").isEmpty():
-            drop_stored(both, hubs, hook)
-            return now
+            out = stored(nodes.join(now, "id", "left").select("id", F.coalesce("root", "id").alias("root")), "roots")
+            drop_stored(both, hubs, hook, now)
+            return out
         parent = hook.groupBy("root").agg(F.min("to").alias("up")).where("up < root").select(F.col("root").alias("to"), "up")
         up = spread_join(hook, parent, ["to"], heavy_keys(hook, ["to"], n), "id", "left")
         old, now = now, stored(up.select("id", F.least("to", F.coalesce("up", "to")).alias("root")), "roots")
         drop_stored(old, hook)
 
 
+def fewer_edges(rows: DataFrame) -> DataFrame:
+    """Edges (a, b) that reach the same as those between each id and its centres (id, o), about one an id where ids share centres: each id goes
+    to its smallest centre, and that one to the others. Ids have at most twice as many centres as there are bands."""
+    own = rows.groupBy("id").agg(F.array_sort(F.collect_set("o")).alias("c")).withColumn("first", F.element_at("c", 1))
+    ends = F.explode(F.concat(F.array("id"), F.slice("c", F.lit(2), F.size("c")))).alias("x")
+    return own.select("first", ends).where("first <> x").select(F.least("first", "x").alias("a"), F.greatest("first", "x").alias("b")).distinct()
+
+
 def unlike_cells(rows: DataFrame, heavy: DataFrame) -> DataFrame:
     """The rows of those buckets that hold more than one component."""
     rows = rows.select(*(c for c in rows.columns if c not in ("r0", "r1")))
@@ -232,24 +241,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = stored(sets_of(docs, id_col, text_col, busy.select("id").distinct(), k), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        """The links among pairs. A hub's set goes to several tasks, not beside each of its rows in one."""
-        pairs = stored(pairs.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b").distinct(), "pairs")
+        """The links among pairs of a document (doc) and a centre, as few edges. A hub's set goes to several tasks, not beside each of its rows in one."""
+        pairs = stored(pairs.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").groupBy("a", "b").agg(F.min("doc").alias("doc")), "pairs")
         size = pairs.count()
         one = spread_join(pairs, sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), ["a"], heavy_keys(pairs, ["a"], size), "b")
         one = spread_join(one, sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), ["b"], heavy_keys(pairs, ["b"], size), "a")
         common = F.size(F.array_intersect("sa", "sb"))
-        out = stored(one.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b"), "links")
+        out = stored(one.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select(F.col("doc").alias("id"), F.when(F.col("doc") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("o")), "confirmed")
         drop_stored(pairs)
-        return out
+        few = stored(fewer_edges(out), "links")
+        drop_stored(out)
+        return few
 
     stars = busy.select("id", "n", F.col("lo").alias("o")).union(busy.select("id", "n", F.col("hi").alias("o"))).where("id <> o.id")
-    links = confirmed(stars.select(F.least("id", "o.id").alias("a"), F.greatest("id", "o.id").alias("b"), F.col("n").alias("na"), F.col("o.n").alias("nb")))
+    links = confirmed(stars.select(F.least("id", "o.id").alias("a"), F.greatest("id", "o.id").alias("b"), F.col("n").alias("na"), F.col("o.n").alias("nb"), F.col("id").alias("doc")))
     held = node.select("id").distinct()
     roots = components(held, links)
     apart = stored(unlike_cells(busy.select("id", "n", "band", "cell").join(roots, "id"), heavy), "apart")
     own = apart.groupBy("id").agg(F.min("root").alias("root")).join(node.select("id", "n", "bands"), "id")
     low = apart.groupBy("band", "cell").agg(F.min("id").alias("low"))
-    family = components(own, spread_join(apart, low, ["band", "cell"], heavy, "id").where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")))
+    family = components(own.select("id"), fewer_edges(spread_join(apart, low, ["band", "cell"], heavy, "id").where("id <> low").select("id", F.col("low").alias("o"))))
     more = stored(compare_families(own.join(family.withColumnRenamed("root", "family"), "id").join(sets, "id"), percent), "links")
     drop_stored(sets, apart, busy, family, shared_cells)
     if not more.isEmpty():

@@ -91,6 +91,21 @@ def test_near_duplicates(docs, none, rows, k, percent):
     assert neardup.near_duplicates(none).count() == 0
 
 
+def test_edges_of_a_group_stay_few(spark):
+    """Ids that share centres have about one edge each, and reach the same."""
+    rows = [(100 + i, R.randrange(100, 105) if i < 200 else 300 + i // 10) for i in range(240) for _ in range(8)]
+    rows = [(i, o) for i, o in {*rows} if i != o]
+    group = lambda edges: {r["id"]: r["root"] for r in neardup.components(spark.range(1000), edges).collect()}
+    df = spark.createDataFrame(rows, "id long, o long")
+    few = neardup.fewer_edges(df)
+    root = list(range(1000))
+    for i, o in rows:
+        x, y = root[i], root[o]
+        root = [min(x, y) if r in (x, y) else r for r in root]
+    assert group(few) == dict(enumerate(root)) == group(df.selectExpr("least(id, o) a", "greatest(id, o) b"))
+    assert few.count() <= 260 and few.count() < len(rows) / 2
+
+
 def test_blocks_lose_no_link(spark):
     """Many edited copies, cut into small blocks, against all pairs."""
     base = [f"b{i}" for i in range(80)]
