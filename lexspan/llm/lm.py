@@ -7,8 +7,9 @@ a public byte-level BPE vocabulary, given by path. The probability of an id is P
 * P(id | class, context class of the id before), with a finer clustering for contexts, and P(class | context class): counts over every
   training document, smoothed.
 * P(class | ids before): one block of causal self-attention over windows of `WINDOW` ids, added to the logarithms of
-  P(class | context class). Adam starts it on `sample` training documents; then `ROUNDS` times each partition goes on with its own part
-  of `ROUNDS` / `SHARE` of all training documents, and the weights are averaged (an id's embedding by its uses). Windows overlap, and each id is scored once, in the window where it has most ids before it.
+  P(class | context class). Adam starts it on `sample` training documents; then it goes on with every window of every training document:
+  `ROUNDS` times each partition takes its documents of one part of all, and the weights are averaged (an id's embedding by its uses). Windows
+  that are scored overlap, and each id is scored once, in the window where it has most ids before it.
 
 The unigram base model is exact: word counts over every training document; the `hot` most frequent words (a bound) are looked up in the
 worker, all others by a join. Pass one reads the texts, counts, and keeps the ids; later passes count, train on and score these. Rows are
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import stored, workers
+from ._common import drop_stored, stored, workers
 from ._text import LOWER, U, hashes, pieces, release, row_bounds, text_bytes, words
 
 VOCAB = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -41,7 +42,7 @@ CLASSES, CONTEXTS, WINDOW, STRIDE, D = 64, 256, 32, 24, 16
 OWN = 4096  # ids with an embedding of their own
 #: neighbour places that are counted together, and how many frequent ids are told apart there
 LAGS = (((-1,), 128), ((1,), 128), ((-8, -7, -6, -5, -4, -3, -2, 2, 3, 4, 5, 6, 7, 8), 32))
-ROUNDS, SHARE = 3, 96  # the attention goes on with 3 of 96 parts of the training documents, by hash
+ROUNDS = 3  # the attention goes on with all training documents, in three parts by hash
 BLOCKS, UNIT = 1024, 2.0**20  # sums over partitions: blocks of places; weights are summed as whole numbers, so order has no effect
 END = np.array([0xE7D], U)  # stands for the end among word hashes
 BATCH = 48  # windows that are scored together: what stands between two steps fits a core's cache
@@ -217,31 +218,44 @@ class SubwordLM:
         before, ids, live = windows(texts, self.end)
         if not len(ids):
             return
-        r, m, v = np.random.default_rng(13), *({k: np.zeros_like(w) for k, w in self.p.items()} for _ in range(2))
+        r, state = np.random.default_rng(13), Adam(self.p)
         for i in range(1, steps + 1):
             pick = r.integers(0, len(ids), batch)
-            a, b, w = before[pick].astype(np.int64), ids[pick].astype(np.int64), live[pick]
-            logits, (x, q, k, vv, s, total, z, y, g) = self.hidden(a)
-            s = s / total
-            d = np.exp(softmax_log(logits))
-            np.put_along_axis(d, self.cls[b][..., None], np.take_along_axis(d, self.cls[b][..., None], 2) - 1, 2)
-            d *= (w / max(1, w.sum()))[..., None].astype(np.float32)
-            p, flat = self.p, lambda t: t.reshape(-1, t.shape[-1])
-            dg = (d @ p["O"].T) * (g > 0)
-            dy = dg @ p["M"].T
-            dz = dy @ p["A"].T
-            ds = dz @ vv.transpose(0, 2, 1)
-            ds = s * (ds - (ds * s).sum(-1, keepdims=True))  # q is scaled already
-            dq, dk, dv = ds @ k * np.float32(D**-0.5), ds.transpose(0, 2, 1) @ q, s.transpose(0, 2, 1) @ dz
-            dx = dy + dq @ p["Q"].T + dk @ p["K"].T + dv @ p["V"].T
-            de = np.zeros_like(p["E"])
-            np.add.at(de, self.slot[a].ravel(), flat(dx))
-            grads = {"E": de, "P": dx.sum(0), "Q": flat(x).T @ flat(dq), "K": flat(x).T @ flat(dk), "V": flat(x).T @ flat(dv), "O": flat(g).T @ flat(d), "M": flat(y).T @ flat(dg), "m": flat(dg).sum(0), "A": flat(z).T @ flat(dy)}
-            step = rate * min(1.0, 2 * (1 - i / (steps + 1)))
-            for n, t in grads.items():
-                m[n] = 0.9 * m[n] + 0.1 * t
-                v[n] = 0.99 * v[n] + 0.01 * t * t
-                p[n] = p[n] - np.float32(step) * (m[n] / (1 - 0.9**i)) / (np.sqrt(v[n] / (1 - 0.99**i)) + np.float32(1e-7))
+            state.step(self.gradients(before[pick], ids[pick], live[pick]), rate * min(1.0, 2 * (1 - i / (steps + 1))))
+
+    def train_once(self, texts: list[np.ndarray], state: Adam, batch: int = 384, rate: float = 0.002) -> int:
+        """Goes on with every window of texts once, in an order drawn anew; returns how many there are."""
+        before, ids, live = windows(texts, self.end)
+        order = np.random.default_rng(len(ids)).permutation(len(ids))
+        for i in range(0, len(ids), batch):
+            pick = order[i : i + batch]
+            state.step(self.gradients(before[pick], ids[pick], live[pick]), rate * len(pick) / batch)
+        return len(ids)
+
+    def gradients(self, a: np.ndarray, b: np.ndarray, live: np.ndarray) -> dict[str, np.ndarray]:
+        """a, b: ids before and at the places of windows; live: the places that count."""
+        logits, (x, q, k, vv, s, total, z, y, g) = self.hidden(a)
+        s /= total
+        d = logits.reshape(-1, CLASSES)
+        d -= d.max(1, keepdims=True)
+        np.exp(d, out=d)
+        w = (live / max(1, live.sum())).astype(np.float32).ravel()
+        d *= (w / (d @ np.ones(CLASSES, np.float32)))[:, None]
+        d[np.arange(len(d)), np.take(self.cls, b).ravel()] -= w
+        p, flat = self.p, lambda t: t.reshape(-1, t.shape[-1])
+        g, y = flat(g), flat(y)
+        dg = (d @ p["O"].T) * (g > 0)
+        dy = dg @ p["M"].T
+        dz = (dy @ p["A"].T).reshape(z.shape)
+        ds = dz @ vv.transpose(0, 2, 1)
+        ds -= (ds * s).sum(-1, keepdims=True)  # q is scaled already
+        ds *= s
+        dq, dk, dv = flat(ds @ k) * np.float32(D**-0.5), flat(ds.transpose(0, 2, 1) @ q), flat(s.transpose(0, 2, 1) @ dz)
+        dx = dy + dq @ p["Q"].T + dk @ p["K"].T + dv @ p["V"].T
+        de = np.zeros(p["E"].size, np.float32)
+        np.add.at(de, (np.take(self.slot, a).reshape(-1, 1) * D + np.arange(D)).ravel(), dx.ravel())
+        x = flat(x)
+        return {"E": de.reshape(-1, D), "P": dx.reshape(*a.shape, D).sum(0), "Q": x.T @ dq, "K": x.T @ dk, "V": x.T @ dv, "O": g.T @ d, "M": y.T @ dg, "m": dg.sum(0), "A": flat(z).T @ dy}
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
         """log10 probability of each text with its end."""
@@ -267,6 +281,23 @@ class SubwordLM:
         return np.bincount(own, sums, len(texts)) / np.log(10)
 
 
+class Adam:
+    """Steps on the arrays of p, which are replaced."""
+
+    def __init__(self, p: dict[str, np.ndarray]):
+        self.p, self.i = p, 0
+        self.m, self.v = ({k: np.zeros_like(w) for k, w in p.items()} for _ in range(2))
+
+    def step(self, grads: dict[str, np.ndarray], rate: float) -> None:
+        self.i += 1
+        up, root = np.float32(rate / (1 - 0.9**self.i)), np.float32((1 - 0.99**self.i) ** -0.5)
+        for n, t in grads.items():
+            m, v = self.m[n], self.v[n]
+            m += np.float32(0.1) * (t - m)
+            v += np.float32(0.01) * (t * t - v)
+            self.p[n] = self.p[n] - up * m / (np.sqrt(v) * root + np.float32(1e-7))
+
+
 def n_cells(end: int) -> int:
     return (end + 1) * sum(dims for _, dims in LAGS)
 
@@ -317,8 +348,10 @@ def sum_blocks(df: DataFrame, n: int) -> np.ndarray:
             yield pa.record_batch([pa.array([i], pa.int32()), pa.array([at.astype(np.uint32).tobytes()], pa.binary()), pa.array([x[at].tobytes()], pa.binary())], names=["block", "at", "n"])
 
     out = np.zeros(size * BLOCKS)
-    for r in df.repartition(64, "block").mapInArrow(run, IN_BLOCKS).toLocalIterator():
+    sums = stored(df.repartition(64, "block").mapInArrow(run, IN_BLOCKS), "sums")  # what was shuffled goes at once
+    for r in sums.toLocalIterator():
         out[r["block"] * size + np.frombuffer(r["at"], np.uint32)] = np.frombuffer(r["n"])
+    drop_stored(sums)
     return out[:n]
 
 
@@ -360,19 +393,19 @@ def pair_counts(train: DataFrame, held_ctx, end: int) -> np.ndarray:
     return sum_blocks(train.select("ids").mapInArrow(run, IN_BLOCKS), CONTEXTS * (end + 1)).astype(np.int64)
 
 
-def averaged(train: DataFrame, held_lm, lm: SubwordLM) -> None:
-    """Each partition trains the attention on its windows; the mean of the weights, by windows, and of embeddings, by uses, goes to lm."""
+def averaged(train: DataFrame, held_lm, lm: SubwordLM, rate: float = 0.002) -> None:
+    """Each partition trains the attention on all its windows, each once; the mean of the weights, by windows, and of embeddings, by uses, goes to lm."""
     names = list(lm.p)
     size = sum(lm.p[k].size for k in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = copy.copy(held_lm.value)
         own.p = dict(own.p)
-        texts = [np.frombuffer(t, np.uint16) for b in batches for t in b.column("ids").to_pylist()]
-        if texts:
-            n = sum(len(t) // WINDOW + 1 for t in texts)
-            own.train(texts, steps=-(-n // 96), rate=0.002)
-            used = np.bincount(own.slot[np.concatenate([np.append(t, own.end) for t in texts])], minlength=len(own.p["E"]))
+        n, used, state = 0, np.zeros(len(own.p["E"]), np.int64), Adam(own.p)
+        for texts in lists_of(batches):
+            n += own.train_once(texts, state, rate=rate)
+            used += np.bincount(own.slot[np.concatenate([np.append(t, own.end) for t in texts])], minlength=len(used))
+        if n:
             weight = np.concatenate([(np.repeat(used, D) if k == "E" else np.full(own.p[k].size, n)) for k in names]).astype(np.float64)
             w = np.concatenate([own.p[k].ravel() for k in names]).astype(np.float64)
             yield from in_blocks(np.concatenate((np.round(w * UNIT) * weight, weight)))
@@ -389,18 +422,33 @@ def averaged(train: DataFrame, held_lm, lm: SubwordLM) -> None:
 
 
 def windows(texts: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids before, ids, which count) of training windows."""
-    before, ids, live = [], [], []
-    for t in texts:
-        full = np.append(t, end).astype(np.int32)
-        for i in range(0, len(full), WINDOW):
-            part = full[i : i + WINDOW]
-            pre = np.append([full[i - 1] if i else end], part[:-1])
-            pad = WINDOW - len(part)
-            before.append(np.pad(pre, (0, pad), constant_values=end))
-            ids.append(np.pad(part, (0, pad), constant_values=end))
-            live.append(np.arange(WINDOW) < len(part))
-    return (np.array(before), np.array(ids), np.array(live)) if ids else (np.zeros((0, WINDOW), np.int64),) * 3
+    """(ids before, ids, which count) of training windows; an end stands in the places that don't."""
+    if not texts:
+        return (np.zeros((0, WINDOW), np.int64),) * 3
+    lengths = np.array([len(t) + 1 for t in texts])
+    flat = np.concatenate([np.append(t, end).astype(np.int32) for t in texts])
+    begin = np.cumsum(lengths) - lengths
+    prior = np.append(np.int32(end), flat[:-1])  # before a text stands the end of another
+    n = -(-lengths // WINDOW)
+    own = np.repeat(np.arange(len(texts)), n)
+    nth = (np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)) * WINDOW
+    live = np.arange(WINDOW) < (lengths[own] - nth)[:, None]
+    at = np.minimum((begin[own] + nth)[:, None] + np.arange(WINDOW), len(flat) - 1)
+    return np.where(live, prior[at], np.int32(end)), np.where(live, flat[at], np.int32(end)), live
+
+
+def lists_of(batches: Iterator[pa.RecordBatch], most: int = 400_000) -> Iterator[list[np.ndarray]]:
+    """The ids of texts, in lists of about `most` ids."""
+    held, size = [], 0
+    for b in batches:
+        for t in b.column("ids").to_pylist():
+            held.append(np.frombuffer(t, np.uint16))
+            size += len(held[-1]) + 1
+            if size >= most:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
 
 
 PASS_ONE = "kind tinyint, uid long, uid2 long, id long, held boolean, n long, ids binary, h long"
@@ -519,7 +567,7 @@ def score_texts(docs: DataFrame, is_held: Column, id_col: str = "doc_id", text_c
     lm.set_counts(pair_counts(train, sc.broadcast(lm.ctx), end))
     lm.train(texts)
     for i in range(ROUNDS):
-        averaged(train.where(F.pmod(F.xxhash64("uid"), F.lit(SHARE)) == i), sc.broadcast(lm), lm)
+        averaged(train.where(F.pmod(F.xxhash64("uid"), F.lit(ROUNDS)) == i), sc.broadcast(lm), lm, 0.002 / (i + 1))
     counts = stored(one.where("kind = 1").groupBy("h").agg(F.sum("n").alias("c")), "counts")
     total = counts.agg(F.sum("c"), F.count("*")).first()
     n_all, n_distinct = total[0] or 0, total[1]
@@ -539,13 +587,15 @@ def score_texts(docs: DataFrame, is_held: Column, id_col: str = "doc_id", text_c
                 i = j
             yield pa.record_batch([*(b.column(x) for x in ("uid", "uid2", "id", "held", "n")), pa.array(s)], names=["uid", "uid2", "id", "held", "n", "score"])
 
-    scored = one.where("kind = 0").select("uid", "uid2", "id", "held", "n", "ids").mapInArrow(run, "uid long, uid2 long, id long, held boolean, n long, score double")
-    parts = stored(rare_words(base, held_hot, scale), "words")
+    parts = stored(rare_words(base, held_hot, scale), "parts")
     c, key = F.coalesce("c", F.lit(0)), ["uid", "uid2"]
     rare = parts.where("h is not null").join(counts, "h", "left").groupBy(*key).agg(F.sum(F.col("n") * (F.log10(c + 1.0) - F.lit(scale))).alias("rare_base"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("rare_known"))
     # equal rows have one uid: the sums over their other words hold each of them, and are shared out again
     hot_sums = parts.where("h is null").groupBy(*key).agg(F.count("*").alias("copies"), F.first("n").alias("hot_known"), F.first("base").alias("base"))
-    out = scored.join(hot_sums, key).join(rare, key, "left")
+    sums = stored(hot_sums.join(rare, key, "left"), "words")  # one row a document: what it is made of goes before the texts are scored
+    drop_stored(parts, counts)
+    scored = one.where("kind = 0").select("uid", "uid2", "id", "held", "n", "ids").mapInArrow(run, "uid long, uid2 long, id long, held boolean, n long, score double")
+    out = scored.join(sums, key)
     zero = F.lit(0)
     return out.select(
         F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), F.col("held").alias("held_out"), F.col("n").alias("n_tokens"), (F.col("hot_known") + F.coalesce((F.col("rare_known") / F.col("copies")).cast("long"), zero)).alias("n_known"),

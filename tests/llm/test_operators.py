@@ -625,6 +625,36 @@ def test_lm_attention_goes_on_with_all_partitions(spark):
     assert got.sum() > 0 and got[: 5001 * 128].sum() >= 0.9 * (lm.ranks_of(count)[np.concatenate(texts)] < 128).sum()
 
 
+def test_lm_attention_sees_every_training_window(spark, monkeypatch):
+    seen, real = [], lm.averaged
+    monkeypatch.setattr(lm, "averaged", lambda train, *a: (seen.extend(r["id"] for r in train.collect()), real(train, *a))[1])
+    df = spark.createDataFrame([(i, " ".join(words(20))) for i in range(80)], "doc_id long, text string")
+    lm.score_texts(df, F.col("doc_id") % 7 == 2, sample=2).count()
+    assert sorted(seen) == [i for i in range(80) if i % 7 != 2]
+    m, used = lm.SubwordLM(5000), []
+    monkeypatch.setattr(m, "gradients", lambda a, b, live: (used.append(b[live]), {k: np.zeros_like(x) for k, x in m.p.items()})[1])
+    texts = [np.array([R.randrange(5000) for _ in range(i)], np.uint16) for i in (0, 1, 31, 32, 33, 400)]
+    assert m.train_once(texts, lm.Adam(m.p), batch=4) == 20
+    assert sorted(np.concatenate(used)) == sorted([*np.concatenate(texts), *[5000] * 6])
+
+
+def test_lm_gradients_are_slopes():
+    m = lm.SubwordLM(5000)
+    t = [np.array([R.randrange(5000) for _ in range(50)], np.uint16) for _ in range(5)]
+    m.set_classes(t)
+    a, b, live = lm.windows(t, 5000)
+
+    def loss() -> float:
+        logits = lm.softmax_log(m.hidden(a)[0].astype(float))
+        return float(-np.take_along_axis(logits, m.cls[b][..., None], 2)[..., 0][live].mean())
+
+    for k, g in m.gradients(a, b, live).items():
+        p, way = m.p[k], np.sign(g).astype(np.float32)
+        up, down = ((m.p.__setitem__(k, p + np.float32(h) * way), loss())[1] for h in (1e-3, -1e-3))
+        m.p[k] = p
+        assert abs((up - down) / 2e-3 - np.abs(g).sum()) <= 0.03 * np.abs(g).sum() + 1e-3, k
+
+
 def test_lm_is_causal_and_sums_to_one():
     m = lm.SubwordLM(5000)
     t = [np.array([R.randrange(5000) for _ in range(50)], np.uint16) for _ in range(5)]
