@@ -104,3 +104,12 @@ def test_empty(spark, folder, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_driver_gives_free_memory_back(spark, monkeypatch):
+    from lexspan.llm import _common
+
+    assert _common.release_driver(spark)
+    seen, real = [], _common.release_driver
+    monkeypatch.setattr(_common, "release_driver", lambda s: seen.append(real(s)))
+    assert P.stored(spark.range(3), "test-release").count() == 3 and seen == [True]
