@@ -45,7 +45,8 @@ LAGS = (((-1,), 128), ((1,), 128), ((-8, -7, -6, -5, -4, -3, -2, 2, 3, 4, 5, 6,
 ROUNDS = 3  # the attention goes on with all training documents, in three parts by hash
 BLOCKS, UNIT = 1024, 2.0**20  # sums over partitions: blocks of places; weights are summed as whole numbers, so order has no effect
 END = np.array([0xE7D], U)  # stands for the end among word hashes
-BATCH = 48  # windows that are scored together: what stands between two steps fits a core's cache
+BATCH = 192  # windows that are scored together
+TALL = 128  # rows of a product that are multiplied together: small products take about half the time of one large one
 
 
 @lru_cache(2)
@@ -119,6 +120,27 @@ def softmax_log(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(-1, keepdims=True))
 
 
+def times(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """x @ w for an x of many rows."""
+    n, w = len(x) - len(x) % TALL, np.ascontiguousarray(w)
+    out = np.empty((len(x), w.shape[1]), np.float32)
+    np.matmul(x[:n].reshape(-1, TALL, x.shape[1]), w, out=out[:n].reshape(-1, TALL, w.shape[1]))
+    np.matmul(x[n:], w, out=out[n:])
+    return out
+
+
+def across(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """x.T @ y for many rows."""
+    n = len(x) - len(x) % TALL
+    blocks = x[:n].reshape(-1, TALL, x.shape[1]).transpose(0, 2, 1) @ y[:n].reshape(-1, TALL, y.shape[1])
+    return blocks.sum(0) + x[n:].T @ y[n:]
+
+
+def turned(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """x @ w of each window, with rows and columns exchanged: quicker than a copy of the product."""
+    return np.ascontiguousarray(w.T) @ x.transpose(0, 2, 1)
+
+
 class SubwordLM:
     """Class tables and the attention block. end is the id of the end (and of what stands before a text)."""
 
@@ -181,31 +203,35 @@ class SubwordLM:
             self.inner[i] = np.log((pair[i] + 30 * back) / (into[i, self.cls] + 30))
         self.bigram = np.log((into + 0.5) / (into.sum(1, keepdims=True) + 0.5 * CLASSES)).astype(np.float32)
 
-    def hidden(self, ids: np.ndarray) -> tuple:
-        """ids: windows of the ids before each place."""
+    def hidden(self, ids: np.ndarray, skip: int = 0) -> tuple:
+        """ids: windows of the ids before each place; the first `skip` places are attended to, but have no logits."""
         p, (b, w) = self.p, ids.shape
         x = np.take(p["E"], np.take(self.slot, ids), axis=0)
         x += p["P"][:w]
         flat = x.reshape(-1, D)  # one product for all windows
-        qkv = (flat @ np.concatenate((p["Q"] * np.float32(D**-0.5), p["K"], p["V"]), 1)).reshape(b, w, -1)
-        q, k, v = qkv[..., :D], qkv[..., D : 2 * D], qkv[..., 2 * D :]
-        s = q @ k.transpose(0, 2, 1)
+        qv = times(flat, np.concatenate((p["Q"] * np.float32(D**-0.5), p["V"]), 1)).reshape(b, w, -1)
+        q, v = qv[:, skip:, :D], qv[..., D:]
+        s = q @ turned(x, p["K"])
         if s.max(initial=0) > 60:
             np.minimum(s, 60, out=s)  # bounded, so no maximum need be taken off
         np.exp(s, out=s)
-        s *= np.tri(w, dtype=np.float32)
-        total = s.sum(-1, keepdims=True)
-        z = (s @ v) / total
-        y = flat + z.reshape(-1, D) @ p["A"]
-        g = y @ p["M"]
+        s *= np.tri(w, dtype=np.float32)[skip:]
+        z = s @ v
+        total = (s.reshape(-1, w) @ np.ones(w, np.float32)).reshape(b, -1, 1)
+        z /= total
+        y = times(z.reshape(-1, D), p["A"])
+        y += x[:, skip:].reshape(-1, D)
+        g = times(y, p["M"])
         g += p["m"]
         np.maximum(g, 0, out=g)
-        logits = (g @ p["O"]).reshape(b, w, -1)
-        logits += np.take(self.bigram, np.take(self.ctx, ids), axis=0)
-        return logits, (x, q, k, v, s, total, z, y.reshape(b, w, -1), g.reshape(b, w, -1))
-
-    def log_probs(self, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        logits, _ = self.hidden(before)
+        logits = times(g, p["O"])
+        logits += np.take(self.bigram, np.take(self.ctx, ids[:, skip:]).ravel(), axis=0)
+        return logits.reshape(b, w - skip, -1), (x, q, s, total, z, y, g)
+
+    def log_probs(self, before: np.ndarray, ids: np.ndarray, skip: int = 0) -> np.ndarray:
+        """Of the ids from place `skip` on."""
+        logits, _ = self.hidden(before, skip)
+        before, ids = before[:, skip:], ids[:, skip:]
         flat = logits.reshape(-1, CLASSES)
         if flat.max(initial=0) > 80:
             np.minimum(flat, 80, out=flat)
@@ -234,28 +260,44 @@ class SubwordLM:
 
     def gradients(self, a: np.ndarray, b: np.ndarray, live: np.ndarray) -> dict[str, np.ndarray]:
         """a, b: ids before and at the places of windows; live: the places that count."""
-        logits, (x, q, k, vv, s, total, z, y, g) = self.hidden(a)
+        logits, (x, q, s, total, z, y, g) = self.hidden(a)
         s /= total
         d = logits.reshape(-1, CLASSES)
-        d -= d.max(1, keepdims=True)
+        if max(d.max(initial=0), -d.min(initial=0)) > 60:
+            d -= d.max(1, keepdims=True)
         np.exp(d, out=d)
         w = (live / max(1, live.sum())).astype(np.float32).ravel()
         d *= (w / (d @ np.ones(CLASSES, np.float32)))[:, None]
         d[np.arange(len(d)), np.take(self.cls, b).ravel()] -= w
-        p, flat = self.p, lambda t: t.reshape(-1, t.shape[-1])
-        g, y = flat(g), flat(y)
-        dg = (d @ p["O"].T) * (g > 0)
-        dy = dg @ p["M"].T
-        dz = (dy @ p["A"].T).reshape(z.shape)
-        ds = dz @ vv.transpose(0, 2, 1)
-        ds -= (ds * s).sum(-1, keepdims=True)  # q is scaled already
+        p, ones = self.p, np.ones(len(d), np.float32)
+        dg = times(d, p["O"].T)
+        dg *= g > 0
+        dx = times(dg, p["M"].T)
+        dz = times(dx, p["A"].T)
+        flat_z = z.reshape(-1, D)
+        own = (dz * flat_z) @ np.ones(D, np.float32)  # what a place's weights get on the mean: weights times values are z
+        grads = {"O": across(g, d), "M": across(y, dg), "m": ones @ dg, "A": across(flat_z, dx)}
+        dz = dz.reshape(z.shape)
+        ds = dz @ turned(x, p["V"])
+        ds -= own.reshape(*a.shape, 1)
         ds *= s
-        dq, dk, dv = flat(ds @ k) * np.float32(D**-0.5), flat(ds.transpose(0, 2, 1) @ q), flat(s.transpose(0, 2, 1) @ dz)
-        dx = dy + dq @ p["Q"].T + dk @ p["K"].T + dv @ p["V"].T
-        de = np.zeros(p["E"].size, np.float32)
-        np.add.at(de, (np.take(self.slot, a).reshape(-1, 1) * D + np.arange(D)).ravel(), dx.ravel())
-        x = flat(x)
-        return {"E": de.reshape(-1, D), "P": dx.reshape(*a.shape, D).sum(0), "Q": x.T @ dq, "K": x.T @ dk, "V": x.T @ dv, "O": g.T @ d, "M": y.T @ dg, "m": dg.sum(0), "A": flat(z).T @ dy}
+        dqkv = np.empty((*a.shape, 3 * D), np.float32)
+        np.matmul(ds, times(x.reshape(-1, D), p["K"]).reshape(x.shape), out=dqkv[..., :D])
+        np.matmul(ds.transpose(0, 2, 1), q, out=dqkv[..., D : 2 * D])  # q is scaled already
+        np.matmul(s.transpose(0, 2, 1), dz, out=dqkv[..., 2 * D :])
+        dqkv = dqkv.reshape(-1, 3 * D)
+        scale = np.float32(D**-0.5)
+        dx += times(dqkv, np.concatenate((p["Q"] * scale, p["K"], p["V"]), 1).T)
+        grads["Q"], grads["K"], grads["V"] = np.split(across(x.reshape(-1, D), dqkv), 3, 1)
+        grads["Q"] = grads["Q"] * scale
+        grads["P"] = dx.reshape(*a.shape, D).sum(0)
+        slot = np.take(self.slot, a).ravel().astype(np.uint16)
+        order = np.argsort(slot, kind="stable")
+        slot = slot[order]
+        first = np.flatnonzero(np.diff(slot, prepend=np.uint16(65535)))
+        grads["E"] = np.zeros_like(p["E"])
+        grads["E"][slot[first]] = np.add.reduceat(np.take(dx, order, axis=0), first)
+        return grads
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
         """log10 probability of each text with its end."""
@@ -270,14 +312,15 @@ class SubwordLM:
         own = np.repeat(np.arange(len(texts)), n)
         nth = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
         start, size = begin[own] + nth * STRIDE, lengths[own] - nth * STRIDE
-        fresh = np.where(nth == 0, 0, WINDOW - STRIDE)
         sums = np.zeros(len(own))
-        for i in range(0, len(own), BATCH):
-            at = start[i : i + BATCH, None] + np.arange(WINDOW)
-            inside = (np.arange(WINDOW) < size[i : i + BATCH, None]) & (np.arange(WINDOW) >= fresh[i : i + BATCH, None])
-            at = np.minimum(at, len(flat) - 1)
-            lp = self.log_probs(prior[at], flat[at])
-            sums[i : i + BATCH] = (lp * inside).sum(1, dtype=np.float64)
+        for own_kind, skip in ((nth == 0, 0), (nth > 0, WINDOW - STRIDE)):  # places before skip have been scored in the window before
+            which = np.flatnonzero(own_kind)
+            for i in range(0, len(which), BATCH):
+                w = which[i : i + BATCH]
+                at = np.minimum(start[w, None] + np.arange(WINDOW), len(flat) - 1)
+                lp = self.log_probs(prior[at], flat[at], skip)
+                lp *= np.arange(skip, WINDOW) < size[w, None]
+                sums[w] = lp.sum(1, dtype=np.float64)
         return np.bincount(own, sums, len(texts)) / np.log(10)
 
 
@@ -293,9 +336,16 @@ class Adam:
         up, root = np.float32(rate / (1 - 0.9**self.i)), np.float32((1 - 0.99**self.i) ** -0.5)
         for n, t in grads.items():
             m, v = self.m[n], self.v[n]
-            m += np.float32(0.1) * (t - m)
-            v += np.float32(0.01) * (t * t - v)
-            self.p[n] = self.p[n] - up * m / (np.sqrt(v) * root + np.float32(1e-7))
+            m *= np.float32(0.9)
+            m += np.float32(0.1) * t
+            v *= np.float32(0.99)
+            v += np.float32(0.01) * (t * t)
+            by = np.sqrt(v)
+            by *= root
+            by += np.float32(1e-7)
+            np.divide(m, by, out=by)
+            by *= up
+            self.p[n] = self.p[n] - by
 
 
 def n_cells(end: int) -> int:

@@ -672,3 +672,25 @@ def test_lm_is_causal_and_sums_to_one():
     other[0, 7] = 5
     assert np.allclose(m.log_probs(before[:1], ids[:1])[0, :7], m.log_probs(other, ids[:1])[0, :7])
     assert np.allclose(m.score(t), [m.score([x])[0] for x in t])
+
+
+def test_lm_long_products_and_windows_that_overlap():
+    r = np.random.default_rng(3)
+    for n in (0, 1, lm.TALL - 1, lm.TALL, 3 * lm.TALL + 5):
+        x, y, w = (r.normal(0, 1, s).astype(np.float32) for s in ((n, 16), (n, 32), (16, 32)))
+        assert np.allclose(lm.times(x, w), x @ w, atol=1e-4) and np.allclose(lm.across(x, y), x.T @ y, atol=1e-3)
+    m = lm.SubwordLM(5000)
+    t = [np.array([R.randrange(5000) for _ in range(n)], np.uint16) for n in (0, 1, 31, 32, 33, 55, 56, 57, 400)]
+    m.set_classes(t)
+    m.train(t, steps=5)
+    before, ids, _ = lm.windows([t[-1]], 5000)
+    whole = m.log_probs(before, ids)
+    assert np.allclose(m.log_probs(before, ids, 8), whole[:, 8:], atol=1e-5)  # places that are scored already have no logits
+    # each id once, in the window where it has most ids before it
+    for x, got in zip(t, m.score(t), strict=True):
+        x = np.append(x, 5000).astype(np.int64)
+        prior, total = np.append(5000, x[:-1]), 0.0
+        for i in range(len(x)):
+            at = 0 if i < lm.WINDOW else (i - lm.WINDOW) // lm.STRIDE * lm.STRIDE + lm.STRIDE
+            total += m.log_probs(prior[None, at : i + 1], x[None, at : i + 1])[0, -1]
+        assert abs(got - total / np.log(10)) < 1e-3
