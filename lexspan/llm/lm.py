@@ -32,7 +32,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import drop_stored, stored, workers
+from . import _common
+from ._common import drop_stored, workers
 from ._text import LOWER, U, hashes, pieces, release, row_bounds, text_bytes, words
 
 VOCAB = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -49,6 +50,13 @@ BATCH = 192  # windows that are scored together
 TALL = 128  # rows of a product that are multiplied together: small products take about half the time of one large one
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """As _common.stored; the executors' heaps shrink after it, as every pass has Python workers that need memory."""
+    out = _common.stored(df, name)
+    _common.release_executors(df.sparkSession)
+    return out
+
+
 @lru_cache(2)
 def tokenizer(ranks: bytes):
     import tiktoken
@@ -601,6 +609,7 @@ def score_texts(docs: DataFrame, is_held: Column, id_col: str = "doc_id", text_c
     spark = docs.sparkSession
     workers(spark)
     sc = spark.sparkContext
+    _common.release_executors(spark)  # of what ran before
     with open(vocab, "rb") as f:
         ranks = f.read()
     tok, end = tokenizer(ranks)

@@ -609,6 +609,25 @@ def test_lm_learns_from_all_documents(spark, monkeypatch):
     assert not set(model.ctx[a]) & set(model.ctx[b])
 
 
+def test_lm_shrinks_heaps_after_each_stored_table(spark, monkeypatch):
+    jvm, seen, real = spark._jvm, [], lm._common.stored
+    beans = [b for b in jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if b.getName() in ("G1 Old Generation", "MarkSweepCompact", "PS MarkSweep")]
+    full = lambda: sum(b.getCollectionCount() for b in beans)
+
+    def stored(df, name):
+        out = real(df, name)
+        seen.append((name, full()))
+        return out
+
+    monkeypatch.setattr(lm._common, "stored", stored)
+    before = full()
+    df = spark.createDataFrame([(i, "one two three four") for i in range(30)], "doc_id long, text string")
+    lm.score_texts(df, F.col("doc_id") % 7 == 2, sample=2).count()
+    counts = [before, *(n for _, n in seen), full()]
+    assert {"texts", "sums", "counts", "parts", "words"} == {name for name, _ in seen}
+    assert beans and all(x < y for x, y in zip(counts, counts[1:]))
+
+
 def test_lm_attention_goes_on_with_all_partitions(spark):
     m = lm.SubwordLM(5000)
     texts = [np.array([R.randrange(1000 * (i % 3), 1000 * (i % 3) + 1000) for _ in range(100)], np.uint16) for i in range(60)]
