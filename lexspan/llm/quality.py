@@ -71,6 +71,14 @@ def passage_features(data: np.ndarray, offs: np.ndarray, passage: int) -> tuple[
     return out, per_row
 
 
+def by_rows(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """x @ w without a library's product, whose rounding depends on how many rows there are: equal rows get equal results, whatever stands beside them."""
+    out = np.zeros((len(x), *w.shape[1:]), np.float32)
+    for j, row in enumerate(w):
+        out += np.multiply.outer(x[:, j], row)
+    return out
+
+
 class AttentionMIL:
     """Encoder, gated attention and logistic output over bags of passages."""
 
@@ -83,15 +91,15 @@ class AttentionMIL:
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
         self.fitted = False
 
-    def forward(self, x: np.ndarray, counts: np.ndarray) -> tuple:
+    def forward(self, x: np.ndarray, counts: np.ndarray, product=np.matmul) -> tuple:
         p, heads, bag = self.p, np.concatenate(([0], np.cumsum(counts)[:-1])), np.repeat(np.arange(len(counts)), counts)
-        h = np.tanh(x @ p["W"] + p["b"])
-        t, g = np.tanh(h @ p["V"]), 1 / (1 + np.exp(-(h @ p["U"])))
-        s = (t * g) @ p["w"]
+        h = np.tanh(product(x, p["W"]) + p["b"])
+        t, g = np.tanh(product(h, p["V"])), 1 / (1 + np.exp(-product(h, p["U"])))
+        s = product(t * g, p["w"])
         e = np.exp(s - np.maximum.reduceat(s, heads)[bag])
         alpha = e / np.add.reduceat(e, heads)[bag]
         z = np.add.reduceat(alpha[:, None] * h, heads)
-        y = 1 / (1 + np.exp(-np.clip(z @ p["c"] + p["c0"], -30, 30)))
+        y = 1 / (1 + np.exp(-np.clip(product(z, p["c"]) + p["c0"], -30, 30)))
         return y, z, alpha, h, t, g, heads, bag
 
     def fit(self, x: np.ndarray, counts: np.ndarray, labels: np.ndarray, steps: int = 400, rate: float = 0.02, decay: float = 1e-4) -> AttentionMIL:
@@ -124,7 +132,7 @@ class AttentionMIL:
     def score(self, x: np.ndarray, counts: np.ndarray) -> np.ndarray:
         if not self.fitted:
             return np.full(len(counts), self.base)
-        return self.forward(np.clip((x - self.mean) / self.scale, -8, 8), counts)[0].astype(np.float64)
+        return self.forward(np.clip((x - self.mean) / self.scale, -8, 8), counts, by_rows)[0].astype(np.float64)
 
 
 def bounded_labels(labels: DataFrame, id_col: str, label_col: str, most: int, where: Column | None = None) -> DataFrame:

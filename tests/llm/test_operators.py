@@ -485,6 +485,19 @@ def test_quality(spark, none):
     assert quality.score_quality(df, empty).select("score").distinct().count() == 1
 
 
+def test_quality_scores_do_not_depend_on_other_rows():
+    r = np.random.default_rng(1)
+    counts = r.integers(1, 6, 300)
+    counts[1] = 500
+    ends = np.concatenate(([0], np.cumsum(counts)))
+    x = r.random((ends[-1], quality.N_FEATURES), dtype=np.float32)
+    model = quality.AttentionMIL().fit(x[: ends[50]], counts[:50], np.arange(50, dtype=np.float32) % 2, steps=20)
+    whole = model.score(x, counts)
+    for n in (1, 2, 3, 20, 33, 76, 150):
+        for i in range(0, 301 - n, max(1, n // 2)):
+            assert (model.score(x[ends[i] : ends[i + n]], counts[i : i + n]) == whole[i : i + n]).all()
+
+
 def test_toxicity(spark, none):
     bad = ["scum", "idiot", "trash", "moron"]
     texts = [(i, words(40) + (" " + " ".join(R.choice(bad) for _ in range(1 + i % 7)) if i % 4 == 0 else "")) for i in range(400)] + [(400, None), (401, ""), (None, "idiot scum trash")]
