@@ -24,3 +24,8 @@ def test_imports_without(gone, tmp_path):
     out = subprocess.run([sys.executable, "-c", code], cwd=at, capture_output=True, text=True)
     assert out.returncode == 0, out.stderr
     assert out.stdout.split()[1:] == ["True", "False", "True"]
+
+
+def test_pipeline_of_another_copy_is_not_imported(monkeypatch, tmp_path):
+    monkeypatch.setenv("PYTHONPATH", ROOT)
+    test_imports_without(("corpus_pipeline.py",), tmp_path)
